@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import mixing, url_reputation
+from tickloom.llm import media_avi, mixing, token_store, url_reputation
 from tickloom.llm.common import ship, table
 from tickloom.llm.url_reputation import Rule
 
@@ -33,6 +34,15 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = token_store.write_store(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return token_store.crc_of_ids(token_store.read_store(spark, store))
+
+
+def op4_avi_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_avi.digests(table(spark, sf_dir, "documents"))
+
+
 SQL_OP1 = r"""
 WITH p AS (SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
     coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
@@ -75,7 +85,7 @@ SELECT doc_id, size, source_size, target, (least(floor(i * rate + u) - floor((i
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    all_ = [op1_url_reputation, op2_mix_sources]
+    all_ = [op1_url_reputation, op2_mix_sources, op3_token_store, op4_avi_media]
     return {f.__name__: _shipping(f) for f in all_}
 
 
