@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import media_avi, mixing, token_store, url_reputation
+from tickloom.llm import media_avi, mih, mixing, nbsvm, simhash, token_store, url_reputation
 from tickloom.llm.common import ship, table
 from tickloom.llm.url_reputation import Rule
 
@@ -43,6 +43,26 @@ def op4_avi_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_avi.digests(table(spark, sf_dir, "documents"))
 
 
+def op7_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fits on labels whose crc32(doc_id) mod 4 isn't 2 and scores every document."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = nbsvm.held_out(F.col("doc_id"))
+    model = nbsvm.fit(docs, labels.where(~held_out).select("doc_id", F.col("quality").alias("label")))
+    scored = nbsvm.score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op8_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op10_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries are the vectors whose id is divisible by 50, candidates all others."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    index = mih.build(vectors)
+    return mih.search(index, vectors.where("vec_id % 50 = 0"), k=5)
+
+
 SQL_OP1 = r"""
 WITH p AS (SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
     coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
@@ -85,7 +105,7 @@ SELECT doc_id, size, source_size, target, (least(floor(i * rate + u) - floor((i
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    all_ = [op1_url_reputation, op2_mix_sources, op3_token_store, op4_avi_media]
+    all_ = [op1_url_reputation, op2_mix_sources, op3_token_store, op4_avi_media, op7_nbsvm_quality, op8_simhash_pigeonring, op10_multi_index_hashing]
     return {f.__name__: _shipping(f) for f in all_}
 
 
