@@ -52,11 +52,8 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), cap: floa
     rows like any other (which of equal rows is taken makes no difference). Documents of size 0 share their source's
     rate. An empty table gives an empty result; columns with the added names are replaced.
     """
-    docs = docs.drop("size", "source_size", "target", "copies")
-    if not keep_text:
-        docs = docs.select("doc_id", "source", word_count(text_of()).alias("size"))
-    else:
-        docs = docs.withColumn("size", word_count(text_of()))
+    keep = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies") and (keep_text or c != "text")]
+    docs = docs.select(F.struct(*keep).alias("_doc"), "doc_id", "source", word_count(text_of()).alias("size"))
     digits = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 4), 16, 10)
     key = F.when(F.col("source").isNull(), "0").otherwise(F.concat(F.lit("1"), "source"))  # joins and windows share one partitioning
     docs = docs.withColumns({"_key": key, "_class": F.length(F.bin("size")), "_part": (digits.cast("int") % SALTS)})
@@ -72,7 +69,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), cap: floa
     ranked = docs.withColumn("_rank", F.row_number().over(Window.partitionBy(*at).orderBy("doc_id", "size")))
     upto = lambda n: F.floor((F.col("_before") + n) * F.col("_rate") + F.col("_offset"))
     copies = F.least(upto(F.col("_rank")) - upto(F.col("_rank") - 1), F.lit(int(cap)))
-    return ranked.join(spread, at).withColumn("copies", copies).drop("_rank", "_before", "_rate", "_offset", *at)
+    return ranked.join(spread, at).select("_doc.*", "size", "source_size", "target", copies.alias("copies"))
 
 
 def emit(mixed: DataFrame) -> DataFrame:

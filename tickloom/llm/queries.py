@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import media_avi, mih, mixing, nbsvm, simhash, token_store, url_reputation
+from tickloom.llm import media_avi, mih, mixing, nbsvm, pii, simhash, token_store, url_reputation
 from tickloom.llm.common import ship, table
 from tickloom.llm.url_reputation import Rule
 
@@ -36,13 +36,17 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = token_store.write_store(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
-    return token_store.crc_of_ids(token_store.read_store(spark, store))
+    return token_store.read_store(spark, store, digest=True)
 
 
 def op4_avi_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_avi.digests(table(spark, sf_dir, "documents"))
 
 
+def op5_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(table(spark, sf_dir, "documents"))
+
+
 def op7_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fits on labels whose crc32(doc_id) mod 4 isn't 2 and scores every document."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -105,7 +109,7 @@ SELECT doc_id, size, source_size, target, (least(floor(i * rate + u) - floor((i
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    all_ = [op1_url_reputation, op2_mix_sources, op3_token_store, op4_avi_media, op7_nbsvm_quality, op8_simhash_pigeonring, op10_multi_index_hashing]
+    all_ = [op1_url_reputation, op2_mix_sources, op3_token_store, op4_avi_media, op5_pii_bootstrap, op7_nbsvm_quality, op8_simhash_pigeonring, op10_multi_index_hashing]
     return {f.__name__: _shipping(f) for f in all_}
 
 
