@@ -137,7 +137,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000, sample_chars: in
     score is 1/2 everywhere. Rows that repeat count as often as they occur; labels of a doc_id that disagree are dropped.
     """
     one = labels.where(F.col("label").isin(0, 1)).groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("_max")).where("label = _max").select("doc_id", "label")
-    rows = docs.select("doc_id", text_of().alias("text")).join(one, "doc_id")
+    rows = docs.select("doc_id", text_of().alias("text")).join(one.hint("merge"), "doc_id")  # one plan at every size
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, seen = np.zeros((2, BUCKETS), np.int64), np.zeros(2, np.int64)
