@@ -12,6 +12,9 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 TEXTS = ["", " ", "a", "a b", "a  b\n\nc ", " x   y z", "it's 's  's\t\n 12 345!?", "<|endoftext|> a <|endoftext|>b", "\x1c!\x1cb \x85c", "é́ß 漢字 😀😀", None, "x" * 5000 + " " * 300 + "1" * 2000, "a b", "\r\n\r\n a"]
 
 
+TEXTS += ["it's_x Ünd,ßx2 a²b c½ d.e\u0301f don't I'LL", "naïve\u0394x,y", "a,b\n,c\td ,e", "a" * 200 + ", " + "!" * 100]
+
+
 def rows(spark, extra=()):
     return spark.createDataFrame([(i, t, "z") for i, t in enumerate(TEXTS)] + list(extra), "doc_id long, text string, ids string")
 
@@ -26,7 +29,7 @@ def test_pieces_encode_as_whole_texts():
 def test_store_round_trip(spark):
     docs = rows(spark, [(3, "a b", "y"), (None, "n", None)])
     path = token_store.write_store(docs, PATH, end_id=2)
-    got = sorted(token_store.crc_of_ids(token_store.read_store(spark, path)).collect(), key=lambda r: r.start)
+    got = sorted(token_store.read_store(spark, path, digest=True).collect(), key=lambda r: r.start)
     whole = Tokenizer.from_file(PATH)
     want, start = [], 0
     for key, text in sorted([(-1, "n"), (3, "a b"), *enumerate(TEXTS)], key=lambda r: (r[0], r[1] or "")):
@@ -34,6 +37,8 @@ def test_store_round_trip(spark):
         want.append((None if key < 0 else key, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
     assert [tuple(r) for r in got] == want
+    ids = {r.doc_id: np.frombuffer(r.ids, "<u2").tolist() for r in token_store.read_store(spark, path).where("doc_id > 3").collect()}
+    assert ids[5] == [*whole.encode(TEXTS[5], add_special_tokens=False).ids, 2]
     few = token_store.read_store(spark, path, [5, 11]).collect()
     assert sorted(r.doc_id for r in few) == [5, 11] and token_store.read_store(spark, path, [99]).count() == 0
     empty = token_store.write_store(docs.limit(0), PATH, end_id=2)

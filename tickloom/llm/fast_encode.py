@@ -9,9 +9,13 @@ import numpy as np
 
 #: White_Space of Unicode.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-#: A byte-level pre-tokenizer never joins what is not blank to a blank after it, so a text may be cut before any run of
-#: blanks. The encoding of a text is that of its pieces, one after another.
-PIECE = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
+LETTER = "A-Za-z\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\u024f"
+SIGN = "!-/:-@\\[-`{-~"
+#: A byte-level pre-tokenizer never joins what is not blank to a blank after it, nor a letter to an ASCII sign after it,
+#: so a text may be cut there, and after a single line feed. The encoding of a text is that of its pieces, one after another.
+PIECE = re.compile(f" ?[{LETTER}]++(?![^{SPACE}{SIGN}])|\\n(?![{SPACE}])|[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
+#: Such pieces keep their encoding between line feeds, whose token they don't hold.
+PLAIN = re.compile(f" ?[{LETTER}]+|[{SIGN}]+")
 MOST_CACHED = 400_000
 LONGEST_CACHED = 64
 _encoders: dict[str, "PieceEncoder"] = {}
@@ -24,22 +28,43 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}  # once full, it serves on as the older half
+        self.older: dict[str, bytes] = {}
+        self.line_feed = self._ids(["\n"])[0][0]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian ids of each text."""
         pieces = [PIECE.findall(t) for t in texts]
         if len(self.known) > MOST_CACHED:
-            self.known.clear()
-        known, once = self.known, {}
-        missing = list(set().union(*pieces).difference(known)) if pieces else []
-        for at in range(0, len(missing), 4096):
-            some = missing[at : at + 4096]
-            for piece, got in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                (known if len(piece) <= LONGEST_CACHED else once)[piece] = np.array(got.ids, self.dtype).tobytes()
+            self.known, self.older = {}, self.known
+        known, older, once = self.known, self.older, {}
+        missing = set().union(*pieces).difference(known)
+        again = [p for p in missing if p in older]
+        known.update((p, older[p]) for p in again)
+        missing.difference_update(again)
+        plain = [p for p in missing if len(p) <= LONGEST_CACHED and PLAIN.fullmatch(p)]
+        odd = list(missing.difference(plain))
+        for at in range(0, len(plain), 1024):
+            some = plain[at : at + 1024]
+            ids = np.array(self._ids(["\n".join(some)])[0], self.dtype)
+            ends = np.flatnonzero(ids == self.line_feed) * self.dtype.itemsize
+            if len(ends) != len(some) - 1:  # no plain byte-level vocabulary: one by one
+                odd += some
+                continue
+            raw, lo = ids.tobytes(), 0
+            for piece, end in zip(some, [*ends.tolist(), len(raw)], strict=True):
+                known[piece] = raw[lo:end]
+                lo = end + self.dtype.itemsize
+        for at in range(0, len(odd), 4096):
+            some = odd[at : at + 4096]
+            for piece, ids in zip(some, self._ids(some), strict=True):
+                (known if len(piece) <= LONGEST_CACHED else once)[piece] = np.array(ids, self.dtype).tobytes()
         if once:
             return [b"".join([known[p] if p in known else once[p] for p in x]) for x in pieces]
-        return [b"".join([known[p] for p in x]) for x in pieces]
+        return [b"".join(map(known.__getitem__, x)) for x in pieces]
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 def encoder(path: str) -> PieceEncoder:

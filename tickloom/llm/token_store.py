@@ -39,7 +39,7 @@ def train_dictionary(docs: DataFrame, tokenizer: str, size: int = 64 << 10, samp
         return b""
 
 
-def write_store(docs: DataFrame, tokenizer: str, end_id: int | None = None, path: str | None = None, level: int = 3) -> str:
+def write_store(docs: DataFrame, tokenizer: str, end_id: int | None = None, path: str | None = None, level: int = 1) -> str:
     """Encodes whole texts, adds end_id to each, and writes the store; returns its path.
 
     Rows go in ascending doc_id order (null first), rows of one doc_id by their text. Shards are ranges of doc_id, so no
@@ -92,9 +92,11 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int | None = None, path
     return path
 
 
-def read_store(spark: SparkSession, path: str, doc_ids: list[int] | None = None) -> DataFrame:
+def read_store(spark: SparkSession, path: str, doc_ids: list[int] | None = None, digest: bool = False) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, width and ids (little-endian bytes) of each document.
 
+    With digest ids_crc32 (of the ids as little-endian unsigned 32-bit integers) stands in place of width and ids.
+
     With doc_ids only segments that can hold them are read and only those documents are decompressed. A dictionary that
     isn't the one a segment names is an error.
     """
@@ -128,23 +130,14 @@ def read_store(spark: SparkSession, path: str, doc_ids: list[int] | None = None)
                 if not take:
                     continue
                 ids = [press.decompress(row["body"][at[i] : at[i + 1]], max_output_size=int(counts[i]) * row["width"]) for i in take]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([row["shard"]] * len(take), pa.int32()), pa.array([row["segment"]] * len(take), pa.int64()), pa.array([row["doc_ids"][i] for i in take], pa.int64()), pa.array(first[take], pa.int64()), pa.array(counts[take], pa.int64()), pa.array([row["width"]] * len(take), pa.int32()), pa.array(ids, pa.binary())],
-                    ["_shard", "_segment", "doc_id", "_in", "n_tokens", "width", "ids"],
-                )
-
-    docs = segments.mapInArrow(documents, "_shard int, _segment long, doc_id long, _in long, n_tokens long, width int, ids binary")
+                own = [pa.array([row["shard"]] * len(take), pa.int32()), pa.array([row["segment"]] * len(take), pa.int64()), pa.array([row["doc_ids"][i] for i in take], pa.int64()), pa.array(first[take], pa.int64()), pa.array(counts[take], pa.int64())]
+                if digest:
+                    own.append(pa.array([zlib.crc32(np.frombuffer(x, f"<u{row['width']}").astype("<u4")) for x in ids], pa.int64()))
+                else:
+                    own += [pa.array([row["width"]] * len(take), pa.int32()), pa.array(ids, pa.binary())]
+                yield pa.RecordBatch.from_arrays(own, ["_shard", "_segment", "doc_id", "_in", "n_tokens", *(["ids_crc32"] if digest else ["width", "ids"])])
+
+    content = "ids_crc32 long" if digest else "width int, ids binary"
+    docs = segments.mapInArrow(documents, f"_shard int, _segment long, doc_id long, _in long, n_tokens long, {content}")
     on = (docs["_shard"] == starts["shard"]) & (docs["_segment"] == starts["segment"])
-    return docs.join(starts, on).select("doc_id", (F.col("start") + F.col("_in")).alias("start"), "n_tokens", "width", "ids")
-
-
-def crc_of_ids(ids: DataFrame) -> DataFrame:
-    """ids_crc32 (of the ids as little-endian unsigned 32-bit integers) in place of width and ids."""
-
-    def crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            raw, width = b.column("ids").to_pylist(), b.column("width").to_pylist()
-            sums = [zlib.crc32(np.frombuffer(x, f"<u{w}").astype("<u4").tobytes()) for x, w in zip(raw, width, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("start"), b.column("n_tokens"), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return ids.mapInArrow(crc, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return docs.join(starts, on).select("doc_id", (F.col("start") + F.col("_in")).alias("start"), *docs.columns[4:])
