@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import media_avi, mih, mixing, nbsvm, pii, simhash, token_store, url_reputation
+from tickloom.llm import bpe, media_avi, mih, mixing, nbsvm, pii, simhash, token_store, url_reputation
 from tickloom.llm.common import ship, table
 from tickloom.llm.url_reputation import Rule
 
@@ -47,6 +47,11 @@ def op5_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(table(spark, sf_dir, "documents"))
 
 
+def op6_bpe_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = bpe.load(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return bpe.encode(table(spark, sf_dir, "documents"), vocabulary, digest=True)
+
+
 def op7_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fits on labels whose crc32(doc_id) mod 4 isn't 2 and scores every document."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -109,7 +114,7 @@ SELECT doc_id, size, source_size, target, (least(floor(i * rate + u) - floor((i
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    all_ = [op1_url_reputation, op2_mix_sources, op3_token_store, op4_avi_media, op5_pii_bootstrap, op7_nbsvm_quality, op8_simhash_pigeonring, op10_multi_index_hashing]
+    all_ = [op1_url_reputation, op2_mix_sources, op3_token_store, op4_avi_media, op5_pii_bootstrap, op6_bpe_fold, op7_nbsvm_quality, op8_simhash_pigeonring, op10_multi_index_hashing]
     return {f.__name__: _shipping(f) for f in all_}
 
 
