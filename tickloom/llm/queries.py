@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import bpe, media_avi, mih, mixing, nbsvm, pii, simhash, token_store, url_reputation
+from tickloom.llm import bpe, media_avi, mih, mixing, nbsvm, passages, pii, simhash, token_store, url_reputation
 from tickloom.llm.common import ship, table
 from tickloom.llm.url_reputation import Rule
 
@@ -65,6 +65,10 @@ def op8_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op10_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Queries are the vectors whose id is divisible by 50, candidates all others."""
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
@@ -114,7 +118,7 @@ SELECT doc_id, size, source_size, target, (least(floor(i * rate + u) - floor((i
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    all_ = [op1_url_reputation, op2_mix_sources, op3_token_store, op4_avi_media, op5_pii_bootstrap, op6_bpe_fold, op7_nbsvm_quality, op8_simhash_pigeonring, op10_multi_index_hashing]
+    all_ = [op1_url_reputation, op2_mix_sources, op3_token_store, op4_avi_media, op5_pii_bootstrap, op6_bpe_fold, op7_nbsvm_quality, op8_simhash_pigeonring, op9_passages, op10_multi_index_hashing]
     return {f.__name__: _shipping(f) for f in all_}
 
 
