@@ -81,10 +81,11 @@ def valid(kind: str, value: Column) -> Column:
 
 
 def word_at(side: str, context: Column) -> Column:
-    """The word beside a mention, without the quotes and brackets between: a lexical pattern."""
-    edge = r"[\x20\x09-\x0D\"'(<\[{]*"
-    word = r"([^\x20\x09-\x0D]{1,40})"
-    out = F.regexp_extract(context, f"{word}{edge}$", 1) if side == "L" else F.regexp_extract(context, rf"^[\x20\x09-\x0D\"')>\]}}.,;]*{word}", 1)
+    """The word beside a mention, after a blank and the quotes and brackets between: a lexical pattern. What is written
+    onto the mention is no word of its own, and counts of words don't know it."""
+    blank, word, signs = r"[\x20\x09-\x0D]", r"([^\x20\x09-\x0D\"'(<\[{]{1,40})", r"[\"'(<\[{]*"
+    left, right = f"(?:^|[\\x20\\x09-\\x0D\"'(<\\[{{]){word}{blank}+{signs}$", rf"^[\"')>\]}}.,;:!?]*{blank}+{signs}{word}"
+    out = F.regexp_extract(context, left if side == "L" else right, 1)
     return ascii_lower(out)
 
 
