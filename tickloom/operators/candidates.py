@@ -14,9 +14,11 @@ from pyspark.sql import types as T
 from tickloom.identity import canonical_json, stable_hash
 
 LINEAR = "linear_signal_v1"
-SCHEMA = "cand_idx int, strategy_hash string, strategy_name string, weights array<double>, threshold double, strategy_json string"
+SCHEMA = "cand_block int, cand_idx int, strategy_hash string, strategy_name string, weights array<double>, threshold double, strategy_json string"
 #: Candidates go to every executor; more than this aren't meant to.
 MOST = 100_000
+#: Candidates that share a copy of the market on its way to their task.
+BLOCK = 8
 
 
 @dataclass(frozen=True)
@@ -56,7 +58,7 @@ def unique(specs: Iterable[StrategySpec]) -> list[StrategySpec]:
 def candidate_table(spark: SparkSession, specs: list[StrategySpec]) -> DataFrame:
     if len(specs) > MOST:
         raise ValueError(f"{len(specs)} candidates; at most {MOST} are broadcast")
-    rows = [(i, s.spec_hash(), s.name, [float(w) for w in s.params.get("weights", [])], float(s.params.get("threshold", 0.0)), canonical_json(s)) for i, s in enumerate(specs)]
+    rows = [(i // BLOCK, i, s.spec_hash(), s.name, [float(w) for w in s.params.get("weights", [])], float(s.params.get("threshold", 0.0)), canonical_json(s)) for i, s in enumerate(specs)]
     return spark.createDataFrame(rows, SCHEMA)
 
 
@@ -66,6 +68,12 @@ def distinct_candidates(candidates: DataFrame) -> DataFrame:
     return first.select("_c.*")
 
 
+def blocks(candidates: DataFrame) -> DataFrame:
+    """cand_block and its candidates as an array."""
+    own = F.struct("cand_idx", "strategy_hash", "strategy_name", "weights", "threshold")
+    return candidates.groupBy("cand_block").agg(F.collect_list(own).alias("_candidates"))
+
+
 def linear_signal(features: list[str]) -> Column:
     """1 above the threshold, -1 below its negative, else 0, of the weighted sum of the features."""
     score = sum((F.element_at("weights", i + 1) * F.col(c) for i, c in enumerate(features)), F.lit(0.0))
@@ -99,7 +107,7 @@ def pandas_positions(sliced: DataFrame, strategies: dict[str, Strategy]) -> Data
     are missing count as 0.
     """
     names = list(strategies)
-    ids = F.array(*[F.struct(F.lit(i).alias("cand_idx"), F.lit(n).alias("strategy_name"), F.lit(stable_hash({"name": n, "params": {}})).alias("strategy_hash")) for i, n in enumerate(names)])
+    ids = F.array(*[F.struct(F.lit(i // BLOCK).alias("cand_block"), F.lit(i).alias("cand_idx"), F.lit(n).alias("strategy_name"), F.lit(stable_hash({"name": n, "params": {}})).alias("strategy_hash")) for i, n in enumerate(names)])
     wide = sliced.withColumn("_c", F.explode(ids)).select("_c.*", *sliced.columns)
     schema = T.StructType([*wide.schema.fields, T.StructField("raw", T.DoubleType())])
 

@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 
 from tickloom.config import BacktestConfig, CostConfig
 from tickloom.functions.stats import SECONDS_PER_YEAR
-from tickloom.operators.candidates import LINEAR, signal_for
+from tickloom.operators.candidates import LINEAR, blocks, signal_for
 from tickloom.operators.slices import Slice, assign
 from tickloom.sources.bars import features_of
 
 SLICE = ["fold", "split"]
-KEY = ["cand_idx", "strategy_hash", "strategy_name", *SLICE]
+KEY = ["cand_block", "cand_idx", "strategy_hash", "strategy_name", *SLICE]
 WINDOW_ROWS = 20
 Q_LOW, Q_HIGH = 0.33, 0.66
 DAY = 86400.0
@@ -69,11 +69,16 @@ def null_safe_join(left: DataFrame, right: DataFrame, on: list[str], how: str =
 
 
 def signals(market_: DataFrame, candidates: DataFrame, name: str = LINEAR) -> DataFrame:
-    """Market rows for each candidate of a native strategy, with raw positions."""
+    """Market rows for each candidate of a native strategy, with raw positions.
+
+    A copy of the market goes to each (block of candidates, slice), which spreads the work however few slices there are;
+    within it every candidate gets its rows without another shuffle, and all later windows and sums stay there.
+    """
     features = features_of(market_)
-    chosen = candidates.where(F.col("strategy_name") == name).select("cand_idx", "strategy_hash", "strategy_name", "weights", "threshold")
-    wide = market_.crossJoin(F.broadcast(chosen))  # candidates are checked to be few
-    return wide.withColumn("raw", signal_for(name, features)).drop("weights", "threshold", *features)
+    some = blocks(candidates.where(F.col("strategy_name") == name))
+    wide = market_.crossJoin(F.broadcast(some)).repartition("cand_block", *SLICE)  # candidates are checked to be few
+    each = wide.withColumn("_c", F.explode("_candidates")).select("_c.*", *wide.columns).drop("_candidates")
+    return each.withColumn("raw", signal_for(name, features)).drop("weights", "threshold", *features)
 
 
 def backtest(raw: DataFrame, run: BacktestConfig, costs: CostConfig) -> DataFrame:

@@ -112,7 +112,7 @@ def gathered(bars, plan, candidates, cfg, tables, cached, hits, only, any_hit, s
         heads.append(as_json(curves, ids, ["t0", "t1", "equity_end", "equity_head"]))
     if any_hit:
         values, curves = from_cache(tables, cached, hits, [c for c in hits.columns if c in ("strategy_hash", "fold")])
-        names = (every if every is not None else candidates).select("cand_idx", "strategy_hash", "strategy_name")
+        names = (every if every is not None else candidates).select("cand_block", "cand_idx", "strategy_hash", "strategy_name")
         parts.append(values.join(F.broadcast(names), "strategy_hash").withColumn("cached", F.lit(1.0)))
         heads.append(curves)
     columns = [*P.KEY, *ALL, "cached", "cache_info"]

@@ -223,7 +223,7 @@ def custom_strategy_pandas(spark, sf_dir):
     bars, slices = _bars(spark, sf_dir), [s for s in _plan(spark, sf_dir).slices if s.split != "test"]
     sliced, market = V.assign(bars, slices), P.market(bars, slices)
     positions = C.pandas_positions(sliced.select("fold", "split", "ts", "row_idx", "f000"), {"median_rule": _median_rule()})
-    names = positions.select("cand_idx", "strategy_hash", "strategy_name").distinct()
+    names = positions.select("cand_block", "cand_idx", "strategy_hash", "strategy_name").distinct()
     rows = P.aligned(market.crossJoin(F.broadcast(names)).drop(*B.features_of(market)), positions)  # a row for each named strategy
     return _rounded(M.base_metrics(P.backtest(rows, RUN, COSTS)), ID, ["n_obs", "sharpe_net", "total_return", "exposure_mean"])
 
