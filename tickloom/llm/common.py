@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: The words of a text are maximal runs of anything but these ASCII blanks.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows of an Arrow batch: texts are long, and workers hold a batch at a time.
+BATCH_ROWS = "1000"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -19,7 +21,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Lets local Python workers import this package, wherever the driver found it.
+    """Lets local Python workers import this package, wherever the driver found it, and bounds Arrow batches of long texts.
 
     On a cluster the package is sent with --py-files; the entry is harmless there.
     """
@@ -28,6 +30,7 @@ def ship(spark: SparkSession) -> None:
     have = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in have:
         env["PYTHONPATH"] = os.pathsep.join([root, *have])
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
 
 def shared_dir(spark: SparkSession) -> str:

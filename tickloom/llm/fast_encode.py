@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 
@@ -14,9 +15,7 @@ SIGN = "!-/:-@\\[-`{-~"
 #: A byte-level pre-tokenizer never joins what is not blank to a blank after it, nor a letter to an ASCII sign after it,
 #: so a text may be cut there, and after a single line feed. The encoding of a text is that of its pieces, one after another.
 PIECE = re.compile(f" ?[{LETTER}]++(?![^{SPACE}{SIGN}])|\\n(?![{SPACE}])|[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
-#: Such pieces keep their encoding between line feeds, whose token they don't hold.
-PLAIN = re.compile(f" ?[{LETTER}]+|[{SIGN}]+")
-MOST_CACHED = 400_000
+MOST_CACHED = 600_000
 LONGEST_CACHED = 64
 _encoders: dict[str, "PieceEncoder"] = {}
 
@@ -34,18 +33,28 @@ class PieceEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian ids of each text."""
+        collecting = gc.isenabled()
+        gc.disable()  # nothing here is cyclic, and the cache is long to walk through
+        try:
+            return self._encode(texts)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         pieces = [PIECE.findall(t) for t in texts]
         if len(self.known) > MOST_CACHED:
             self.known, self.older = {}, self.known
         known, older, once = self.known, self.older, {}
-        missing = set().union(*pieces).difference(known)
+        missing = {p for x in pieces for p in x if p not in known}
         again = [p for p in missing if p in older]
         known.update((p, older[p]) for p in again)
         missing.difference_update(again)
-        plain = [p for p in missing if len(p) <= LONGEST_CACHED and PLAIN.fullmatch(p)]
+        # letters after a space at most keep their encoding between line feeds, whose token they don't hold
+        plain = [p for p in missing if len(p) <= LONGEST_CACHED and (p[1:] if p[0] == " " else p).isalpha()]
         odd = list(missing.difference(plain))
-        for at in range(0, len(plain), 1024):
-            some = plain[at : at + 1024]
+        for at in range(0, len(plain), 256):
+            some = plain[at : at + 256]
             ids = np.array(self._ids(["\n".join(some)])[0], self.dtype)
             ends = np.flatnonzero(ids == self.line_feed) * self.dtype.itemsize
             if len(ends) != len(some) - 1:  # no plain byte-level vocabulary: one by one
