@@ -2,8 +2,9 @@
 
 A task collects the distinct words of its share of the texts (Python, Arrow batches), Spark folds the ranked merges over
 the byte array of each new word with a literal rank map, and concatenates the binary pieces of the ids for decoding; the
-task then puts the texts together from its words (Python again). All three run in one stage: nothing is shuffled,
-broadcast or collected, and what a task holds is bounded by MOST_WORDS.
+task then puts the texts together from its words (Python again). All three run in one stage, nothing is shuffled, and
+what a task holds is bounded by MOST_WORDS. Words that are frequent in a sample of documents are folded once, before, and
+sent to all tasks: HOT_WORDS of HOT_LENGTH characters at most. They only save folds; any other word is folded where it occurs.
 """
 
 from __future__ import annotations
@@ -18,11 +19,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import text_of
+from tickloom.llm.common import cut, text_of
 from tickloom.llm.fast_encode import PIECE
 
 #: Words that a task knows at a time, and characters of text that go to Spark at once.
-MOST_WORDS, CHUNK = 1_000_000, 8 << 20
+MOST_WORDS, CHUNK = 300_000, 2 << 20
+#: Words of ASCII up to this size hardly ever have a place to be cut.
+PLAIN_BYTES = 24
+HOT_WORDS, HOT_LENGTH, HOT_DOCUMENTS = 200_000, 24, 16_000
 #: Factors of the rank map's slot for a pair of ids.
 LEFT, RIGHT = 40503, 2654435
 
@@ -67,10 +71,13 @@ def rank_tables(pairs: dict[tuple[int, int], int]) -> list[np.ndarray]:
 
 
 def literal_longs(spark: SparkSession, values: np.ndarray) -> Column:
+    """An array literal in Spark's compact form, which plans don't spell out when they are printed."""
     jvm = spark.sparkContext._jvm
     held = spark.sparkContext._gateway.new_array(jvm.long, len(values))
     jvm.java.nio.ByteBuffer.wrap(values.astype(">i8").tobytes()).asLongBuffer().get(held)
-    return Column(jvm.org.apache.spark.sql.functions.lit(held))
+    types, catalyst = jvm.org.apache.spark.sql.types.DataTypes, jvm.org.apache.spark.sql.catalyst.expressions
+    literal = catalyst.Literal(catalyst.UnsafeArrayData.fromPrimitiveArray(held), types.createArrayType(types.LongType, False))
+    return Column(jvm.org.apache.spark.sql.classic.ExpressionUtils.column(literal))
 
 
 def fold(spark: SparkSession, vocabulary: Vocabulary):
@@ -143,82 +150,167 @@ def cuts(word: bytes, tokens: frozenset[bytes], longest: int) -> list[bytes]:
 WORDS = "fresh boolean, doc_id array<long>, sizes array<int>, places binary, words array<array<int>>, counts array<int>, parts binary"
 
 
-def collect_words(pattern: str, ranks: dict[bytes, int]):
+def splitter(pattern: str, ranks: dict[bytes, int]):
+    """A function from a piece of text to the byte arrays of its words, each cut where that changes nothing."""
+    import regex
+
+    split = regex.compile(pattern).findall
+    tokens = frozenset(t for t in ranks if len(t) > 1)
+    longest = max(map(len, tokens), default=1)
+
+    def parts_of(piece: str) -> list[bytes]:
+        out = []
+        for word in split(piece):
+            raw = word.encode("utf-8", "surrogatepass")
+            if len(raw) <= PLAIN_BYTES and raw.isascii():
+                out.append(raw)
+            else:
+                out += cuts(raw, tokens, longest)
+        return out
+
+    return parts_of
+
+
+def byte_arrays(words: list[bytes]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, words)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(words), np.uint8).astype(np.int32)))
+
+
+class Hot(NamedTuple):
+    number: dict[str, int]
+    n: list[int]
+    coded: list[bytes]
+    raw: list[bytes]
+
+
+def hot_words(docs: DataFrame, vocabulary: Vocabulary, ids, bytes_, digest: bool) -> Hot:
+    """The most frequent pieces of HOT_DOCUMENTS documents (those whose doc_id has the least hash) with what they encode to."""
+    chosen = docs.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(HOT_DOCUMENTS).distinct()
+    some = docs.join(F.broadcast(chosen), "doc_id", "left_semi").select("text")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from collections import Counter
+
+        seen: Counter[str] = Counter()
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                seen.update(PIECE.findall(text))
+        kept = {p: n for p, n in seen.items() if len(p) <= HOT_LENGTH}
+        yield pa.RecordBatch.from_arrays([pa.array(list(kept), pa.string()), pa.array(list(kept.values()), pa.int64())], ["piece", "n"])
+
+    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts_of = splitter(pattern, ranks)
+        for batch in batches:
+            parts = [parts_of(p) for p in batch.column("piece").to_pylist()]
+            ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+            words = pa.ListArray.from_arrays(pa.array(ends), byte_arrays([w for p in parts for w in p]))
+            yield pa.RecordBatch.from_arrays([batch.column("piece"), words], ["piece", "words"])
+
+    pattern, ranks = vocabulary.pattern, vocabulary.ranks
+    counted = some.mapInArrow(count, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+    frequent = cut(counted.orderBy(F.desc("n"), "piece").limit(HOT_WORDS).select("piece"), "hot-words").repartition(4 * docs.sparkSession.sparkContext.defaultParallelism)
+    folded = frequent.mapInArrow(cut_up, "piece string, words array<array<int>>").select("piece", F.flatten(F.transform("words", ids)).alias("ids")).withColumn("decoded", bytes_(F.col("ids")))
+    rows = folded.toArrow()  # HOT_WORDS at most
+    pieces, lists = rows.column("piece").to_pylist(), rows.column("ids").to_pylist()
+    code = codes_of(digest)
+    return Hot({p: i for i, p in enumerate(pieces)}, [len(x) for x in lists], [code(x) for x in lists], rows.column("decoded").to_pylist())
+
+
+def codes_of(digest: bool):
+    """A function from ids to how results carry them: decimal text, or 32-bit integers."""
+    return (lambda x: " ".join(map(str, x)).encode()) if digest else (lambda x: np.array(x, np.int32).tobytes())
+
+
+def collect_words(pattern: str, ranks: dict[bytes, int], hot):
     """Texts to chunks: new distinct parts of words as byte arrays, pieces of text as numbers of parts, texts as numbers of pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import regex
-
-        split = regex.compile(pattern).findall
-        tokens = frozenset(t for t in ranks if len(t) > 1)
-        longest = max(map(len, tokens), default=1)
-        number: dict[str, int] = {}
-        part_number: dict[bytes, int] = {}
-        keys, texts, size, fresh = [], [], 0, True
+        parts_of = splitter(pattern, ranks)
+        number: dict[str, int] = dict(hot.value.number)
+        shared: dict[bytes, int] = {}  # parts of pieces that have several
+        keys, texts, size, fresh, total = [], [], 0, True, 0
 
         def chunk() -> pa.RecordBatch:
+            nonlocal total
             places, sizes, counts, parts, words = [], [], [], [], []
             for text in texts:
                 pieces = PIECE.findall(text)
                 for p in {p for p in pieces if p not in number}:
                     number[p] = len(number)
-                    own = [c for w in split(p) for c in cuts(w.encode("utf-8", "surrogatepass"), tokens, longest)]
-                    for c in own:
-                        if c not in part_number:
-                            part_number[c] = len(part_number)
-                            words.append(c)
-                        parts.append(part_number[c])
+                    own = parts_of(p)
+                    if len(own) == 1:  # number holds it already
+                        parts.append(total)
+                        words.append(own[0])
+                        total += 1
+                    else:
+                        for c in own:
+                            if c not in shared:
+                                shared[c] = total
+                                words.append(c)
+                                total += 1
+                            parts.append(shared[c])
                     counts.append(len(own))
                 sizes.append(len(pieces))
                 places.append(np.fromiter(map(number.__getitem__, pieces), np.int32, len(pieces)).tobytes())
-            ends = np.cumsum([0, *map(len, words)]).astype(np.int32)
-            bytes_ = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(words), np.uint8).astype(np.int32)))
-            whole = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), bytes_)
+            whole = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), byte_arrays(words))
             row = [pa.array([fresh]), pa.array([keys], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int32())), pa.array([b"".join(places)], pa.binary()), whole, pa.array([counts], pa.list_(pa.int32())), pa.array([np.array(parts, np.int32).tobytes()], pa.binary())]
             return pa.RecordBatch.from_arrays(row, ["fresh", "doc_id", "sizes", "places", "words", "counts", "parts"])
 
-        for batch in batches:
-            for key, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+        for part in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
+            for key, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
                 keys.append(key)
                 texts.append(text)
                 size += len(text)
                 if size >= CHUNK:
                     yield chunk()
                     keys, texts, size, fresh = [], [], 0, False
-                    if len(part_number) > MOST_WORDS:
-                        number, part_number, fresh = {}, {}, True
+                    if total > MOST_WORDS:
+                        number, shared, fresh, total = dict(hot.value.number), {}, True, 0
         if keys:
             yield chunk()
 
     return run
 
 
-def assemble(digest: bool):
+def assemble(digest: bool, hot):
     """Chunks with ids and decoded pieces of their words to a row for each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, raw, piece_ids, piece_raw, piece_n = [], [], [], [], []
+        glue = b" " if digest else b""
+        text = [str(i).encode() for i in range(1 << 16)] if digest else [i.to_bytes(4, "little") for i in range(1 << 16)]
+        ids, raw, size, piece_ids, piece_raw, piece_n = [], [], [], [], [], []
         for batch in batches:
             for r in range(batch.num_rows):
                 one = {c: batch.column(c)[r] for c in batch.schema.names}
                 if one["fresh"].as_py():
-                    ids, raw, piece_ids, piece_raw, piece_n = [], [], [], [], []
-                ids += one["ids"].as_py()
-                raw += one["decoded"].as_py()
+                    ids, raw, size = [], [], []
+                    piece_ids, piece_raw, piece_n = list(hot.value.coded), list(hot.value.raw), list(hot.value.n)
+                lists = one["ids"].values
+                ends = (lists.offsets.to_numpy() - lists.offsets[0].as_py()).tolist()
+                flat = lists.flatten().to_pylist()
+                for lo, hi in zip(ends[:-1], ends[1:], strict=True):
+                    ids.append(text[flat[lo]] if hi - lo == 1 else glue.join([text[i] for i in flat[lo:hi]]))
+                    size.append(hi - lo)
+                raw += one["decoded"].values.to_pylist()
                 parts, at = np.frombuffer(one["parts"].as_py(), np.int32).tolist(), 0
                 for n in one["counts"].as_py():
-                    own = parts[at : at + n]
+                    if n == 1:
+                        p = parts[at]
+                        piece_n.append(size[p])
+                        piece_ids.append(ids[p])
+                        piece_raw.append(raw[p])
+                    else:
+                        own = parts[at : at + n]
+                        piece_n.append(sum([size[p] for p in own]))
+                        piece_ids.append(glue.join([ids[p] for p in own]))
+                        piece_raw.append(b"".join([raw[p] for p in own]))
                     at += n
-                    flat = [i for p in own for i in ids[p]]
-                    piece_n.append(len(flat))
-                    piece_ids.append(" ".join(map(str, flat)).encode() if digest else np.array(flat, np.int32).tobytes())
-                    piece_raw.append(b"".join([raw[p] for p in own]))
                 places, at, rows = np.frombuffer(one["places"].as_py(), np.int32).tolist(), 0, []
                 for n in one["sizes"].as_py():
                     own = places[at : at + n]
                     at += n
                     decoded = b"".join([piece_raw[p] for p in own])
-                    coded = (b" " if digest else b"").join([piece_ids[p] for p in own])
+                    coded = glue.join([piece_ids[p] for p in own])
                     total = sum([piece_n[p] for p in own])
                     rows.append((total, hashlib.sha256(coded).hexdigest(), hashlib.sha256(decoded).hexdigest()) if digest else (np.frombuffer(coded, np.int32), decoded))
                 cols = list(zip(*rows, strict=True))
@@ -231,19 +323,18 @@ def assemble(digest: bool):
     return run
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, digest: bool = False, merge: int = 4) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: Vocabulary, digest: bool = False) -> DataFrame:
     """doc_id, ids and decoded (their bytes again) of every row of docs; with digest n_tokens, ids_sha256 (of the decimal
     ids joined by one space) and decoded_sha256 instead.
 
     Texts are whole; a null text is empty and has no ids. Repeated rows and null doc_ids give rows of their own; other
-    columns don't matter; an empty table gives an empty result. merge input partitions go to one task, which then meets
-    more of its words again. A word of n bytes that no cut divides takes up to n steps over n ids.
+    columns don't matter; an empty table gives an empty result. A word of n bytes that no cut divides takes up to n steps over n ids.
     """
     spark = docs.sparkSession
     texts = docs.select("doc_id", text_of().alias("text"))
-    texts = texts.coalesce(max(1, -(-texts.rdd.getNumPartitions() // merge)))
-    words = texts.mapInArrow(collect_words(vocabulary.pattern, vocabulary.ranks), WORDS)
     ids, bytes_ = fold(spark, vocabulary), unfold(spark, vocabulary)
+    hot = spark.sparkContext.broadcast(hot_words(texts, vocabulary, ids, bytes_, digest))
+    words = texts.mapInArrow(collect_words(vocabulary.pattern, vocabulary.ranks, hot), WORDS)
     folded = words.withColumn("ids", F.transform("words", ids)).withColumn("decoded", F.transform("ids", bytes_)).drop("words")
     content = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>, decoded binary"
-    return folded.mapInArrow(assemble(digest), f"doc_id long, {content}")
+    return folded.mapInArrow(assemble(digest, hot), f"doc_id long, {content}")
