@@ -14,7 +14,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import ascii_lower
+from tickloom.llm.common import ascii_lower, cut
 
 #: Public suffixes of two labels.
 TWO_LABEL_SUFFIXES = ("ac.uk", "co.jp", "co.nz", "co.uk", "com.au", "com.br", "com.cn", "gov.uk", "or.jp", "org.au", "org.uk")
@@ -63,7 +63,7 @@ def host_posteriors(outcomes: DataFrame, least_rho: float = 1e-3, most_rho: floa
     At each level the prior's mean is the parent's posterior mean m and its strength is 1/rho - 1, with rho the moment
     estimate sum((k-nm)^2 - nm(1-m)) / sum(n(n-1)m(1-m)), held within least_rho and most_rho.
     """
-    hosts = outcomes.groupBy(*LEVELS).agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
+    hosts = cut(outcomes.groupBy(*LEVELS).agg(F.sum("n").alias("n"), F.sum("k").alias("k")), "hosts")  # each level reads it
     domains = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     overall = suffixes.agg(((F.coalesce(F.sum("k"), F.lit(0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0)) + 2.0)).alias("m"))
@@ -77,7 +77,7 @@ def host_posteriors(outcomes: DataFrame, least_rho: float = 1e-3, most_rho: floa
         return level.withColumn("strength", strength).withColumn("mean", (F.col("strength") * F.col("m") + F.col("k")) / (F.col("strength") + F.col("n")))
 
     top = shrink(suffixes.withColumn("m", overall.scalar())).select("suffix", F.col("mean").alias("m"))
-    mid = shrink(domains.join(top, "suffix")).select("suffix", "domain", F.col("mean").alias("m"))
+    mid = cut(shrink(domains.join(top, "suffix")).select("suffix", "domain", F.col("mean").alias("m")), "domains")
     low = shrink(hosts.join(mid, ["suffix", "domain"]))
     deviation = F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("strength") + F.col("n") + 1))
     return low.select("host_name", "n", "k", "mean", (F.col("mean") - z * deviation).alias("bound"))
