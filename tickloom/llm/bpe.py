@@ -26,7 +26,7 @@ from tickloom.llm.fast_encode import PIECE
 MOST_WORDS, CHUNK = 300_000, 2 << 20
 #: Words of ASCII up to this size hardly ever have a place to be cut.
 PLAIN_BYTES = 24
-HOT_WORDS, HOT_LENGTH, HOT_DOCUMENTS = 200_000, 24, 16_000
+HOT_WORDS, HOT_LENGTH, HOT_DOCUMENTS = 400_000, 24, 48_000
 #: Factors of the rank map's slot for a pair of ids.
 LEFT, RIGHT = 40503, 2654435
 
@@ -132,17 +132,34 @@ def unfold(spark: SparkSession, vocabulary: Vocabulary):
     return lambda ids: F.aggregate(ids, F.lit(bytearray()), lambda s, i: F.concat(s, piece(i)))
 
 
-def cuts(word: bytes, tokens: frozenset[bytes], longest: int) -> list[bytes]:
-    """word cut wherever no token that occurs in it spans the place: no merge can either, so the ids are those of the parts."""
-    out, start, reach, n = [], 0, 1, len(word)
-    for i in range(n):
-        if i == reach:
+class Joints(NamedTuple):
+    """What of the tokens decides whether one can span a place: adjacent bytes, with the byte before or after, or at a token's start or end."""
+
+    pairs: frozenset[bytes]
+    triples: frozenset[bytes]
+    starts: frozenset[bytes]
+    ends: frozenset[bytes]
+
+
+def joints(ranks: dict[bytes, int]) -> Joints:
+    tokens = [t for t in ranks if len(t) > 1]
+    pairs = frozenset(t[i : i + 2] for t in tokens for i in range(len(t) - 1))
+    triples = frozenset(t[i : i + 3] for t in tokens for i in range(len(t) - 2))
+    return Joints(pairs, triples, frozenset(t[:2] for t in tokens), frozenset(t[-2:] for t in tokens))
+
+
+def cuts(word: bytes, j: Joints) -> list[bytes]:
+    """word cut where no token can span the place: no merge can either, so the ids are those of the parts.
+
+    A token that spans it has the bytes on both sides, and either starts with them or has the byte before too; likewise after.
+    """
+    out, start, n = [], 0, len(word)
+    for i in range(1, n):
+        two = word[i - 1 : i + 1]
+        left = two in j.starts or (i > 1 and word[i - 2 : i + 1] in j.triples)
+        if not (two in j.pairs and left and (two in j.ends or (i + 1 < n and word[i - 1 : i + 2] in j.triples))):
             out.append(word[start:i])
-            start, reach = i, i + 1
-        for j in range(min(n, i + longest), max(reach, i + 1), -1):
-            if word[i:j] in tokens:
-                reach = j
-                break
+            start = i
     out.append(word[start:])
     return out
 
@@ -155,8 +172,7 @@ def splitter(pattern: str, ranks: dict[bytes, int]):
     import regex
 
     split = regex.compile(pattern).findall
-    tokens = frozenset(t for t in ranks if len(t) > 1)
-    longest = max(map(len, tokens), default=1)
+    seams = joints(ranks)
 
     def parts_of(piece: str) -> list[bytes]:
         out = []
@@ -165,7 +181,7 @@ def splitter(pattern: str, ranks: dict[bytes, int]):
             if len(raw) <= PLAIN_BYTES and raw.isascii():
                 out.append(raw)
             else:
-                out += cuts(raw, tokens, longest)
+                out += cuts(raw, seams)
         return out
 
     return parts_of
@@ -176,14 +192,13 @@ def byte_arrays(words: list[bytes]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(words), np.uint8).astype(np.int32)))
 
 
-class Hot(NamedTuple):
-    number: dict[str, int]
+class Codes(NamedTuple):
     n: list[int]
     coded: list[bytes]
     raw: list[bytes]
 
 
-def hot_words(docs: DataFrame, vocabulary: Vocabulary, ids, bytes_, digest: bool) -> Hot:
+def hot_words(docs: DataFrame, vocabulary: Vocabulary, ids, bytes_, digest: bool) -> tuple[list[str], Codes]:
     """The most frequent pieces of HOT_DOCUMENTS documents (those whose doc_id has the least hash) with what they encode to."""
     chosen = docs.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(HOT_DOCUMENTS).distinct()
     some = docs.join(F.broadcast(chosen), "doc_id", "left_semi").select("text")
@@ -213,7 +228,7 @@ def hot_words(docs: DataFrame, vocabulary: Vocabulary, ids, bytes_, digest: bool
     rows = folded.toArrow()  # HOT_WORDS at most
     pieces, lists = rows.column("piece").to_pylist(), rows.column("ids").to_pylist()
     code = codes_of(digest)
-    return Hot({p: i for i, p in enumerate(pieces)}, [len(x) for x in lists], [code(x) for x in lists], rows.column("decoded").to_pylist())
+    return pieces, Codes([len(x) for x in lists], [code(x) for x in lists], rows.column("decoded").to_pylist())
 
 
 def codes_of(digest: bool):
@@ -226,7 +241,7 @@ def collect_words(pattern: str, ranks: dict[bytes, int], hot):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts_of = splitter(pattern, ranks)
-        number: dict[str, int] = dict(hot.value.number)
+        number: dict[str, int] = {p: i for i, p in enumerate(hot.value)}
         shared: dict[bytes, int] = {}  # parts of pieces that have several
         keys, texts, size, fresh, total = [], [], 0, True, 0
 
@@ -265,7 +280,7 @@ def collect_words(pattern: str, ranks: dict[bytes, int], hot):
                     yield chunk()
                     keys, texts, size, fresh = [], [], 0, False
                     if total > MOST_WORDS:
-                        number, shared, fresh, total = dict(hot.value.number), {}, True, 0
+                        number, shared, fresh, total = {p: i for i, p in enumerate(hot.value)}, {}, True, 0
         if keys:
             yield chunk()
 
@@ -333,8 +348,8 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, digest: bool = False) -> Dat
     spark = docs.sparkSession
     texts = docs.select("doc_id", text_of().alias("text"))
     ids, bytes_ = fold(spark, vocabulary), unfold(spark, vocabulary)
-    hot = spark.sparkContext.broadcast(hot_words(texts, vocabulary, ids, bytes_, digest))
-    words = texts.mapInArrow(collect_words(vocabulary.pattern, vocabulary.ranks, hot), WORDS)
+    pieces, codes = map(spark.sparkContext.broadcast, hot_words(texts, vocabulary, ids, bytes_, digest))
+    words = texts.mapInArrow(collect_words(vocabulary.pattern, vocabulary.ranks, pieces), WORDS)
     folded = words.withColumn("ids", F.transform("words", ids)).withColumn("decoded", F.transform("ids", bytes_)).drop("words")
     content = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>, decoded binary"
-    return folded.mapInArrow(assemble(digest, hot), f"doc_id long, {content}")
+    return folded.mapInArrow(assemble(digest, codes), f"doc_id long, {content}")
