@@ -196,6 +196,31 @@ def cv_score(spark, sf_dir):
     return _rounded(_scores(spark, sf_dir), ["cand_idx", "cv_complete", "cv_n_folds_ok", "cv_n_folds_total"], ["cv_score", "valid_agg", "valid_std", "valid_min"])
 
 
+def cv_score_dsr(spark, sf_dir):
+    """Deflated Sharpe ratios as the selection metric, their mean as the aggregate."""
+    scores = S.cv_scores(_metrics(spark, sf_dir, "dsr_net"), CV.n_folds, "mean", 1.0)
+    return _rounded(scores, ["cand_idx", "cv_complete"], ["cv_score", "valid_agg", "train_agg"])
+
+
+def cv_score_min(spark, sf_dir):
+    scores = S.cv_scores(_metrics(spark, sf_dir, "total_return"), CV.n_folds, "min", 0.0)
+    return _rounded(scores, ["cand_idx"], ["cv_score", "train_valid_gap"])
+
+
+def aligned_positions(spark, sf_dir):
+    """Positions from elsewhere, some rows missing, put onto the panel's rows: what is missing is flat."""
+    rows = _panel(spark, sf_dir).where("split = 'valid'")
+    kept = rows.where("row_idx % 3 <> 0")
+    return P.aligned(rows, kept.select(*P.KEY, "ts", "raw")).groupBy(*ID).agg(F.sum(F.abs("raw")).alias("days_held"))
+
+
+def reference_returns(spark, sf_dir):
+    """Asset returns implied by gross results and the position before."""
+    rows = _panel(spark, sf_dir).where("split = 'valid' and cand_idx = 0")
+    w = Window.partitionBy(*P.KEY).orderBy("row_idx")
+    return _rounded(rows.withColumn("implied", P.reference_returns(F.col("gross"), F.col("pos"), w)), [*ID, "ts"], ["implied"], 8)
+
+
 def overfit_diag(spark, sf_dir):
     return _rounded(_scores(spark, sf_dir), ["cand_idx", "train_valid_n_pairs"], ["train_agg", "train_std", "train_min", "train_valid_gap", "train_gt_valid_frac", "train_valid_corr"])
 
@@ -292,6 +317,12 @@ def run_metrics(spark, sf_dir):
     return T.run_metrics(t.metrics, first).select("key", F.round("value", 6).alias("value"))
 
 
+def run_artifact(spark, sf_dir):
+    t = _tracking(spark, sf_dir)
+    first = t.artifacts.agg(F.min("run_id")).first()[0]
+    return T.run_artifact(t.artifacts, first, "exec_stats")
+
+
 def best_candidates(spark, sf_dir):
     t = _tracking(spark, sf_dir)
     return t.best_candidates.where("score_value > 100").select("experiment_id", "rank", "strategy_hash", F.round("score_value", 6).alias("score_value"))
@@ -337,6 +368,11 @@ def _board(sort_by: str):
     return query
 
 
+def leaderboard_filtered(spark, sf_dir):
+    board = R.leaderboard(_tracking(spark, sf_dir), "MACHINERY", 10, "cv", "cv_score")
+    return board.select("experiment_id", "strategy_hash", F.round("score_value", 6).alias("score_value"))
+
+
 def experiment_flow(spark, sf_dir):
     """The flagship: bars to a ranking with holdout figures, regime metrics included."""
     plan, bars = _plan(spark, sf_dir), _bars(spark, sf_dir)
@@ -490,6 +526,12 @@ ORACLES = {
     "metrics_eav": f"WITH {METRICS} " + " UNION ALL ".join(f"SELECT cand_idx, fold, split, '{c}' AS key, round({c}, 6) AS value FROM base" for c in M.BASE),
     "fold_pairs": _pick(PAIRS, "pairs", ["cand_idx", "fold"], ["train", "valid"]),
     "cv_score": _pick(PAIRS, "scores", ["cand_idx", "cv_complete", "cv_n_folds_ok", "cv_n_folds_total"], ["cv_score", "valid_agg", "valid_std", "valid_min"]),
+    "cv_score_dsr": f"WITH {METRICS}, p AS (SELECT cand_idx, fold, max(dsr_net) FILTER (split = 'train') AS train, max(dsr_net) FILTER (split = 'valid') AS valid FROM base WHERE split <> 'test' GROUP BY 1, 2), g AS (SELECT cand_idx, count(valid) = 4 AS done, avg(valid) AS v, avg(train) AS t, stddev_samp(valid) AS s FROM p GROUP BY 1) SELECT cand_idx, done::INT::DOUBLE AS cv_complete, round(CASE WHEN done THEN v - s END, 6) + 0.0::DOUBLE AS cv_score, round(CASE WHEN done THEN v END, 6) + 0.0::DOUBLE AS valid_agg, round(CASE WHEN done THEN t END, 6) + 0.0::DOUBLE AS train_agg FROM g",
+    "cv_score_min": f"WITH {METRICS} SELECT cand_idx, round(min(total_return) FILTER (split = 'valid'), 6) + 0.0::DOUBLE AS cv_score, round(min(total_return) FILTER (split = 'train') - min(total_return) FILTER (split = 'valid'), 6) + 0.0::DOUBLE AS train_valid_gap FROM base GROUP BY 1",
+    "aligned_positions": f"WITH {PANEL} SELECT cand_idx, fold, split, sum(CASE WHEN row_idx % 3 <> 0 THEN abs(raw) ELSE 0 END)::DOUBLE AS days_held FROM panel WHERE split = 'valid' GROUP BY 1, 2, 3",
+    "reference_returns": f"WITH {PANEL}, w AS (SELECT *, lag(pos) OVER (PARTITION BY cand_idx, fold, split ORDER BY row_idx) AS before FROM panel WHERE split = 'valid' AND cand_idx = 0) SELECT cand_idx, fold, split, ts, round(CASE WHEN abs(before) > 1e-12 THEN gross / before END, 8) + 0.0::DOUBLE AS implied FROM w",
+    "run_artifact": f"WITH {TRACKING} SELECT content FROM artifacts WHERE run_id = (SELECT min(run_id) FROM artifacts)",
+    "leaderboard_filtered": f"WITH {TRACKING} SELECT e.experiment_id, b.strategy_hash, round(b.score_value, 6) AS score_value FROM experiments e JOIN best b ON b.experiment_id = e.experiment_id AND rank = 1 WHERE dataset_id = 'MACHINERY' QUALIFY row_number() OVER (ORDER BY e.experiment_id DESC) <= 500 ORDER BY score_value DESC, e.experiment_id DESC LIMIT 10",
     "overfit_diag": _pick(PAIRS, "scores", ["cand_idx", "train_valid_n_pairs"], ["train_agg", "train_std", "train_min", "train_valid_gap", "train_gt_valid_frac", "train_valid_corr"]),
     "ranking_topk": _pick(PAIRS, "ranked", ["rank", "cand_idx"], ["score_value"]),
     "holdout_eval": _pick(PAIRS, "ranked JOIN base USING (cand_idx)", ["rank", "cand_idx"], ["n_obs", "sharpe_net", "total_return", "max_drawdown"], where="WHERE split = 'test'"),
@@ -531,9 +573,9 @@ def _whole_fold(query):
 QUERIES = {f.__name__: _whole_fold(f) for f in (
     bars_daily, bars_last_n, bars_dedup_first, bars_dropna, bars_normalised, time_axis, synthetic_bars, split_single, slices_walk_forward, slice_membership, plan_meta, periods_per_year,
     signal_positions, exec_lag, asset_returns, turnover_costs, equity_curve, drawdown, equity_head, rolling_vol, regime_quantiles, base_metrics, regime_metrics, psr, dsr, metrics_eav,
-    fold_pairs, cv_score, overfit_diag, ranking_topk, holdout_eval, candidates_distinct, custom_strategy_pandas, latest_metric, latest_metric_unfolded, latest_artifact, metrics_pivot,
-    run_metrics, best_candidates, cache_hits, cache_misses, cached_runs, union_results, cache_diag, experiments_list, experiment_flow,
+    fold_pairs, cv_score, cv_score_dsr, cv_score_min, overfit_diag, aligned_positions, reference_returns, ranking_topk, holdout_eval, candidates_distinct, custom_strategy_pandas, latest_metric, latest_metric_unfolded, latest_artifact, metrics_pivot,
+    run_metrics, run_artifact, leaderboard_filtered, best_candidates, cache_hits, cache_misses, cached_runs, union_results, cache_diag, experiments_list, experiment_flow,
 )} | {"leaderboard": _board("cv"), "leaderboard_by_test": _board("test"), "leaderboard_by_test_sharpe": _board("test_sharpe")}
 #: Queries whose rows have a fold.
-FOLDED = ("split_single", "slices_walk_forward", "slice_membership", "plan_meta", "periods_per_year", "signal_positions", "exec_lag", "asset_returns", "turnover_costs", "equity_curve", "drawdown", "equity_head", "rolling_vol", "regime_quantiles", "base_metrics", "regime_metrics", "psr", "dsr", "metrics_eav", "fold_pairs", "cache_hits", "cache_misses", "cached_runs", "union_results")
+FOLDED = ("split_single", "slices_walk_forward", "slice_membership", "plan_meta", "periods_per_year", "signal_positions", "exec_lag", "asset_returns", "turnover_costs", "equity_curve", "drawdown", "equity_head", "rolling_vol", "regime_quantiles", "base_metrics", "regime_metrics", "psr", "dsr", "metrics_eav", "fold_pairs", "aligned_positions", "reference_returns", "cache_hits", "cache_misses", "cached_runs", "union_results")
 ORACLES |= {name: f"SELECT * REPLACE (coalesce(fold, -1)::INT AS fold) FROM ({ORACLES[name]}) AS q" for name in FOLDED}

@@ -122,6 +122,10 @@ def run_metrics(metrics: DataFrame, run_id: int) -> DataFrame:
     return metrics.where(F.col("run_id") == run_id).select("key", "value")
 
 
+def run_artifact(artifacts: DataFrame, run_id: int, name: str) -> DataFrame:
+    return artifacts.where((F.col("run_id") == run_id) & (F.col("name") == name)).select("content")
+
+
 def best_of(best: DataFrame, experiment_id: int) -> DataFrame:
     return best.where(F.col("experiment_id") == experiment_id).orderBy("rank")
 
