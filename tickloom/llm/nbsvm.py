@@ -104,9 +104,10 @@ def hinge_fit(owner: np.ndarray, bucket: np.ndarray, ratio: np.ndarray, y: np.nd
     """Dual coordinate descent (Hsieh et al., 2008) for the L1 hinge loss; rows have unit length and a bias feature."""
     n = len(y)
     ends = np.searchsorted(owner, np.arange(n + 1))
-    values = ratio[bucket]
-    norm = np.sqrt(np.add.reduceat(np.append(values * values, 0), np.minimum(ends[:-1], len(values))) * (ends[1:] > ends[:-1]))
-    rows = [(bucket[a:b], values[a:b] / max(s, 1e-12)) for a, b, s in zip(ends[:-1], ends[1:], norm, strict=True)]
+    values = ratio.astype(np.float32)[bucket]
+    rows = [(bucket[a:b], values[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    for _, v in rows:  # views: lengths are set in place
+        v /= max(float(np.sqrt(v @ v)), 1e-12)
     q = np.array([float(v @ v) + 1 for _, v in rows])
     upper = np.where(y > 0, c * n / (2 * max((y > 0).sum(), 1)), c * n / (2 * max((y < 0).sum(), 1)))  # balanced classes
     w, bias, alpha, rng = np.zeros(len(ratio)), 0.0, np.zeros(n), np.random.default_rng(seed)
@@ -169,8 +170,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000, sample_chars: in
     y = np.where(drawn.label.to_numpy() == 1, 1.0, -1.0)
     if len(set(y)) < 2:
         return Model(np.zeros(BUCKETS, np.float32), 0.0, 0.0, 0.0)
-    pairs = [(lo + o, b) for lo, some in groups(drawn.text.tolist()) for o, b in [indicators(some)]]
+    pairs = [((lo + o).astype(np.int32), b.astype(np.int32)) for lo, some in groups(drawn.text.tolist()) for o, b in [indicators(some)]]
     owner, bucket = (np.concatenate(x) for x in zip(*pairs, strict=True))
+    del pairs, drawn
     w, bias = hinge_fit(owner, bucket, ratio, y, c, rounds, seed)
     weights = (w * ratio).astype(np.float32)
     margin = margins(owner, bucket, len(y), weights, ratio, bias)
