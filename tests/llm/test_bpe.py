@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import public_tokenizers
+import pyarrow as pa
 import tiktoken
 
 from tickloom.llm import bpe
@@ -37,6 +38,6 @@ def test_ids_and_bytes_against_the_library(spark, monkeypatch):
 def test_words_known_start_anew(spark, monkeypatch):
     monkeypatch.setattr(bpe, "CHUNK", 20)
     monkeypatch.setattr(bpe, "MOST_WORDS", 3)
-    hot = spark.sparkContext.broadcast(["word1"])
+    hot = spark.sparkContext.broadcast(bpe.packed(pa.table({"piece": ["word1"]})))
     run = list(bpe.collect_words(VOCABULARY.pattern, VOCABULARY.ranks, hot)(iter(spark.createDataFrame([(i, f"word{i} and more of it") for i in range(5)], "doc_id long, text string").toArrow().to_batches())))
     assert [b.column("fresh")[0].as_py() for b in run] == [True] * 5

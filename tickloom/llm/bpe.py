@@ -192,14 +192,9 @@ def byte_arrays(words: list[bytes]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(words), np.uint8).astype(np.int32)))
 
 
-class Codes(NamedTuple):
-    n: list[int]
-    coded: list[bytes]
-    raw: list[bytes]
-
-
-def hot_words(docs: DataFrame, vocabulary: Vocabulary, ids, bytes_, digest: bool) -> tuple[list[str], Codes]:
-    """The most frequent pieces of HOT_DOCUMENTS documents (those whose doc_id has the least hash) with what they encode to."""
+def hot_words(docs: DataFrame, vocabulary: Vocabulary, ids, bytes_, digest: bool) -> tuple[bytes, bytes]:
+    """The most frequent pieces of HOT_DOCUMENTS documents (those whose doc_id has the least hash) with what they encode to:
+    two Arrow tables, serialized, which is how the driver holds and sends them."""
     chosen = docs.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(HOT_DOCUMENTS).distinct()
     some = docs.join(F.broadcast(chosen), "doc_id", "left_semi").select("text")
 
@@ -225,10 +220,27 @@ def hot_words(docs: DataFrame, vocabulary: Vocabulary, ids, bytes_, digest: bool
     counted = some.mapInArrow(count, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
     frequent = cut(counted.orderBy(F.desc("n"), "piece").limit(HOT_WORDS).select("piece"), "hot-words").repartition(4 * docs.sparkSession.sparkContext.defaultParallelism)
     folded = frequent.mapInArrow(cut_up, "piece string, words array<array<int>>").select("piece", F.flatten(F.transform("words", ids)).alias("ids")).withColumn("decoded", bytes_(F.col("ids")))
-    rows = folded.toArrow()  # HOT_WORDS at most
-    pieces, lists = rows.column("piece").to_pylist(), rows.column("ids").to_pylist()
-    code = codes_of(digest)
-    return pieces, Codes([len(x) for x in lists], [code(x) for x in lists], rows.column("decoded").to_pylist())
+
+    def code_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code = codes_of(digest)
+        for batch in batches:
+            lists = batch.column("ids").to_pylist()
+            yield pa.RecordBatch.from_arrays([batch.column("piece"), pa.array([len(x) for x in lists], pa.int32()), pa.array([code(x) for x in lists], pa.binary()), batch.column("decoded")], ["piece", "n", "coded", "raw"])
+
+    rows = folded.mapInArrow(code_up, "piece string, n int, coded binary, raw binary").toArrow()  # HOT_WORDS at most
+    return packed(rows.select(["piece"])), packed(rows.select(["n", "coded", "raw"]))
+
+
+def packed(table: pa.Table) -> bytes:
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, table.schema) as stream:
+        stream.write_table(table)
+    return out.getvalue().to_pybytes()
+
+
+def unpacked(data: bytes) -> list[list]:
+    """The columns of a packed table."""
+    return [c.to_pylist() for c in pa.ipc.open_stream(data).read_all().columns]
 
 
 def codes_of(digest: bool):
@@ -241,7 +253,8 @@ def collect_words(pattern: str, ranks: dict[bytes, int], hot):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts_of = splitter(pattern, ranks)
-        number: dict[str, int] = {p: i for i, p in enumerate(hot.value)}
+        hot_numbers = lambda: {p: i for i, p in enumerate(unpacked(hot.value)[0])}
+        number: dict[str, int] = hot_numbers()
         shared: dict[bytes, int] = {}  # parts of pieces that have several
         keys, texts, size, fresh, total = [], [], 0, True, 0
 
@@ -280,7 +293,7 @@ def collect_words(pattern: str, ranks: dict[bytes, int], hot):
                     yield chunk()
                     keys, texts, size, fresh = [], [], 0, False
                     if total > MOST_WORDS:
-                        number, shared, fresh, total = {p: i for i, p in enumerate(hot.value)}, {}, True, 0
+                        number, shared, fresh, total = hot_numbers(), {}, True, 0
         if keys:
             yield chunk()
 
@@ -299,7 +312,7 @@ def assemble(digest: bool, hot):
                 one = {c: batch.column(c)[r] for c in batch.schema.names}
                 if one["fresh"].as_py():
                     ids, raw, size = [], [], []
-                    piece_ids, piece_raw, piece_n = list(hot.value.coded), list(hot.value.raw), list(hot.value.n)
+                    piece_n, piece_ids, piece_raw = unpacked(hot.value)
                 lists = one["ids"].values
                 ends = (lists.offsets.to_numpy() - lists.offsets[0].as_py()).tolist()
                 flat = lists.flatten().to_pylist()
