@@ -53,13 +53,13 @@ def test_plans():
     assert (ranges(one, "train"), ranges(one, "valid"), ranges(one, "test")) == ([(0, 238)], [(242, 318)], [(322, 400)])
     walk = V.walk_forward_plan(400, CvConfig(method="walk_forward"))
     assert ranges(walk, "train") == [(0, 120), (0, 170), (0, 220)] and ranges(walk, "valid") == [(122, 172), (172, 222), (222, 272)]
-    assert ranges(walk, "test") == [(320, 400)] and walk.holdout_train[0].hi == 318 and V.feasible_folds(320, CvConfig()) == 3
+    assert ranges(walk, "test") == [(320, 400)] and walk.holdout_train[0].hi == 318 and V.feasible_folds(318, CvConfig()) == 3
     csv = V.walk_forward_plan(400, CvConfig(method="walk_forward", valid_window_rows=60, step_rows=60))
     assert ranges(csv, "valid") == [(122, 182), (182, 242), (242, 302)]
     fixed = V.walk_forward_plan(400, CvConfig(method="walk_forward", train_window_rows=120))
     assert ranges(fixed, "train") == [(0, 120), (50, 170), (100, 220)]
     assert not V.walk_forward_plan(400, CvConfig(method="walk_forward", holdout_test_rows=0)).has_holdout
-    for bad in ({"n_folds": 4}, {"holdout_test_rows": 400}, {"min_train_rows": 320}, {"train_window_rows": 50}, {"min_valid_rows": 60}):
+    for bad in ({"n_folds": 4}, {"valid_window_rows": 66, "step_rows": 66}, {"holdout_test_rows": 400}, {"min_train_rows": 320}, {"train_window_rows": 50}, {"min_valid_rows": 60}):
         with pytest.raises(ValueError):
             V.walk_forward_plan(400, CvConfig(**({"method": "walk_forward"} | bad)))
     with pytest.raises(ValueError):

@@ -65,30 +65,31 @@ def feasible_folds(limit: int, cfg: CvConfig) -> int:
 
 
 def walk_forward_plan(n: int, cfg: CvConfig) -> Plan:
-    limit, holdout = n, []
+    start, holdout = n, []
     train_start = lambda end: max(0, end - cfg.train_window_rows) if cfg.train_window_rows else 0
     slices: list[Slice] = []
     if cfg.holdout_test_rows > 0:
-        limit = n - cfg.holdout_test_rows
-        if limit <= 0:
+        start = n - cfg.holdout_test_rows
+        if start <= 0:
             raise ValueError(f"a holdout of {cfg.holdout_test_rows} rows leaves none of {n}")
-        end = max(0, limit - cfg.purge_rows)
-        holdout = [Slice(None, "holdout_train", train_start(end), end)]
+    limit = max(0, start - cfg.purge_rows)  # the gap before the holdout belongs to no fold
+    if cfg.holdout_test_rows > 0:
+        holdout = [Slice(None, "holdout_train", train_start(limit), limit)]
     first = cfg.min_train_rows + cfg.purge_rows
     if first >= limit:
-        raise ValueError(f"the first valid row would be {first}, with {limit} rows before the holdout")
+        raise ValueError(f"the first valid row would be {first}, with {limit} rows before the gap and the holdout")
     most = feasible_folds(limit, cfg)
     if cfg.n_folds > most:
         raise ValueError(f"{cfg.n_folds} folds are asked for, {most} fit")
     for i in range(cfg.n_folds):
         at = first + i * cfg.step_rows
-        train, valid = Slice(i, "train", train_start(at - cfg.purge_rows), at - cfg.purge_rows), Slice(i, "valid", at, min(at + cfg.valid_window_rows, limit))
+        train, valid = Slice(i, "train", train_start(at - cfg.purge_rows), at - cfg.purge_rows), Slice(i, "valid", at, at + cfg.valid_window_rows)
         for s, least in ((train, cfg.min_train_rows), (valid, cfg.min_valid_rows)):
             if s.rows < least:
                 raise ValueError(f"fold {i}: {s.split} has {s.rows} rows, fewer than {least}")
         slices += [train, valid]
     if holdout:
-        slices.append(Slice(None, "test", limit, n))
+        slices.append(Slice(None, "test", start, n))
     return Plan("walk_forward", slices, n, holdout)
 
 
