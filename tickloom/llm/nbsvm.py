@@ -39,6 +39,10 @@ class Model(NamedTuple):
     offset: float
 
 
+#: Without labels of both classes: 1/2 everywhere.
+UNFITTED = Model(np.zeros(BUCKETS, np.float32), 0.0, 0.0, 0.0)
+
+
 def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % 4 == 2
 
@@ -134,7 +138,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000, sample_chars: in
     Class counts of n-grams are taken over all labelled rows, in an aggregate of at most 2^18 buckets. The hinge-loss
     model and the curve are fitted on sample rows at most, half of each class where there are so many: those whose
     doc_id has the least hash, whole, and together sample_chars characters at most (a text over a twentieth of that isn't
-    drawn). Without labels of both classes the
+    drawn); one executor task fits them. Without labels of both classes the
     score is 1/2 everywhere. Rows that repeat count as often as they occur; labels of a doc_id that disagree are dropped.
     """
     one = labels.where(F.col("label").isin(0, 1)).groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("_max")).where("label = _max").select("doc_id", "label")
@@ -152,13 +156,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000, sample_chars: in
             at = np.flatnonzero(total.sum(0))
             yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(total[0, at], seen[0])), pa.array(np.append(total[1, at], seen[1]))], ["bucket", "n0", "n1"])
 
-    table = rows.mapInArrow(counts, "bucket long, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toPandas()  # 2^18 rows at most
+    table = rows.mapInArrow(counts, "bucket long, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()  # 2^18 rows at most
+    at, n0, n1 = (table.column(c).to_numpy() for c in ("bucket", "n0", "n1"))
+    seen = (n0[at < 0].sum(), n1[at < 0].sum())
+    if not min(seen):
+        return UNFITTED
     count = np.zeros((2, BUCKETS))
-    inner = table[table.bucket >= 0]
-    count[0, inner.bucket], count[1, inner.bucket] = inner.n0, inner.n1
-    both = table[table.bucket < 0]
-    if not len(both) or both.n0.iloc[0] == 0 or both.n1.iloc[0] == 0:
-        return Model(np.zeros(BUCKETS, np.float32), 0.0, 0.0, 0.0)
+    count[:, at[at >= 0]] = n0[at >= 0], n1[at >= 0]
     ratio = np.log((count[1] + 1) / (count[1] + 1).sum()) - np.log((count[0] + 1) / (count[0] + 1).sum())
     ratio[count.sum(0) == 0] = 0
 
@@ -166,18 +170,29 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000, sample_chars: in
     parts = [one.where(F.col("label") == y).orderBy(order, "doc_id").limit(sample // 2) for y in (0, 1)]
     drawn = rows.join(F.broadcast(parts[0].union(parts[1]).select("doc_id")), "doc_id", "left_semi").select("label", "text", order.alias("_order"), F.length("text").alias("_size")).where(F.col("_size") <= sample_chars // 20)
     upto = F.sum("_size").over(Window.partitionBy("label").orderBy("_order", "text").rowsBetween(Window.unboundedPreceding, 0))
-    drawn = drawn.withColumn("_upto", upto).where(F.col("_upto") <= sample_chars // 2).orderBy("label", "_order", "text").select("label", "text").toPandas()
-    y = np.where(drawn.label.to_numpy() == 1, 1.0, -1.0)
-    if len(set(y)) < 2:
-        return Model(np.zeros(BUCKETS, np.float32), 0.0, 0.0, 0.0)
-    pairs = [((lo + o).astype(np.int32), b.astype(np.int32)) for lo, some in groups(drawn.text.tolist()) for o, b in [indicators(some)]]
-    owner, bucket = (np.concatenate(x) for x in zip(*pairs, strict=True))
-    del pairs, drawn
-    w, bias = hinge_fit(owner, bucket, ratio, y, c, rounds, seed)
-    weights = (w * ratio).astype(np.float32)
-    margin = margins(owner, bucket, len(y), weights, ratio, bias)
-    slope, offset = curve(margin, y)
-    return Model(np.stack([weights, ratio.astype(np.float32)]), bias, slope, offset)
+    drawn = drawn.withColumn("_upto", upto).where(F.col("_upto") <= sample_chars // 2).repartition(1).sortWithinPartitions("label", "_order", "text").select("label", "text")
+
+    def hinge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One task for the whole sample, whose size is bounded; the driver gets the weights alone."""
+        y, pairs = [], []
+        for b in batches:
+            for lo, some in groups(b.column("text").to_pylist()):
+                o, k = indicators(some)
+                pairs.append(((len(y) + lo + o).astype(np.int32), k.astype(np.int32)))
+            y += b.column("label").to_pylist()
+        y = np.where(np.array(y) == 1, 1.0, -1.0)
+        if len(set(y)) == 2:
+            owner, bucket = (np.concatenate(x) for x in zip(*pairs, strict=True))
+            w, bias = hinge_fit(owner, bucket, ratio, y, c, rounds, seed)
+            weights = (w * ratio).astype(np.float32)
+            slope, offset = curve(margins(owner, bucket, len(y), weights, ratio, bias), y)
+            yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()]), *[pa.array([float(x)]) for x in (bias, slope, offset)]], ["weights", "bias", "slope", "offset"])
+
+    fitted = drawn.mapInArrow(hinge, "weights binary, bias double, slope double, offset double").collect()
+    if not fitted:
+        return UNFITTED
+    weights, bias, slope, offset = fitted[0]
+    return Model(np.stack([np.frombuffer(weights, np.float32), ratio.astype(np.float32)]), bias, slope, offset)
 
 
 def margins(owner: np.ndarray, bucket: np.ndarray, n: int, weights: np.ndarray, ratio: np.ndarray, bias: float) -> np.ndarray:
