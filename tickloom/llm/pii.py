@@ -1,9 +1,10 @@
 """Personal data: base patterns, and identifiers found by bootstrapped contexts. DataFrame operations only.
 
-Base spans are e-mail addresses, IP addresses, payment cards and phone numbers. They seed lexical patterns: the words to
-the left and right of an entity with its outer shape. Patterns and the instances they extract (shapes of identifier-like
-tokens in context) form a graph; scores go back and forth over it for some rounds, and the instances of patterns that
-end with high confidence are further spans.
+Base spans are e-mail addresses, IP addresses, payment cards and phone numbers. They and keys (long runs of hexadecimal
+digits, which are no spans of their own) seed lexical patterns: the word and the signs before a mention, and those after
+it. Patterns and the instances that they extract (identifier-like tokens in context) form a graph; scores go back and
+forth over it for some rounds, so that an instance trusted in one round makes patterns of the next. Instances in
+patterns that end with high confidence are further spans.
 """
 
 from __future__ import annotations
@@ -26,11 +27,18 @@ PATTERNS = {
 NEEDS = {"email": r"@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
 SPANS = "array<struct<start:int,end:int,value:string,left:string,right:string>>"
 BLOCK = 256
+#: Characters on each side of a mention that patterns come from; of a longer word the part nearest to the mention counts.
 NEAR = 80
+#: What stands between words in a pattern: blanks, quotes, brackets and the signs after labels.
+JOINT = r"\x20\x09-\x0D\"'()<>\[\]{}=:,;"
+BLANKS = r"[\x20\x09-\x0D]+"
 #: A token that may be an identifier: six characters or more that ids are written in, a digit among them.
 TOKEN = r"(?<![A-Za-z0-9@._+/-])(?=[A-Za-z@._+/-]*+[0-9])[A-Za-z0-9@._+/-]{6,}+"
-ROUNDS = 3
-#: A pattern is trusted if it extracts this share of identifiers, from this many different ones.
+#: Tokens that are seeds by their shape: keys and digests of 128, 160 or 256 bits.
+KEY = r"^(?:[0-9A-Fa-f]{32}|[0-9A-Fa-f]{40}|[0-9A-Fa-f]{64})$"
+ROUNDS = 4
+#: A pattern is trusted if this share of what stands in its place anywhere are identifiers, this many different ones; an
+#: instance is if its patterns say so with this probability.
 SURE, LEAST = 0.6, 3
 
 
@@ -80,13 +88,18 @@ def valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def word_at(side: str, context: Column) -> Column:
-    """The word beside a mention, after a blank and the quotes and brackets between: a lexical pattern. What is written
-    onto the mention is no word of its own, and counts of words don't know it."""
-    blank, word, signs = r"[\x20\x09-\x0D]", r"([^\x20\x09-\x0D\"'(<\[{]{1,40})", r"[\"'(<\[{]*"
-    left, right = f"(?:^|[\\x20\\x09-\\x0D\"'(<\\[{{]){word}{blank}+{signs}$", rf"^[\"')>\]}}.,;:!?]*{blank}+{signs}{word}"
-    out = F.regexp_extract(context, left if side == "L" else right, 1)
-    return ascii_lower(out)
+def pattern_at(side: str, context: Column) -> Column:
+    """The word beside a mention and the blanks and signs between, in lower case, runs of blanks as one; empty if nothing is between."""
+    unit = f"([^{JOINT}]+[{JOINT}]+)$" if side == "L" else f"^([{JOINT}]+[^{JOINT}]+)"
+    return F.regexp_replace(ascii_lower(F.regexp_extract(context, unit, 1)), BLANKS, " ")
+
+
+def units(text: Column) -> Column:
+    """All patterns that could stand before or after something in a text."""
+    flat = F.regexp_replace(ascii_lower(text), BLANKS, " ")
+    before = F.transform(F.regexp_extract_all(flat, F.lit(f"[^{JOINT}]+[{JOINT}]+"), F.lit(0)), lambda u: F.concat(F.lit("L:"), F.right(u, F.lit(NEAR))))
+    after = F.transform(F.regexp_extract_all(flat, F.lit(f"[{JOINT}]+[^{JOINT}]+"), F.lit(0)), lambda u: F.concat(F.lit("R:"), F.left(u, F.lit(NEAR))))
+    return F.concat(before, after)
 
 
 def mentions(docs: DataFrame, keep: list[str]) -> DataFrame:
@@ -101,38 +114,42 @@ def mentions(docs: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def edges_of(table: DataFrame) -> DataFrame:
-    """pattern (L: or R: and a word), value, seed and _row, start, end for each side of each mention."""
-    parts = [F.transform(f"_{k}", lambda s: F.struct(s.alias("s"), F.lit(k != "other").alias("seed"))) for k in (*KINDS, "other")]
+    """pattern (L: or R: and what stands there), value, seed, base and _row, start, end for each side of each mention."""
+    seed = lambda k, s: F.lit(True) if k != "other" else s["value"].rlike(KEY)
+    parts = [F.transform(f"_{k}", lambda s: F.struct(s.alias("s"), seed(k, s).alias("seed"), F.lit(k != "other").alias("base"))) for k in (*KINDS, "other")]
     each = table.select("_row", F.explode(F.concat(*parts)).alias("m"))
-    sides = F.array(*[F.struct(F.lit(side).alias("side"), word_at(side, F.col(f"m.s.{name}")).alias("word")) for side, name in (("L", "left"), ("R", "right"))])
-    each = each.select("_row", "m.seed", "m.s.start", "m.s.end", "m.s.value", F.explode(sides).alias("p")).where("p.word <> ''")
-    return each.select("_row", "seed", "start", "end", "value", F.concat_ws(":", "p.side", "p.word").alias("pattern"))
+    sides = F.array(*[F.struct(F.lit(side).alias("side"), pattern_at(side, F.col(f"m.s.{name}")).alias("unit")) for side, name in (("L", "left"), ("R", "right"))])
+    each = each.select("_row", "m.seed", "m.base", "m.s.start", "m.s.end", "m.s.value", F.explode(sides).alias("p")).where("p.unit <> ''")
+    return each.select("_row", "seed", "base", "start", "end", "value", F.concat_ws(":", "p.side", "p.unit").alias("pattern"))
 
 
 def trusted_patterns(edges: DataFrame, docs: DataFrame) -> DataFrame:
     """pattern and confidence of those that end with SURE or more.
 
-    A pattern's score is the sum of its instances' scores over all words that the pattern extracts anywhere in docs (what
-    stands after, or before, any occurrence of its word); an instance's is 1 for a seed, else noisy-or over its
-    patterns. Scores go round ROUNDS times. Patterns whose score can't reach SURE whatever their instances' scores, or
-    with fewer than LEAST different seeds, or that extract nothing but seeds are left out first: that changes no result.
+    A pattern's confidence is the sum of its instances' scores over all occurrences of the pattern in docs, whatever
+    stands in the instance's place; it is 0 until LEAST different instances score SURE. An instance's score is 1 for a
+    seed, else noisy-or over its patterns. Scores go round until no confidence moves, ROUNDS times at most. Patterns with
+    fewer than LEAST instances, or of whose occurrences fewer than SURE have one, can't be trusted in any round: they
+    are left out first.
     """
     graph = edges.groupBy("pattern", "value").agg(F.max("seed").alias("seed"), F.count("*").alias("n"))
-    sizes = graph.groupBy("pattern").agg(F.sum("n").alias("most"), F.count(F.when(F.col("seed"), 1)).alias("seeds"), F.count(F.when(~F.col("seed"), 1)).alias("others"))
-    hopeful = cut(sizes.where((F.col("seeds") >= LEAST) & (F.col("others") > 0)).select("pattern", "most"), "pii-patterns")
-    if hopeful.isEmpty():
-        return hopeful.select("pattern", F.lit(1.0).alias("confidence"))
-    words = docs.select(F.explode(F.split(ascii_lower(text_of()), r"[\x20\x09-\x0D\"'(<\[{]+")).alias("word")).where("word <> ''").groupBy("word").agg(F.count("*").alias("all"))
-    of_word = hopeful.withColumn("word", F.substring("pattern", 3, 1000)).join(words, "word", "left").withColumn("all", F.greatest("most", F.coalesce("all", F.lit(0))))
-    of_word = of_word.where(F.col("most") >= SURE * F.col("all")).select("pattern", "all")
-    graph = cut(graph.join(of_word, "pattern"), "pii-graph")
-    instance = graph.groupBy("value").agg(F.max(F.col("seed").cast("double")).alias("score"))
-    for _ in range(ROUNDS):
-        pattern = graph.join(instance, "value").groupBy("pattern").agg((F.sum(F.col("n") * F.col("score")) / F.first("all")).alias("confidence"))
-        pattern = cut(pattern, "pii-scores")
+    sizes = graph.groupBy("pattern").agg(F.sum("n").alias("most"), F.count("*").alias("values"))
+    hopeful = cut(sizes.where(F.col("values") >= LEAST).select("pattern", "most"), "pii-patterns")
+    occurs = docs.select(F.explode(units(text_of())).alias("unit")).join(hopeful.select(F.col("pattern").alias("unit")), "unit").groupBy("unit").agg(F.count("*").alias("all"))
+    all_ = F.greatest("most", F.coalesce("all", F.lit(0)))
+    fit = hopeful.join(occurs, hopeful["pattern"] == occurs["unit"], "left").select("pattern", "most", all_.alias("all")).where(F.col("most") >= SURE * F.col("all"))
+    graph = cut(graph.join(fit.select("pattern", "all"), "pattern"), "pii-graph")
+    scored = graph.withColumn("score", F.col("seed").cast("double"))
+    for turn in range(ROUNDS):
+        sure = F.count(F.when(F.col("score") >= SURE, 1)) >= LEAST
+        pattern = cut(scored.groupBy("pattern").agg(F.when(sure, F.sum(F.col("n") * F.col("score")) / F.first("all")).otherwise(0.0).alias("confidence")), "pii-scores")
+        found = tuple(pattern.agg(F.count(F.when(F.col("confidence") >= SURE, 1)), F.round(F.sum("confidence"), 9)).first())
+        if not found[0] or (turn and found == last):
+            break
+        last = found
         miss = F.sum(F.log1p(-F.least("confidence", F.lit(1 - 1e-9))))
-        seeded = F.max(F.col("seed").cast("double"))
-        instance = graph.join(pattern, "pattern").groupBy("value").agg(F.greatest(seeded, 1 - F.exp(miss)).alias("score"))
+        instance = graph.join(pattern, "pattern").groupBy("value").agg(F.greatest(F.max(F.col("seed").cast("double")), 1 - F.exp(miss)).alias("score"))
+        scored = graph.join(instance, "value")
     return pattern.where(F.col("confidence") >= SURE)
 
 
@@ -144,7 +161,7 @@ def find(docs: DataFrame, keep: list[str]) -> DataFrame:
     table = cut(mentions(docs, keep), "pii-mentions")
     edges = edges_of(table)
     trusted = trusted_patterns(edges, docs).select("pattern")
-    new = edges.where(~F.col("seed")).join(trusted, "pattern").select("_row", F.struct("start", "end").alias("s"))
+    new = edges.where(~F.col("base")).join(trusted, "pattern").select("_row", F.struct("start", "end").alias("s"))
     new = new.groupBy("_row").agg(F.array_sort(F.collect_set("s")).alias("_context")).withColumnRenamed("_row", "_of")
     table = table.join(new, F.col("_row") == F.col("_of"), "left")
     parts = [F.transform(f"_{k}", lambda s: F.struct(F.lit(k).alias("kind"), s["start"].alias("start"), s["end"].alias("end"))) for k in KINDS]
