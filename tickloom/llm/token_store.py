@@ -25,25 +25,37 @@ SEGMENT = "shard int, segment long, doc_ids array<long>, n_tokens array<long>, o
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str, size: int = 64 << 10, samples: int = 512, sample_ids: int = 4096) -> bytes:
-    """A zstandard dictionary from the ids of the samples documents whose doc_id has the least hash, at most sample_ids
-    ids of each: a bounded sample. Empty if the sample is too small to train on; zstandard then runs without one."""
-    import zstandard
+    """A zstandard dictionary from ids of a bounded sample: samples documents, those with the least hash, and of each at
+    most sample_ids ids from a hashed place in its text. One executor task trains it; the driver gets the dictionary
+    alone. Empty if the sample is too small to train on; zstandard then runs without one."""
+    key, wide, total = F.xxhash64("doc_id", "text"), 8 * sample_ids, docs.count()
+    drawn = docs.where(F.pmod(key, F.lit(1 << 40)) <= (1 << 40) * min(1.0, 4 * samples / max(total, 1)))  # some 4 x samples rows at any size
+    at = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.length("text") - wide, F.lit(0)) + 1).cast("int")
+    some = drawn.select(key.alias("_key"), F.substring("text", at + 1, F.lit(wide)).alias("text")).repartition(1).sortWithinPartitions("_key", "text")
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        coder, ids, left = encoder(tokenizer), [], samples
+        for batch in batches:
+            texts = batch.column("text").to_pylist()[:left]
+            left -= len(texts)
+            ids += [x[: sample_ids * coder.dtype.itemsize] for x in coder.encode(texts) if x]
+        try:
+            body = zstandard.train_dictionary(size, ids).as_bytes()
+        except zstandard.ZstdError:
+            body = b""
+        yield pa.RecordBatch.from_arrays([pa.array([body], pa.binary())], ["body"])
 
-    some = docs.orderBy(F.xxhash64("doc_id"), "doc_id").limit(samples).select(F.substring(text_of(), 1, 8 * sample_ids).alias("text"))
-    texts = [r[0] for r in some.collect()]
-    coder = encoder(tokenizer)
-    ids = [x[: sample_ids * coder.dtype.itemsize] for x in coder.encode(texts) if x]
-    try:
-        return zstandard.train_dictionary(size, ids).as_bytes()
-    except zstandard.ZstdError:
-        return b""
+    return b"".join(bytes(r[0]) for r in some.mapInArrow(train, "body binary").collect())
 
 
 def write_store(docs: DataFrame, tokenizer: str, end_id: int | None = None, path: str | None = None, level: int = 1) -> str:
     """Encodes whole texts, adds end_id to each, and writes the store; returns its path.
 
-    Rows go in ascending doc_id order (null first), rows of one doc_id by their text. Shards are ranges of doc_id, so no
-    task holds more than its range; a segment is bounded by ids, and a longer document is a segment by itself. A null
+    Rows go in ascending doc_id order (null first), rows of one doc_id by their text's hash. Shards are ranges of both,
+    so a doc_id that very many rows have is spread too; a segment is bounded by ids, and a longer document is a segment by
+    itself. A null
     text is empty; an empty table gives a store without segments. Only doc_id and text are read.
     """
     spark = docs.sparkSession
@@ -87,7 +99,7 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int | None = None, path
         if ids:
             yield flush()
 
-    ordered = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = docs.withColumn("_text", F.xxhash64("text")).repartitionByRange("doc_id", "_text").sortWithinPartitions("doc_id", "_text", "text")
     ordered.mapInArrow(segments, SEGMENT).write.parquet(f"{path}/segments")
     return path
 
