@@ -63,7 +63,7 @@ def test_search_against_brute_force(spark):
     rows += [(2000, None), (2050, [0.0] * dims), (2100, [float("nan")] * dims), (2150, [None] * dims), (None, twin), (2001, [rng.random() for _ in range(dims)])]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     got = {}
-    for r in mih.search(mih.build(table), table.where("vec_id % 50 = 0")).collect():
+    for r in mih.search(mih.build(table), "vec_id % 50 = 0").collect():
         got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
     want = brute([(i, v if v is None or None in v else np.float32(v).tolist()) for i, v in rows], 5)
     assert got.keys() == want.keys()
@@ -79,6 +79,47 @@ def test_search_against_brute_force(spark):
 
 def test_search_of_few(spark):
     table = spark.createDataFrame([(0, [1.0, 0.0]), (50, [0.0, 1e300]), (1, [1e-300, 1e-300])], "vec_id long, embedding array<double>")
-    got = mih.search(mih.build(table), table.where("vec_id % 50 = 0")).collect()
+    got = mih.search(mih.build(table), "vec_id % 50 = 0").collect()
     assert sorted((r.query_id, r.rank, r.vec_id) for r in got) == [(0, 1, 1), (0, 2, 50), (50, 1, 1), (50, 2, 0)]
     assert mih.search(mih.build(table.limit(0)), table).count() == 0
+
+
+def test_rows_that_repeat_an_id(spark):
+    """Only the query's own row is left out; rows of one id are queries and candidates of their own."""
+    table = spark.createDataFrame([(0, [1.0, 0.0]), (0, [1.0, 0.1]), (7, [1.0, 0.2])], "vec_id long, embedding array<double>")
+    got = [(r.query_id, r.rank, r.vec_id) for r in mih.search(mih.build(table), "vec_id = 0").collect()]
+    assert sorted(got) == [(0, 1, 0), (0, 1, 0), (0, 2, 7), (0, 2, 7)]
+    far = [(r.rank, r.vec_id) for r in mih.search(mih.build(table), table.where("vec_id = 7")).collect()]
+    assert far == [(1, 7), (2, 0), (3, 0)]
+
+
+def test_codes_prune(spark):
+    """On the given vectors under a tenth of the rows lie within the radius; recall is held above."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    index = mih.build(rows)
+    coded = index.rows.select("code").collect()
+    packed = np.array([np.frombuffer(r.code, np.uint8) for r in coded])
+    share = np.mean([(np.bitwise_count(packed ^ code).sum(1) <= index.radius).mean() for code in packed[::50]])
+    assert share < 0.1, share
+
+
+def test_hinge_fit_against_brute_force():
+    """Dual coordinate descent reaches the optimum that projected gradient steps on the dual find."""
+    rng = np.random.default_rng(3)
+    n, width = 60, 40
+    x = (rng.random((n, width)) < 0.3).astype(float)
+    x[:, 0] = 1
+    y = np.where(x[:, 1] + x[:, 2] + rng.normal(0, 0.4, n) > 0.8, 1.0, -1.0)
+    ratio = rng.normal(1, 0.5, width)
+    owner, bucket = np.nonzero(x)
+    w, bias = nbsvm.hinge_fit(owner, bucket, ratio, y, 1.0, 3000, 1)
+    f = x * ratio
+    f /= np.linalg.norm(f, axis=1, keepdims=True)
+    f = np.concatenate([f, np.ones((n, 1))], 1)
+    upper = np.where(y > 0, n / (2 * (y > 0).sum()), n / (2 * (y < 0).sum()))
+    primal = lambda v: v @ v / 2 + (upper * np.maximum(1 - y * (f @ v), 0)).sum()
+    gram, alpha = (f * y[:, None]) @ (f * y[:, None]).T, np.zeros(n)
+    for _ in range(60_000):
+        alpha = np.clip(alpha - (gram @ alpha - 1) / np.linalg.norm(gram, 2), 0, upper)
+    best = primal((alpha * y) @ f)
+    assert abs(primal(np.append(w, bias)) - best) < 0.02 * best

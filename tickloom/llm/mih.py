@@ -3,7 +3,8 @@
 Vectors are centred, rotated by iterative quantisation (learned on a bounded sample) and cut to their signs. A code is
 split into substrings, each indexed by its value. Two codes within a Hamming radius have some substring within
 radius / substrings, so probing each substring's index that far around finds every code within the radius; those
-are reranked by cosines of the original vectors. The index lies in shards of bounded size: a query goes to each shard
+are reranked by cosines of the original vectors. Codes are several times as long as vectors have dimensions: the longer
+the code, the smaller the share of rows within a radius that holds the same neighbours. The index lies in shards of bounded size: a query goes to each shard
 once, its nearest there come back, and the nearest of these remain.
 """
 
@@ -25,7 +26,7 @@ BLOCK_QUERIES = 8192
 
 
 class Index(NamedTuple):
-    rows: DataFrame  # shard, vec_id, embedding, code
+    rows: DataFrame  # shard, row (a number of its own), vec_id, embedding, code
     radius: int
     shards: int
     mean: np.ndarray
@@ -85,18 +86,19 @@ def learned_radius(sample: np.ndarray, packed: np.ndarray, recall: float, k: int
     return int(np.quantile(np.concatenate(near), recall, method="higher"))
 
 
-def build(vectors: DataFrame, bits: int = 64, sample: int = 8192, recall: float = 0.985, k: int = 5, seed: int = 11) -> Index:
-    """Indexes every usable vector. Rotation and radius are fitted on the sample vectors whose id has the least hash.
+def build(vectors: DataFrame, bits: int = 256, sample: int = 8192, recall: float = 0.985, k: int = 5, seed: int = 11) -> Index:
+    """Indexes every usable vector. Rotation and radius are fitted on the sample vectors that have the least hash.
 
     Vectors shorter than the sample's usual length stand as if zeros followed; longer ones are an error. Repeated rows
-    are rows of their own. Shards come from a hash of the id and number one for each SHARD_ROWS vectors.
+    are rows of their own. Shards come from a hash of id and vector and number one for each SHARD_ROWS vectors.
     """
     spark, rows = vectors.sparkSession, usable(vectors)
-    drawn = rows.orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id").limit(sample).toPandas()
-    total = rows.count()
+    total, key = rows.count(), F.xxhash64("vec_id", "embedding", F.lit(seed))
+    drawn = rows.where(F.pmod(key, F.lit(1 << 40)) <= (1 << 40) * min(1.0, 2 * sample / max(total, 1)))  # some 2 x sample rows at any size
+    drawn = drawn.orderBy(key, "vec_id").limit(sample).toPandas()
     shards = max(1, -(-total // SHARD_ROWS))
     if not total:
-        return Index(rows.selectExpr("0 as shard", "vec_id", "embedding", "cast(null as binary) as code"), 0, 1, np.zeros(1), np.zeros((1, bits)))
+        return Index(rows.selectExpr("0 as shard", "0L as row", "vec_id", "embedding", "cast(null as binary) as code"), 0, 1, np.zeros(1), np.zeros((1, bits)))
     dims = int(drawn.embedding.map(len).max())
     x = unit(stack(drawn.embedding.tolist(), dims))
     mean, projection = learn(x, bits)
@@ -104,15 +106,17 @@ def build(vectors: DataFrame, bits: int = 64, sample: int = 8192, recall: float
     radius = learned_radius(x, packed, recall, k, total) if len(x) > k else bits
     held = spark.sparkContext.broadcast((mean, projection, dims))
 
+    names = ["shard", "row", "vec_id", "embedding"]
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mean, projection, dims = held.value
         for b in batches:
             if b.num_rows:
                 code = codes(unit(stack(b.column("embedding").to_pylist(), dims)), mean, projection)
-                yield pa.RecordBatch.from_arrays([b.column("shard"), b.column("vec_id"), b.column("embedding"), pa.array([c.tobytes() for c in code], pa.binary())], ["shard", "vec_id", "embedding", "code"])
+                yield pa.RecordBatch.from_arrays([*[b.column(n) for n in names], pa.array([c.tobytes() for c in code], pa.binary())], [*names, "code"])
 
-    sharded = rows.select(F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"), "vec_id", "embedding")
-    return Index(cut(sharded.mapInArrow(encode, "shard int, vec_id long, embedding array<double>, code binary"), "mih-index"), radius, shards, mean, projection)
+    sharded = rows.select(F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(shards)).cast("int").alias("shard"), F.monotonically_increasing_id().alias("row"), "vec_id", "embedding")
+    return Index(cut(sharded.mapInArrow(encode, "shard int, row long, vec_id long, embedding array<double>, code binary"), "mih-index"), radius, shards, mean, projection)
 
 
 def stack(rows: list, dims: int) -> np.ndarray:
@@ -142,37 +146,45 @@ def probe(tables: list[tuple[np.ndarray, np.ndarray]], code: np.ndarray, packed:
         lo, n = lo[keep], n[keep]
         if len(n):
             found[order[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())]] = True
+        if found.all():  # no other table can add a row
+            break
     rows = np.flatnonzero(found)
-    return rows[np.bitwise_count(packed[rows] ^ code).sum(1) <= radius]
+    if not packed.shape[1] % 8:
+        packed, code = packed.view(np.uint64), code.view(np.uint64)
+    return rows[np.bitwise_count((packed if len(rows) == len(packed) else packed[rows]) ^ code).sum(1, dtype=np.int64) <= radius]
 
 
 PROBES = probe_order()
 
 
-def search(index: Index, queries: DataFrame, k: int = 5) -> DataFrame:
+def search(index: Index, queries: DataFrame | str, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id and score: the k nearest found of each query, by cosine in double precision.
 
-    A query is a row of queries (vec_id, embedding); its own row is no candidate, equal vectors of other ids are. In a
+    Queries are the index's rows that meet a condition, or rows of a DataFrame (vec_id, embedding). A query's own row of
+    the index is no candidate, any other is, with the same id or vector too; rows of a DataFrame have none. In a
     shard the radius grows until k candidates or all rows are found, so a query gets k rows whenever there are k. Ties go
     to the smaller vec_id. Queries are taken in blocks and each meets each shard, whose size is bounded; only k rows a
-    query and shard come back. Odd queries give no rows; rows of queries that repeat an id are one query.
+    query and shard come back. Odd queries give no rows; rows that repeat an id are queries of their own.
     """
-    asked = cut(usable(queries).groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "mih-queries")
+    if isinstance(queries, str):
+        asked = index.rows.where(queries).select("row", "vec_id", "embedding")
+    else:
+        asked = cut(usable(queries).select((-1 - F.monotonically_increasing_id()).alias("row"), "vec_id", "embedding"), "mih-queries")
     spark, radius, mean, projection = index.rows.sparkSession, index.radius, index.mean, index.projection
     blocks = max(1, -(-asked.count() // BLOCK_QUERIES))
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    wide = asked.select("vec_id", "embedding", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block")).withColumn("shard", each(index.shards))
-    coded = index.rows.select("shard", "vec_id", "embedding", "code").withColumn("block", each(blocks))
+    wide = asked.select("row", "vec_id", "embedding", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int").alias("block")).withColumn("shard", each(index.shards))
+    coded = index.rows.select("shard", "row", "vec_id", "embedding", "code").withColumn("block", each(blocks))
     held = spark.sparkContext.broadcast((mean, projection))
 
     def nearest(left, right):
         import pandas as pd
 
-        empty = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+        empty = pd.DataFrame({"asked": pd.Series(dtype="int64"), "query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
         if not len(left) or not len(right):
             return empty
         mean, projection = held.value
-        ids = left.vec_id.to_numpy()
+        ids, numbers = left.vec_id.to_numpy(), left.row.to_numpy()
         x, q = scaled(stack(left.embedding.tolist(), len(mean))), scaled(stack(right.embedding.tolist(), len(mean)))
         length = np.sqrt((x * x).sum(1))
         packed = np.frombuffer(b"".join(left.code), np.uint8).reshape(len(left), -1)
@@ -181,21 +193,21 @@ def search(index: Index, queries: DataFrame, k: int = 5) -> DataFrame:
             order = np.argsort(packed[:, j], kind="stable")
             tables.append((order, np.searchsorted(packed[order, j], np.arange(257))))
         out = []
-        for key, vector, code in zip(right.vec_id.tolist(), q, codes(unit(q), mean, projection), strict=True):
+        for number, key, vector, code in zip(right.row.tolist(), right.vec_id.tolist(), q, codes(unit(q), mean, projection), strict=True):
             reach = radius
             rows = probe(tables, code, packed, reach)
-            while (ids[rows] != key).sum() < k and reach < packed.shape[1] * 8:
+            while (numbers[rows] != number).sum() < k and reach < packed.shape[1] * 8:
                 reach = min(reach + 4, packed.shape[1] * 8)
                 rows = probe(tables, code, packed, reach)
-            rows = rows[ids[rows] != key]
+            rows = rows[numbers[rows] != number]
             if len(rows) > k:
                 rough = x[rows] @ vector / length[rows]
                 rows = rows[rough >= np.partition(rough, len(rows) - k)[len(rows) - k] - 1e-9 * np.abs(rough).max()]
             exact = cosines(x[rows], vector)
             for i in np.lexsort((ids[rows], -exact))[:k]:
-                out.append((key, int(ids[rows[i]]), float(exact[i])))
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]) if out else empty
+                out.append((number, key, int(ids[rows[i]]), float(exact[i])))
+        return pd.DataFrame(out, columns=["asked", "query_id", "vec_id", "score"]) if out else empty
 
-    found = coded.groupBy("shard", "block").cogroup(wide.groupBy("shard", "block")).applyInPandas(nearest, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    found = coded.groupBy("shard", "block").cogroup(wide.groupBy("shard", "block")).applyInPandas(nearest, "asked long, query_id long, vec_id long, score double")
+    rank = F.row_number().over(Window.partitionBy("asked").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
