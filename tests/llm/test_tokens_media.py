@@ -1,8 +1,11 @@
 import hashlib
+import random
+import struct
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
 from tickloom.llm import media_avi, token_store
@@ -72,3 +75,56 @@ def test_media_rows(spark):
     media = media_avi.to_media(docs)
     assert media_avi.clips(media).where("doc_id = 11").count() >= 1
     assert media_avi.digests(docs.limit(0)).count() == 0 and media_avi.clips(media.limit(0)).count() == 0
+
+
+def lossless_jpeg(image, predictor):
+    """A frame by another encoder: four-bit codes for all categories, and any predictor."""
+    bits = ""
+    for i, row in enumerate(image):
+        for j, v in enumerate(row):
+            left, above, corner = row[j - 1], image[i - 1][j], image[i - 1][j - 1]
+            if not i or not j:
+                guess = left if j else above if i else 128
+            else:
+                guess = {1: left, 2: above, 3: corner, 4: left + above - corner, 5: left + (above - corner) // 2, 6: above + (left - corner) // 2, 7: (left + above) // 2}[predictor]
+            d = v - guess
+            s = abs(d).bit_length()
+            bits += f"{s:04b}" + (f"{d if d > 0 else d + 2**s - 1:0{s}b}" if s else "")
+    bits += "1" * (-len(bits) % 8)
+    data = int(bits, 2).to_bytes(len(bits) // 8, "big").replace(b"\xff", b"\xff\x00")
+    table = bytes([0, 0, 0, 0, 10, *[0] * 12, *range(10)])
+    frame = struct.pack(">BHHBBBB", 8, len(image), len(image[0]), 1, 1, 0x11, 0)
+    segment = lambda mark, body: struct.pack(">BBH", 0xFF, mark, len(body) + 2) + body
+    return b"\xff\xd8" + segment(0xFE, b"note") + segment(0xC3, frame) + segment(0xC4, table) + segment(0xDA, bytes([1, 1, 0, predictor, 0, 0])) + data + b"\xff\xd9"
+
+
+def test_frames_of_another_encoder():
+    rng = random.Random(2)
+    for predictor in range(1, 8):
+        image = [[rng.choice([0, 255, 7, 128, rng.randrange(256)]) for _ in range(11)] for _ in range(9)]
+        file = media_avi.write_avi([lossless_jpeg(image, predictor)] * 2)
+        (_,), (samples,) = media_avi.decode([file])
+        assert samples.tolist() == [[v for row in image for v in row]] * 2
+    (_,), (own,) = media_avi.decode(media_avi.encode([bytes(range(256)) * 9]))
+    read = [media_avi.read_jpeg(f).ravel().tolist() for f in media_avi.read_avi(media_avi.encode([bytes(range(256)) * 9])[0])[1]]
+    assert read == own.tolist()
+    frame = lossless_jpeg([[1]], 1)
+    for bad in (frame.replace(b"\xff\xc3", b"\xff\xc0"), b"no frame", frame.replace(b"\xff\xc3\x00\x0b\x08", b"\xff\xc3\x00\x0b\x0c")):
+        with pytest.raises(ValueError):
+            media_avi.read_jpeg(bad)
+
+
+def test_shots_against_plain_loops():
+    rng = random.Random(6)
+    frames = [[rng.choice(part) for _ in range(576)] for part in ([10, 20], [200, 210, 250], [10, 90]) for _ in range(15)]
+    hist = [[sum(v >> 4 == b for v in f) for b in range(16)] for f in frames]
+    d = [sum(abs(a - b) for a, b in zip(x, y, strict=True)) / 1152 for x, y in zip(hist[:-1], hist[1:], strict=True)]
+    cuts = []
+    for i, x in enumerate(d):
+        near = d[max(0, i - 12) : i + 13]
+        mean = sum(near) / len(near)
+        deviation = (sum(v * v for v in near) / len(near) - mean**2) ** 0.5
+        if x > 0.1 and x > mean + 2 * deviation:
+            cuts.append(i + 1)
+    assert cuts == [15, 30]
+    assert media_avi.shots(np.array(frames, np.uint8)) == list(zip([0, *cuts], [*cuts, 45], strict=True))

@@ -120,15 +120,69 @@ def read_avi(data: bytes) -> tuple[float, list[bytes]]:
     return rate / scale, frames
 
 
-def read_jpeg(frame: bytes) -> bytes:
-    """The entropy-coded data of a frame, without byte stuffing."""
-    at = 2
-    while frame[at + 1] != 0xDA:
-        if frame[at + 1] == 0xC3 and frame[at + 4 : at + 9] != struct.pack(">BHH", 8, SIDE, SIDE):
-            raise ValueError("a frame of another size")
-        at += 2 + struct.unpack_from(">H", frame, at + 2)[0]
-    at += 2 + struct.unpack_from(">H", frame, at + 2)[0]
-    return frame[at : frame.rindex(TAIL)].replace(b"\xff\x00", b"\xff")
+def packed_of(frame: bytes) -> bytes | None:
+    """The entropy-coded data of a frame with this module's own header, without byte stuffing; None for any other frame."""
+    return frame[len(HEAD) : frame.rindex(TAIL)].replace(b"\xff\x00", b"\xff") if frame.startswith(HEAD) else None
+
+
+def read_jpeg(frame: bytes) -> np.ndarray:
+    """(rows, columns) of any lossless grey JPEG of 8 bits, by its own Huffman table and predictor. Others are an error."""
+    if frame[:2] != b"\xff\xd8":
+        raise ValueError("no JPEG frame")
+    at, size, tables = 2, None, {}
+    while True:
+        mark, length = frame[at + 1], struct.unpack_from(">H", frame, at + 2)[0]
+        body, at = frame[at + 4 : at + 2 + length], at + 2 + length
+        if mark == 0xC3:
+            bits, rows, columns, parts = struct.unpack_from(">BHHB", body)
+            if bits != 8 or parts != 1:
+                raise ValueError("only grey samples of 8 bits are read")
+            size = rows, columns
+        elif mark == 0xC4:
+            while body:
+                counts, values, code, table = body[1:17], body[17 : 17 + sum(body[1:17])], 0, {}
+                name, body = body[0] & 15, body[17 + len(values) :]
+                for width, n in enumerate(counts, 1):
+                    for v in values[:n]:
+                        table[width, code] = v
+                        code += 1
+                    values, code = values[n:], code << 1
+                tables[name] = table
+        elif mark == 0xDA:
+            break
+        elif 0xC0 <= mark <= 0xCF or (mark == 0xDD and any(body)):
+            raise ValueError("only lossless JPEG without restarts is read")
+    if size is None or body[0] != 1 or body[5] & 15 or not 1 <= body[3] <= 7 or body[2] >> 4 not in tables:
+        raise ValueError("the scan isn't one of lossless grey JPEG")
+    table, predictor = tables[body[2] >> 4], body[3]
+    data = frame[at : frame.rindex(TAIL)].replace(b"\xff\x00", b"\xff")
+    bits = np.unpackbits(np.frombuffer(data, np.uint8)).tolist()
+    place, out = 0, [[0] * size[1] for _ in range(size[0])]
+
+    def take(n: int) -> int:
+        nonlocal place
+        value = int("".join(map(str, bits[place : place + n])) or "0", 2)
+        place += n
+        return value
+
+    for i in range(size[0]):
+        for j in range(size[1]):
+            width, code = 0, 0
+            while (width, code) not in table:
+                if width == 16:
+                    raise ValueError("a code that the table doesn't have")
+                width, code = width + 1, code << 1 | take(1)
+            s = table[width, code]
+            extra = 32768 if s == 16 else take(s)
+            d = extra if not s or extra >> (s - 1) else extra - (1 << s) + 1
+            left, above = out[i][j - 1], out[i - 1][j]
+            if not i or not j:
+                guess = left if j else above if i else 128
+            else:
+                corner = out[i - 1][j - 1]
+                guess = (left, above, corner, left + above - corner, left + ((above - corner) >> 1), above + ((left - corner) >> 1), (left + above) >> 1)[predictor - 1]
+            out[i][j] = (guess + d) & 255
+    return np.array(out, np.uint8)
 
 
 def encode(payloads: list[bytes]) -> list[bytes]:
@@ -144,11 +198,13 @@ def encode(payloads: list[bytes]) -> list[bytes]:
 
 
 def decode(files: list[bytes]) -> tuple[list[float], list[np.ndarray]]:
-    """Frames a second and the (n, 576) samples of each file."""
+    """Frames a second of each file, and its samples, a row for each frame. Frames of this module's header go in batches."""
     rates, frames = zip(*map(read_avi, files), strict=True) if files else ((), ())
-    samples = unpack_frames(np.frombuffer(b"".join(read_jpeg(j) for f in frames for j in f), np.uint8))
-    ends = np.cumsum([0, *map(len, frames)])
-    return list(rates), [samples[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    packed = [[packed_of(j) for j in f] for f in frames]
+    own = [None not in p for p in packed]
+    samples = unpack_frames(np.frombuffer(b"".join(j for p, ok in zip(packed, own, strict=True) if ok for j in p), np.uint8))
+    ends = np.cumsum([0, *[len(p) * ok for p, ok in zip(packed, own, strict=True)]])
+    return list(rates), [samples[a:b] if ok else np.stack([read_jpeg(j).ravel() for j in f]) for f, ok, a, b in zip(frames, own, ends[:-1], ends[1:], strict=True)]
 
 
 def shots(samples: np.ndarray, reach: int = 12, factor: float = 2.0, floor: float = 0.1) -> list[tuple[int, int]]:
@@ -161,7 +217,7 @@ def shots(samples: np.ndarray, reach: int = 12, factor: float = 2.0, floor: floa
     if n < 2:
         return [(0, n)] if n else []
     hist = np.bincount((np.arange(n)[:, None] * BINS + (samples >> 4)).ravel(), minlength=n * BINS).reshape(n, BINS)
-    d = np.abs(np.diff(hist, axis=0)).sum(1) / (2 * FRAME)
+    d = np.abs(np.diff(hist, axis=0)).sum(1) / (2 * samples.shape[1])
     one, two = np.concatenate([[0], np.cumsum(d)]), np.concatenate([[0], np.cumsum(d * d)])
     lo, hi = np.maximum(np.arange(n - 1) - reach, 0), np.minimum(np.arange(n - 1) + reach + 1, n - 1)
     mean = (one[hi] - one[lo]) / (hi - lo)
@@ -217,21 +273,25 @@ def clips(media: DataFrame) -> DataFrame:
     return media.mapInArrow(run, "doc_id long, clip long, first_frame long, end_frame long, start_ms long, end_ms long")
 
 
-def digests(docs: DataFrame) -> DataFrame:
-    """Encodes each text, reads the stored bytes back and sums them up; feature lists the shots as start-end in ms."""
+def features(media: DataFrame) -> DataFrame:
+    """Decodes each file of media (doc_id, n_bytes, media) and sums it up; feature lists the shots as start-end in ms."""
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for keys, texts in batches_of(batch):
-                payloads, sizes = zip(*map(payload_of, texts), strict=True)
-                files = encode(list(payloads))
-                rows = []
-                for key, size, file, rate, samples in zip(keys, sizes, files, *decode(files), strict=True):
+            keys, sizes, media = (batch.column(n) for n in ("doc_id", "n_bytes", "media"))
+            for lo in range(0, batch.num_rows, 64):
+                files, rows = media[lo : lo + 64].to_pylist(), []
+                for key, size, file, rate, samples in zip(keys[lo : lo + 64].to_pylist(), sizes[lo : lo + 64].to_pylist(), files, *decode(files), strict=True):
                     raw = samples.tobytes()
                     feature = ",".join(f"{round(a * 1000 / rate)}-{round(b * 1000 / rate)}" for a, b in shots(samples))
                     rows.append((key, size, len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-32:]), len(file), hashlib.sha256(file).hexdigest(), feature))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    return docs.select("doc_id", text_of().alias("text")).mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return media.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+
+
+def digests(docs: DataFrame) -> DataFrame:
+    """features of the media column that to_media makes of each text."""
+    return features(to_media(docs))
