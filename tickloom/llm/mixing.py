@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from tickloom.llm.common import WORD, cut, text_of
 
-#: Parts of each size class of a source, so that no task holds a whole hot source.
-SALTS = 64
+#: Parts of each size class of a source, so that no task holds a whole hot source: so many, and one for each PART_ROWS rows.
+SALTS, PART_ROWS = 64, 1_000_000
 
 
 def word_count(text: Column) -> Column:
@@ -45,18 +45,19 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = (1, 2, 3), cap:
 def mix_sources(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), cap: float = 3.0, seed: int = 42, keep_text: bool = True) -> DataFrame:
     """docs with size, source_size, target and copies, the times that the mix takes each.
 
-    The order within a source is by size class (powers of two), part and doc_id, so the sample is spread over sizes and
-    a source's words come near its target. Parts are hashes of doc_id: the prefix sum is taken within (source, class,
+    The order within a source is by size class (powers of two), part, doc_id and text, so the sample is spread over sizes
+    and a source's words come near its target. Parts are hashes of doc_id and text: the prefix sum is taken within (source, class,
     part) and the sums of the parts before are added, so no task holds more than a part. The offset is a hash of source
     and seed, so reruns agree. A null text has size 0; a null source is a source; a null doc_id and repeated rows are
     rows like any other (which of equal rows is taken makes no difference). Documents of size 0 share their source's
     rate. An empty table gives an empty result; columns with the added names are replaced.
     """
     keep = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies") and (keep_text or c != "text")]
-    docs = docs.select(F.struct(*keep).alias("_doc"), "doc_id", "source", word_count(text_of()).alias("size"))
-    digits = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 4), 16, 10)
+    salts = max(SALTS, -(-docs.count() // PART_ROWS))
+    docs = docs.select(F.struct(*keep).alias("_doc"), "doc_id", "source", word_count(text_of()).alias("size"), F.md5(text_of()).alias("_text"))
+    digits = F.conv(F.substring(F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "_text")), 1, 8), 16, 10)
     key = F.when(F.col("source").isNull(), "0").otherwise(F.concat(F.lit("1"), "source"))  # joins and windows share one partitioning
-    docs = docs.withColumns({"_key": key, "_class": F.length(F.bin("size")), "_part": (digits.cast("int") % SALTS)})
+    docs = docs.withColumns({"_key": key, "_class": F.length(F.bin("size")), "_part": digits.cast("long") % salts})
     at = ["_key", "_class", "_part"]
     groups = cut(docs.groupBy("source", *at).agg(F.count("*").alias("_rows"), F.sum("size").alias("_words")), "mix-groups")
     targets = source_targets(groups.groupBy("source").agg(F.sum("_words").alias("source_size")), weights, cap)
@@ -66,7 +67,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), cap: floa
     offset = F.conv(F.substring(F.md5(F.concat("_key", F.lit(f"|{seed}"))), 1, 8), 16, 10).cast("double") / 2.0**32
     rate = F.least(F.coalesce(F.try_divide(F.col("target"), F.col("source_size")), F.lit(0.0)), F.lit(cap))
     spread = spread.select(*at, "source_size", "target", "_before", rate.alias("_rate"), offset.alias("_offset"))
-    ranked = docs.withColumn("_rank", F.row_number().over(Window.partitionBy(*at).orderBy("doc_id", "size")))
+    ranked = docs.withColumn("_rank", F.row_number().over(Window.partitionBy(*at).orderBy("doc_id", "size", "_text")))
     upto = lambda n: F.floor((F.col("_before") + n) * F.col("_rate") + F.col("_offset"))
     copies = F.least(upto(F.col("_rank")) - upto(F.col("_rank") - 1), F.lit(int(cap)))
     return ranked.join(spread, at).select("_doc.*", "size", "source_size", "target", copies.alias("copies"))

@@ -71,9 +71,7 @@ def op9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Queries are the vectors whose id is divisible by 50, candidates all others."""
-    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    index = mih.build(vectors)
-    return mih.search(index, vectors.where("vec_id % 50 = 0"), k=5)
+    return mih.search(mih.build(table(spark, sf_dir, "embeddings").select("vec_id", "embedding")), "vec_id % 50 = 0", k=5)
 
 
 SQL_OP1 = r"""
@@ -104,14 +102,14 @@ FROM d JOIN bounds USING (name) LEFT JOIN fit ON fit.host = d.host AND fit.path
 """
 
 SQL_OP2 = r"""
-WITH d AS (SELECT doc_id, source, CASE WHEN source IS NULL THEN '0' ELSE '1' || source END AS key, length(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+WITH d AS (SELECT doc_id, source, CASE WHEN source IS NULL THEN '0' ELSE '1' || source END AS key, length(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5(coalesce(text, '')) AS h FROM documents),
 s AS (SELECT source, key, sum(size)::BIGINT AS source_size, 1.0::DOUBLE + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS w FROM d GROUP BY 1, 2),
 o AS (SELECT *, 3.0::DOUBLE * source_size AS stop, 3.0::DOUBLE * source_size / w AS ratio FROM s),
 l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(stop) OVER b, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER b, 0)) AS level
     FROM o WINDOW b AS (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 g AS (SELECT *, least(stop, w * coalesce((SELECT level FROM l WHERE ratio >= level ORDER BY ratio, level LIMIT 1), 0)) AS target FROM l),
 n AS (SELECT doc_id, size, source_size, target, least(coalesce(target / nullif(source_size, 0), 0), 3.0)::DOUBLE AS rate,
-    row_number() OVER (PARTITION BY d.key ORDER BY length(bin(size)), ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 4))::BIGINT % 64, doc_id NULLS FIRST, size) AS i,
+    row_number() OVER (PARTITION BY d.key ORDER BY length(bin(size)), ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || '|' || h), 1, 8))::BIGINT % (SELECT greatest(64, ceil(count(*) / 1000000))::BIGINT FROM documents), doc_id NULLS FIRST, size, h) AS i,
     ('0x' || substr(md5(d.key || '|42'), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM d JOIN g USING (key))
 SELECT doc_id, size, source_size, target, (least(floor(i * rate + u) - floor((i - 1) * rate + u), 3) * size)::BIGINT AS taken FROM n
 """
