@@ -52,7 +52,7 @@ def main(argv: list[str] | None = None) -> int:
     tables = Store(spark, args.db).tables()
     key = (args.score_key or "").strip()
     if args.leaderboard:
-        df = leaderboard(tables, args.dataset_id, args.limit, args.sort_by, None if key in ("", "any", "*") else key)
+        df = leaderboard(tables, args.dataset_id, args.limit, args.sort_by, None if key.lower() in ("", "any", "*") else key)
     else:
         df = list_experiments(tables.experiments, args.dataset_id, args.limit, args.with_config)
     df.show(args.limit, truncate=False)

@@ -75,8 +75,10 @@ def blocks(candidates: DataFrame) -> DataFrame:
 
 
 def linear_signal(features: list[str]) -> Column:
-    """1 above the threshold, -1 below its negative, else 0, of the weighted sum of the features."""
-    score = sum((F.element_at("weights", i + 1) * F.col(c) for i, c in enumerate(features)), F.lit(0.0))
+    """1 above the threshold, -1 below its negative, else 0, of the weighted sum of the features. Another number of weights than features is an error."""
+    score = sum((F.get("weights", F.lit(i)) * F.col(c) for i, c in enumerate(features)), F.lit(0.0))
+    wrong = F.raise_error(F.format_string("%d weights for %d features", F.size("weights"), F.lit(len(features)))).cast("double")
+    score = F.when(F.size("weights") == len(features), score).otherwise(wrong)
     return F.when(score > F.col("threshold"), 1.0).when(score < -F.col("threshold"), -1.0).otherwise(0.0)
 
 
@@ -103,8 +105,8 @@ class Strategy:
 def pandas_positions(sliced: DataFrame, strategies: dict[str, Strategy]) -> DataFrame:
     """Rows of sliced (from slices.assign) for each strategy, with strategy_hash, strategy_name, cand_idx and raw.
 
-    A fold's slices go to one task for each strategy: fit on its train rows, then positions on each slice. Positions that
-    are missing count as 0.
+    A fold's slices go to one task for each strategy: fit on its train rows (those of holdout_train for the holdout, whose
+    fold is null), then positions on each other slice. Positions that are missing count as 0.
     """
     names = list(strategies)
     ids = F.array(*[F.struct(F.lit(i // BLOCK).alias("cand_block"), F.lit(i).alias("cand_idx"), F.lit(n).alias("strategy_name"), F.lit(stable_hash({"name": n, "params": {}})).alias("strategy_hash")) for i, n in enumerate(names)])
@@ -116,12 +118,11 @@ def pandas_positions(sliced: DataFrame, strategies: dict[str, Strategy]) -> Data
 
         frame = frame.sort_values("row_idx")
         model = strategies[frame["strategy_name"].iloc[0]]
-        train = frame[frame["split"] == "train"]
-        fitted = model.fit(train)
+        fitted = model.fit(frame[frame["split"].isin(["train", "holdout_train"])])
         parts = []
-        for _, part in frame.groupby("split", sort=False):
+        for _, part in frame[frame["split"] != "holdout_train"].groupby("split", sort=False):
             raw = pd.Series(np.asarray(fitted.positions(part), dtype=float), index=part.index).fillna(0.0)
             parts.append(part.assign(raw=raw))
-        return pd.concat(parts)
+        return pd.concat(parts) if parts else frame.assign(raw=0.0).head(0)
 
     return wide.groupBy("strategy_hash", "fold").applyInPandas(run, schema)

@@ -243,10 +243,10 @@ def candidates_distinct(spark, sf_dir):
 
 
 def custom_strategy_pandas(spark, sf_dir):
-    """A fitted strategy in pandas: long where a feature exceeds its train median."""
+    """A fitted strategy in pandas: long where a feature exceeds its train median, the holdout's by the rows before it."""
     send_package(spark)
-    bars, slices = _bars(spark, sf_dir), [s for s in _plan(spark, sf_dir).slices if s.split != "test"]
-    sliced, market = V.assign(bars, slices), P.market(bars, slices)
+    bars, plan = _bars(spark, sf_dir), _plan(spark, sf_dir)
+    sliced, market = V.assign(bars, [*plan.slices, *plan.holdout_train]), P.market(bars, plan.slices)
     positions = C.pandas_positions(sliced.select("fold", "split", "ts", "row_idx", "f000"), {"median_rule": _median_rule()})
     names = positions.select("cand_block", "cand_idx", "strategy_hash", "strategy_name").distinct()
     rows = P.aligned(market.crossJoin(F.broadcast(names)).drop(*B.features_of(market)), positions)  # a row for each named strategy
