@@ -31,7 +31,7 @@ def test_stages_one_by_one(spark, tmp_path):
     assert sorted(single.doc_id) == sorted(set(classes.values()))
     texts = dict(zip(single.doc_id, single.text, strict=True))
     for d, t in zip(clean.doc_id, clean.text, strict=True):
-        assert (t == texts[d]) == (not base(texts[d])) and not base(t)
+        assert (t != texts[d]) == (bool(base(texts[d])) or "[CONTEXT]" in t) and not base(t)
     assert sorted(clean.doc_id) == sorted(single.doc_id) and (clean.n_chars == clean.text.str.len()).all()
     assert max(Counter(mixed.doc_id).values()) <= 3 and set(mixed.doc_id) <= set(clean.doc_id)
     words = clean.assign(n=clean.text.str.split().str.len())
@@ -43,3 +43,20 @@ def test_stages_one_by_one(spark, tmp_path):
     want = Counter((d, tuple(own.encode_ordinary(t))) for d, t in zip(mixed.doc_id, mixed.text, strict=True))
     assert Counter((d, tuple(i)) for d, i in zip(coded.doc_id, coded.ids, strict=True)) == want
     assert sorted(corpus_pipeline.run(spark, DIR).toPandas().doc_id) == sorted(coded.doc_id)
+
+
+def test_stages_on_odd_rows(spark):
+    """Nulls in any column, empty texts, repeated rows, ties and an empty table."""
+    import corpus_pipeline
+
+    rows = [(None, None, None, None, None), (1, "", "en", "web", 0), (1, "", "en", "web", 0), (2, "a@b.c " * 3000, None, "web", 18000), (2, "the end", "en", None, 7), (3, None, "de", "", None)]
+    odd = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    quality, single, private, mixed, coded = (f for _, f in corpus_pipeline.STAGES)
+    for stage in (quality, single, private, mixed, coded):
+        assert stage(spark, odd.limit(0), DIR).count() == 0
+    assert quality(spark, odd, DIR).columns == odd.columns
+    assert Counter(r.text for r in single(spark, odd, DIR).select("text").collect())["the end"] == 1
+    assert sorted(str(r.text)[:7] for r in private(spark, odd, DIR).collect()) == sorted(["None", "None", "", "", "[EMAIL]", "the end"])
+    assert {r.doc_id for r in mixed(spark, odd, DIR).collect()} <= {None, 1, 2, 3}
+    got = coded(spark, odd, DIR).collect()
+    assert len(got) == len(rows) and sorted(r.n_tokens for r in got)[:4] == [0] * 4

@@ -76,3 +76,11 @@ def test_mix_reaches_targets(spark, skew):
     out = mixing.emit(again)
     assert out.count() == sum(r.copies for r in got) and "text" in out.columns
     assert mixing.mix_sources(docs.limit(0)).count() == 0
+
+
+def test_suffixes_of_two_labels(spark):
+    hosts = ["a.b.co.in", "x.com.mx", "u.edu.au", "www.example.com", "co.uk", "a.me.com", "1.2.3.4", ""]
+    df = url_reputation.with_levels(spark.createDataFrame([(h,) for h in hosts], "host string"))
+    got = {r.host: (r.suffix, r.domain) for r in df.collect()}
+    want = [("co.in", "b.co.in"), ("com.mx", "x.com.mx"), ("edu.au", "u.edu.au"), ("com", "example.com"), ("co.uk", "co.uk"), ("com", "me.com"), ("1.2.3.4", "1.2.3.4"), ("", "")]
+    assert got == dict(zip(hosts, want, strict=True))

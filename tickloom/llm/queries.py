@@ -79,7 +79,7 @@ WITH p AS (SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([
     coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
 h AS (SELECT *, regexp_replace(regexp_replace(host, '^.*@', ''), '(:[0-9]*)?\.*$', '') AS name FROM p),
 g AS (SELECT *, string_split(name, '.') AS l, regexp_matches(name, '^[0-9.]+$') AS ip FROM h),
-t AS (SELECT *, array_to_string(l[-2:], '.') IN ('ac.uk','co.jp','co.nz','co.uk','com.au','com.br','com.cn','gov.uk','or.jp','org.au','org.uk') AS two FROM g),
+t AS (SELECT *, regexp_matches(array_to_string(l[-2:], '.'), '^(ac|co|com|edu|go|gob|gov|gouv|govt|gv|id|info|ltd|me|mil|ne|net|nhs|nic|nom|or|org|plc|sch|web)[.][a-z][a-z]$') AS two FROM g),
 d AS (SELECT page_id, host, path, name, CASE WHEN ip THEN name WHEN two THEN array_to_string(l[-2:], '.') ELSE array_to_string(l[-1:], '.') END AS suffix,
     CASE WHEN ip THEN name WHEN two THEN array_to_string(l[-3:], '.') ELSE array_to_string(l[-2:], '.') END AS domain FROM t),
 lab AS (SELECT doc_id, count(*) AS n, sum(quality) AS k FROM labels WHERE quality IN (0, 1) GROUP BY 1),

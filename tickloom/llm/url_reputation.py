@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 
 from tickloom.llm.common import ascii_lower, cut
 
-#: Public suffixes of two labels.
-TWO_LABEL_SUFFIXES = ("ac.uk", "co.jp", "co.nz", "co.uk", "com.au", "com.br", "com.cn", "gov.uk", "or.jp", "org.au", "org.uk")
+#: A suffix has two labels if the last is a country's (two letters) and one of these stands before it. what
+#: registries name their second levels.
+SECOND_LEVELS = ("ac", "co", "com", "edu", "go", "gob", "gov", "gouv", "govt", "gv", "id", "info", "ltd", "me", "mil", "ne", "net", "nhs", "nic", "nom", "or", "org", "plc", "sch", "web")
+TWO_LABELS = rf"^(?:{'|'.join(SECOND_LEVELS)})\.[a-z]{{2}}$"
 LEVELS = ("suffix", "domain", "host_name")
 
 
@@ -49,7 +51,7 @@ def with_levels(df: DataFrame) -> DataFrame:
     name = F.regexp_replace(F.regexp_replace("host", r"^.*@", ""), r"(:[0-9]*)?\.*$", "")
     df = df.withColumn("host_name", name)
     last = lambda n: F.substring_index("host_name", ".", -n)
-    two = last(2).isin(*TWO_LABEL_SUFFIXES)
+    two = last(2).rlike(TWO_LABELS)
     address = F.col("host_name").rlike(r"^[0-9.]+$")
     return df.withColumn("suffix", F.when(address, F.col("host_name")).when(two, last(2)).otherwise(last(1))).withColumn(
         "domain", F.when(address, F.col("host_name")).when(two, last(3)).otherwise(last(2))
