@@ -1,5 +1,6 @@
 import datetime as dt
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,3 +74,19 @@ def test_assignment_and_meta(spark):
     assert counts == {(s.fold, s.split): s.rows for s in plan.slices}
     meta = V.plan_meta(bars, plan).where("split = 'test'").first()
     assert (meta.first_ts, meta.rows) == ("2018-11-17 00:00:00", 80)
+
+
+def test_axes_against_pandas(spark):
+    for freq in ("B", "W", "ME", "MS", "D", "h"):
+        for start in ("2018-01-01 09:30:00", "2020-02-29", "2021-05-08", "2022-12-31"):
+            got = [r.ts for r in B.time_axis(spark, start, 40, freq).orderBy("ts").collect()]
+            assert got == pd.date_range(start, periods=40, freq=freq).to_pydatetime().tolist(), (freq, start)
+    assert B.time_axis(spark, "1900-01-01", 50_000, "D").agg(F.max("ts")).first()[0] == dt.datetime(1900, 1, 1) + dt.timedelta(days=49_999)
+
+
+def test_a_wrong_number_of_weights_is_an_error(spark):
+    from tickloom.operators.candidates import linear_signal
+
+    rows = spark.createDataFrame([([1.0, 2.0], 0.0, 1.0)], "weights array<double>, threshold double, f000 double")
+    with pytest.raises(Exception, match="2 weights for 1 features"):
+        rows.select(linear_signal(["f000"])).collect()

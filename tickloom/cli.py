@@ -6,7 +6,7 @@ import argparse
 
 from pyspark.sql import SparkSession
 
-from tickloom.config import load_config
+from tickloom.config import PersistenceConfig, load_config
 from tickloom.plans.experiment import run_experiment
 from tickloom.plans.reports import leaderboard, list_experiments, run_report
 from tickloom.sources.bars import write_toy_csv
@@ -24,7 +24,7 @@ def parser() -> argparse.ArgumentParser:
     run.add_argument("--config", required=True)
     run.add_argument("--show-top", type=int, default=5)
     query = commands.add_parser("query")
-    query.add_argument("--db", required=True)
+    query.add_argument("--db", default=PersistenceConfig().db_path)
     query.add_argument("--dataset-id")
     query.add_argument("--limit", type=int, default=20)
     query.add_argument("--with-config", action="store_true")

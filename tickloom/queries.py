@@ -437,6 +437,10 @@ cv AS (SELECT cand_idx, (count(valid) = 4)::INT::DOUBLE AS cv_complete, count(va
  CASE WHEN count(valid) = 4 THEN count(train) ELSE 0 END::DOUBLE AS train_valid_n_pairs FROM pairs GROUP BY 1),
 scores AS (SELECT *, valid_agg - 0.5::DOUBLE * valid_std AS cv_score, train_agg - valid_agg AS train_valid_gap FROM cv),
 ranked AS (SELECT row_number() OVER (ORDER BY cv_score DESC, cand_idx)::INT AS rank, cand_idx, cv_score AS score_value FROM scores WHERE cv_score IS NOT NULL ORDER BY rank LIMIT 2)"""
+#: The fitted rule of custom_strategy_pandas in place of the candidates: the median of the train rows, for the test slice of those before the gap.
+CUSTOM = METRICS.replace(SIGNAL, MARKET + """,
+medians AS (SELECT fold, median(f000) AS middle FROM sliced WHERE split = 'train' GROUP BY 1 UNION ALL SELECT NULL, median(f000) FROM bars WHERE row_idx < (SELECT n FROM n) - 405),
+signal AS (SELECT m.*, 0 AS cand_idx, CASE WHEN f000 > middle THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS raw FROM market m JOIN medians d ON m.fold IS NOT DISTINCT FROM d.fold)""")
 REGIMES = METRICS + """,
 labelled AS (SELECT *, CASE WHEN vol IS NULL THEN NULL WHEN vol_q66 <= vol_q33 THEN 'mid' WHEN vol <= vol_q33 THEN 'low' WHEN vol <= vol_q66 THEN 'mid' ELSE 'high' END AS regime FROM panel),
 per AS (SELECT cand_idx, fold, split, any_value(n_vol) AS points, any_value(vol_q33) AS q33, any_value(vol_q66) AS q66, any_value(ref_used) AS regime_ref_used, any_value(ref_coverage) AS regime_ref_coverage,
@@ -520,6 +524,7 @@ ORACLES = {
     "rolling_vol": _pick(MARKET, "market", ["fold", "split", "ts"], ["vol"], 9, "WHERE split = 'valid'"),
     "regime_quantiles": _pick(MARKET, "facts", ["fold", "split", "n_vol", "ref_used", "ref_coverage"], ["vol_q33", "vol_q66"], 9),
     "base_metrics": _pick(METRICS, "base", KEYS, list(M.BASE)),
+    "custom_strategy_pandas": _pick(CUSTOM, "base", KEYS, ["n_obs", "sharpe_net", "total_return", "exposure_mean"]),
     "regime_metrics": _pick(REGIMES, "regimes", KEYS, ALL_REGIME),
     "psr": _pick(METRICS, "base", KEYS, ["sharpe_net_per", "psr_net"]),
     "dsr": _pick(METRICS, "base", KEYS, ["dsr_net"]),
@@ -577,5 +582,5 @@ QUERIES = {f.__name__: _whole_fold(f) for f in (
     run_metrics, run_artifact, leaderboard_filtered, best_candidates, cache_hits, cache_misses, cached_runs, union_results, cache_diag, experiments_list, experiment_flow,
 )} | {"leaderboard": _board("cv"), "leaderboard_by_test": _board("test"), "leaderboard_by_test_sharpe": _board("test_sharpe")}
 #: Queries whose rows have a fold.
-FOLDED = ("split_single", "slices_walk_forward", "slice_membership", "plan_meta", "periods_per_year", "signal_positions", "exec_lag", "asset_returns", "turnover_costs", "equity_curve", "drawdown", "equity_head", "rolling_vol", "regime_quantiles", "base_metrics", "regime_metrics", "psr", "dsr", "metrics_eav", "fold_pairs", "aligned_positions", "reference_returns", "cache_hits", "cache_misses", "cached_runs", "union_results")
+FOLDED = ("split_single", "slices_walk_forward", "slice_membership", "plan_meta", "periods_per_year", "signal_positions", "exec_lag", "asset_returns", "turnover_costs", "equity_curve", "drawdown", "equity_head", "rolling_vol", "regime_quantiles", "base_metrics", "custom_strategy_pandas", "regime_metrics", "psr", "dsr", "metrics_eav", "fold_pairs", "aligned_positions", "reference_returns", "cache_hits", "cache_misses", "cached_runs", "union_results")
 ORACLES |= {name: f"SELECT * REPLACE (coalesce(fold, -1)::INT AS fold) FROM ({ORACLES[name]}) AS q" for name in FOLDED}
