@@ -143,6 +143,21 @@ def test_experiment_store_and_cache(spark, tmp_path):
     assert new.dataset_id == "synthetic" and new.eval_code_hash == new.code_hash
 
 
+def test_a_faulty_candidate_fails_alone(spark, tmp_path, monkeypatch):
+    from tickloom.operators import candidates as C
+
+    good = list(C.linear_random(2, DataConfig().n_features, np.random.default_rng(1)))
+    bad = [C.StrategySpec(C.LINEAR, {"weights": [1.0], "threshold": 0.0}), C.StrategySpec("unknown", {})]
+    monkeypatch.setitem(C.GENERATORS, "given", lambda n, k, rng: [bad[0], *good, bad[1]])
+    cfg = from_dict(BASE | {"research": {"generator": "given", "n_candidates": 4, "top_k": 2}})
+    number = run_experiment(spark, cfg, str(tmp_path / "store"))
+    runs = Store(spark, str(tmp_path / "store")).tables().runs.where(f"experiment_id = {number}").toPandas()
+    failed = runs[runs.status == "error"]
+    assert set(failed.strategy_hash) == {s.spec_hash() for s in bad} and runs.run_id.is_unique
+    assert set(failed.error) == {f"1 weights for {cfg.data.n_features} features", "no strategy unknown"}
+    assert set(failed.split) == {"train", "valid"} and len(runs[(runs.split == "valid") & (runs.status == "ok")]) == 2 * cfg.cv.n_folds
+
+
 def test_custom_strategy(spark):
     from tickloom.queries import custom_strategy_pandas
 

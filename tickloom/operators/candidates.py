@@ -92,6 +92,15 @@ def signal_for(name: str, features: list[str]) -> Column:
     return STRATEGIES[name](features)
 
 
+def fault(spec: StrategySpec, n_features: int) -> str | None:
+    """Why a candidate can't be evaluated, if so."""
+    if spec.name not in STRATEGIES:
+        return f"no strategy {spec.name}"
+    if spec.name == LINEAR and len(spec.params.get("weights", [])) != n_features:
+        return f"{len(spec.params.get('weights', []))} weights for {n_features} features"
+    return None
+
+
 class Strategy:
     """A strategy in pandas, for what Columns can't express. fit sees the train frame, positions each slice's frame; both frames are in time order."""
 

@@ -60,7 +60,10 @@ def run_experiment(spark: SparkSession, cfg: EngineConfig, path: str | None = No
     check_bars(bars)
     plan = build_plan(bars.count(), cfg.splits, cfg.cv)
     generated = C.generate(research.generator, research.n_candidates, cfg.data.n_features, cfg.seed)
-    specs = C.unique(generated)
+    faults = [(s, C.fault(s, cfg.data.n_features)) for s in C.unique(generated)]
+    specs, faults = [s for s, why in faults if why is None], [(s, why) for s, why in faults if why]
+    if not specs:
+        raise ValueError(f"no candidate can be evaluated: {faults[0][1] if faults else 'none was generated'}")
     n, folds, trials = len(specs), plan.n_folds, max(1, len(specs))
     candidates = C.candidate_table(spark, specs).persist()
 
@@ -95,7 +98,7 @@ def run_experiment(spark: SparkSession, cfg: EngineConfig, path: str | None = No
     }
     meta = [r.asDict() for r in plan_meta(bars, plan).orderBy("lo", "hi").collect()]  # a row for each slice
     fixed = fixed_rows(plan, stats, prints, {"method": plan.method, "n_rows": plan.n_rows, "slices": meta})
-    write_results(store, exp, numbered, candidates, metrics, heads, scores, ranked, tested, test_heads, fixed, cfg, folds, trials, int((time.perf_counter() - began) * 1000))
+    write_results(store, exp, numbered, candidates, metrics, heads, scores, ranked, tested, test_heads, fixed, cfg, folds, trials, int((time.perf_counter() - began) * 1000), faults)
     for df in (bars, candidates, cached, hits, misses, metrics, scores, ranked):
         df.unpersist()
     return exp
@@ -149,7 +152,7 @@ def fixed_rows(plan: Plan, stats: dict, prints: dict, plan_record: dict) -> dict
     return {"meta": (meta, {"cv_plan_meta": plan_record, "data_fingerprint": prints}), "exec": (counters, {"exec_stats": stats})}
 
 
-def write_results(store, exp, ids, candidates, metrics, heads, scores, ranked, tested, test_heads, fixed, cfg, folds, trials, elapsed):
+def write_results(store, exp, ids, candidates, metrics, heads, scores, ranked, tested, test_heads, fixed, cfg, folds, trials, elapsed, faults=()):
     spark, now, research = store.spark, identity.now_utc(), cfg.research
     spec = candidates.select("strategy_hash", "strategy_json")
     runs, values, artifacts = [], [], []
@@ -181,6 +184,12 @@ def write_results(store, exp, ids, candidates, metrics, heads, scores, ranked, t
     if tested is not None:
         add_slices(tested.join(F.broadcast(ranked.select("strategy_hash", "rank")), "strategy_hash").withColumn("run_id", ids.test()), test_heads, "test")
 
+    failed = [(s, why, fold, split) for s, why in faults for fold in range(folds) for split in SIDES]
+    if failed:  # candidates that can't be evaluated: a run of its own for each task, and the others go on
+        at = ids.first_test + research.top_k
+        rows = [(at + i, split, fold, s.name, identity.canonical_json(s), s.spec_hash(), "error", why, 0) for i, (s, why, fold, split) in enumerate(failed)]
+        runs.append(spark.createDataFrame(rows, "run_id long, split string, fold int, strategy_name string, strategy_json string, strategy_hash string, status string, error string, elapsed_ms long"))
+
     names = S.metric_names(research.selection_metric, research.cv_agg)
     cv = scores.withColumn("run_id", ids.cv()).withColumnsRenamed(names)
     keys = list(names.values())
