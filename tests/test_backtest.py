@@ -162,7 +162,7 @@ def test_custom_strategy(spark):
     from tickloom.queries import custom_strategy_pandas
 
     got = custom_strategy_pandas(spark, "/root/testdata/sf0.001").collect()
-    assert len(got) == 8 and all(abs(r.exposure_mean) <= 0.1 for r in got)
+    assert len(got) == 9 and all(abs(r.exposure_mean) <= 0.1 for r in got)
 
 
 def test_entry(spark):
