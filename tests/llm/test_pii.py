@@ -62,3 +62,13 @@ def test_redaction_of_odd_rows(spark):
     docs = spark.createDataFrame([(1, None), (None, "a@b.c x, 4111111111111111"), (1, "😀 1.2.3.4!")], "doc_id long, text string")
     got = sorted(str(r.text) for r in pii.redact(docs).collect())
     assert got == sorted(["None", "[EMAIL] x, [CARD]", "😀 [IP]!"])
+
+
+def test_instances_make_patterns_of_the_next_round(spark):
+    """Only e-mail addresses are seeds; what stands after their label is found in one round, and its other label in a later one."""
+    texts = [f"mailto: u{i}@x.org and more" for i in range(8)] + [f"mailto: member-{i}00 wrote" for i in range(4)]
+    texts += [f"here login = member-{i}00 came" for i in range(3)] + ["then login = unseen-4711 came", "the number 1234567 was", "the end, the line and the number 7654321 too"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.digests(docs).collect()}
+    assert [got[i] for i in range(8, 12)] == ["context:8:18"] * 4 and [got[i] for i in range(12, 16)] == ["context:13:23"] * 3 + ["context:13:24"]
+    assert got[16] == got[17] == ""
