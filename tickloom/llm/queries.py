@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import bpe, media_avi, mih, mixing, nbsvm, passages, pii, simhash, token_store, url_reputation
-from tickloom.llm.common import ship, table
+from tickloom.llm import bpe, exact_dedup, filter_audit, media_avi, mih, mixing, nbsvm, passages, periodic, pii, simhash, token_store, url_reputation
+from tickloom.llm.common import WORD, ship, table, text_of
 from tickloom.llm.url_reputation import Rule
 
 #: The rules of the query contract.
@@ -74,6 +74,33 @@ def op10_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mih.search(mih.build(table(spark, sf_dir, "embeddings").select("vec_id", "embedding")), "vec_id % 50 = 0", k=5)
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+def planted_period(docs: DataFrame) -> DataFrame:
+    """docs with the periods of the query contract: in texts whose crc32(doc_id) ends in 0, the words from a on repeat every p."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    words = F.regexp_extract_all(text_of(), F.lit(WORD), F.lit(0))
+    n = F.size("_words")
+    staged = docs.withColumn("_g", F.when(h % 10 == 0, g)).withColumn("_words", F.when(F.col("_g").isNotNull(), words))
+    staged = staged.withColumn("_a", F.when(n > 0, F.col("_g") % n).cast("int")).withColumn("_p", (1 + F.floor((n - F.col("_a")) / (3 + F.col("_g") % 8))).cast("int"))
+    rest = n - F.col("_a")
+    block = F.slice("_words", F.col("_a") + 1, F.col("_p"))
+    many = F.flatten(F.array_repeat(block, F.ceil(rest / F.col("_p")).cast("int")))
+    text = F.array_join(F.concat(F.slice("_words", F.lit(1), F.col("_a")), F.slice(many, F.lit(1), rest)), " ")
+    return staged.withColumn("text", F.when(F.col("_a").isNotNull(), text).otherwise(text_of())).select(*docs.columns)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digests(periodic.periodic_runs(planted_period(table(spark, sf_dir, "documents").select("doc_id", "text"))))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 SQL_OP1 = r"""
 WITH p AS (SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
     coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
@@ -114,9 +141,32 @@ n AS (SELECT doc_id, size, source_size, target, least(coalesce(target / nullif(s
 SELECT doc_id, size, source_size, target, (least(floor(i * rate + u) - floor((i - 1) * rate + u), 3) * size)::BIGINT AS taken FROM n
 """
 
+SQL_OP11 = r"""
+WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS chars, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS body FROM documents),
+f AS (SELECT doc_id, body, first_value(doc_id) OVER (PARTITION BY body ORDER BY chars DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY body)::BIGINT AS group_size FROM d)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(body) AS text_sha256 FROM f
+"""
+
+SQL_OP13 = r"""
+WITH w AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+d AS (SELECT part, (len(words) < 200)::INT + 2 * (100 * len(list_distinct(words)) < 50 * len(words))::INT + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t))::INT
+    + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * (doc_id > min(doc_id) OVER (PARTITION BY t))::INT AS fails, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic
+    FROM w LEFT JOIN (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY 1) AS l USING (doc_id)),
+c AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM d GROUP BY 1, 2),
+x(letter, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+o AS (SELECT a.letter || b.letter || c.letter || d.letter || e.letter AS filter_order FROM x a, x b, x c, x d, x e WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31 AND (a.bit | b.bit | c.bit | d.bit | e.bit) = 31),
+s AS (SELECT filter_order, step, substr(filter_order, step, 1) AS letter, (SELECT sum(bit) FROM x WHERE strpos(filter_order, letter) < step) AS before FROM o, range(1, 6) AS r(step)),
+b AS (SELECT filter_order, step::INT AS step, s.letter, coalesce(before, 0)::INT AS before, bit FROM s JOIN x ON x.letter = s.letter),
+q AS (SELECT part, filter_order, step, letter, sum(CASE WHEN fails & (before + bit) = 0 THEN n ELSE 0 END) AS kept, sum(CASE WHEN fails & before = 0 AND fails & bit > 0 THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN fails & before > 0 AND fails & bit > 0 THEN n ELSE 0 END) AS redundant, sum(CASE WHEN fails = bit THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN fails & before = 0 AND fails & bit > 0 THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN fails & before = 0 AND fails & bit > 0 THEN toxic ELSE 0 END) AS toxic_lost FROM b, c GROUP BY 1, 2, 3, 4)
+SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+    (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley FROM q
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    all_ = [op1_url_reputation, op2_mix_sources, op3_token_store, op4_avi_media, op5_pii_bootstrap, op6_bpe_fold, op7_nbsvm_quality, op8_simhash_pigeonring, op9_passages, op10_multi_index_hashing]
+    all_ = [op1_url_reputation, op2_mix_sources, op3_token_store, op4_avi_media, op5_pii_bootstrap, op6_bpe_fold, op7_nbsvm_quality, op8_simhash_pigeonring, op9_passages, op10_multi_index_hashing, op11_exact_dedup, op12_periodic_runs, op13_filter_audit]
     return {f.__name__: _shipping(f) for f in all_}
 
 
@@ -130,4 +180,4 @@ def _shipping(f):
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_reputation": SQL_OP1, "op2_mix_sources": SQL_OP2}
+    return {"op1_url_reputation": SQL_OP1, "op2_mix_sources": SQL_OP2, "op11_exact_dedup": SQL_OP11, "op13_filter_audit": SQL_OP13}
