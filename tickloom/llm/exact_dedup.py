@@ -30,14 +30,35 @@ def keyed(docs: DataFrame, normal: Callable[[Column], Column] = without_blanks,
     return text.select(F.monotonically_increasing_id().alias("row"), content_hash(body).alias("key"), *[c.alias(n) for n, c in more.items()], body.alias("body"))
 
 
+#: Buckets of the bitmap of repeated keys, and longs of a bucket: 2 ** 26 bits, 8 MB at most.
+BUCKETS, WORDS = 1 << 16, 16
+
+
+def _place(key: Column) -> list[Column]:
+    h = F.xxhash64(key)
+    return [h.bitwiseAND(F.lit(BUCKETS - 1)).alias("_bucket"), F.shiftrightunsigned(h, 16).bitwiseAND(F.lit(WORDS - 1)).cast("int").alias("_word"), F.shiftrightunsigned(h, 20).bitwiseAND(F.lit(63)).cast("int").alias("_bit")]
+
+
+def that_may_repeat(texts: DataFrame, repeated: DataFrame) -> DataFrame:
+    """texts whose keys are in repeated, and a few others: a bitmap of bounded size goes to every task, so texts needn't move.
+
+    The bitmap has a row for each bucket of key hashes that has a repeated key. Beyond some ten million repeated keys it
+    lets most rows pass; what follows is then as right, and each text moves once.
+    """
+    marked = repeated.select(*_place(F.col("key"))).groupBy("_bucket", "_word").agg(F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_set"))
+    bits = F.map_from_entries(F.collect_list(F.struct("_word", "_set")))  # WORDS at most
+    bitmap = marked.groupBy("_bucket").agg(bits.alias("_m")).select("_bucket", F.transform(F.sequence(F.lit(0), F.lit(WORDS - 1)), lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(0).cast("long"))).alias("_bits"))
+    own = texts.select("*", *_place(F.col("key"))).join(F.broadcast(bitmap), "_bucket")
+    return own.where("shiftright(_bits[_word], _bit) & 1 = 1").select(*texts.columns)
+
+
 def collisions(texts: DataFrame, repeated: DataFrame, content_hash: Callable[[Column], Column]) -> DataFrame:
     """Keys of repeated that stand for more than one text.
 
-    Only texts of repeated keys are compared: grouping by the bytes leaves one of each text, on the map side first, so a
-    group of any number of copies sends one text a task. What is grouped are the bytes and not the key, so Spark may
-    split a hot key's partition of the join.
+    Only texts whose keys may repeat are compared: grouping by the bytes leaves one of each text, on the map side first,
+    so a group of any number of copies sends one text a task; a text that doesn't repeat has its key alone.
     """
-    bodies = texts.select("key", "body").join(repeated.select("key"), "key", "left_semi").select("body").distinct()
+    bodies = that_may_repeat(texts.select("key", "body"), repeated).select("body").distinct()
     return bodies.select(content_hash(F.col("body")).alias("key")).groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
 
 
@@ -68,8 +89,8 @@ def exact_duplicates(docs: DataFrame, normal: Callable[[Column], Column] = witho
 
     Of equal texts the row with the most code points before normalising stays, then the one with the smallest doc_id
     (null last); of rows that are equal in all that, one. A null text is the empty one, and empty texts are equal like
-    others. An empty table gives an empty result; other columns are ignored. Texts are shuffled only for keys that occur
-    twice or more; everything else is a row of some 80 bytes a document.
+    others. An empty table gives an empty result; other columns are ignored. Texts move only where their key occurs
+    twice or more, one of each task's copies; everything else is a row of some 80 bytes a document.
     """
     more = {"doc_id": F.col("doc_id"), "chars": F.length("text").cast("long"), "sha": F.unhex(F.sha2(normal(F.col("text")), 256))}
     order = F.struct((-F.col("chars")).alias("shorter"), F.col("doc_id").isNull().alias("none"), "doc_id", "row")
