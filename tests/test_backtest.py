@@ -25,7 +25,7 @@ def golden(frame: pd.DataFrame, weights, threshold, run: BacktestConfig, costs:
     x = frame[[c for c in frame if c.startswith("f0")]].to_numpy() @ np.array(weights)
     raw = np.where(x > threshold, 1.0, np.where(x < -threshold, -1.0, 0.0))
     lag = run.execution_lag
-    pos = (np.r_[np.zeros(min(lag, len(raw))), raw[: len(raw) - lag]] if lag else raw) * run.leverage
+    pos = (np.r_[np.zeros(min(lag, len(raw))), raw[: max(0, len(raw) - lag)]] if lag else raw) * run.leverage
     p = frame.price.to_numpy()
     ret = np.r_[0.0, p[1:] / p[:-1] - 1]
     tov = np.abs(np.diff(np.r_[0.0, pos]))
@@ -55,13 +55,14 @@ def golden(frame: pd.DataFrame, weights, threshold, run: BacktestConfig, costs:
     return out
 
 
-@pytest.mark.parametrize("run", [BacktestConfig(), BacktestConfig(execution_lag=0, leverage=2.0), BacktestConfig(execution_lag=3, leverage=0.5)])
-def test_metrics_against_numpy(spark, run):
+@pytest.mark.parametrize(("run", "rows"), [(BacktestConfig(), P.STRETCH_ROWS), (BacktestConfig(), 50), (BacktestConfig(execution_lag=0, leverage=2.0), 7), (BacktestConfig(execution_lag=3, leverage=0.5), 64), (BacktestConfig(execution_lag=25), 11)])
+def test_metrics_against_numpy(spark, run, rows):
+    """With slices in one stretch and in many, also in stretches shorter than their halo."""
     costs = CostConfig(borrow_bps_annual=80.0)
     bars = B.synthetic_bars(spark, DataConfig(n_rows=300, n_features=2), 5)
     specs = [C.StrategySpec(C.LINEAR, {"weights": [1.0, -0.5], "threshold": 0.2}), C.StrategySpec(C.LINEAR, {"weights": [0.1, 0.1], "threshold": 99.0})]
     slices = [Slice(0, "train", 0, 120), Slice(0, "valid", 100, 300), Slice(1, "valid", 7, 31), Slice(1, "train", 5, 26), Slice(None, "test", 290, 293)]
-    got = M.fold_metrics(P.panel(bars, slices, C.candidate_table(spark, specs), run, costs)).collect()
+    got = M.fold_metrics(P.panel(bars, slices, C.candidate_table(spark, specs), run, costs, rows)).collect()
     assert len(got) == 10
     frame = bars.toPandas().sort_values("row_idx")
     for r in got:
@@ -80,10 +81,60 @@ def test_metrics_against_numpy(spark, run):
 def test_constant_price_uses_own_results_for_regimes(spark):
     bars = B.synthetic_bars(spark, DataConfig(n_rows=80, n_features=1), 5).withColumn("price", F.lit(100.0))
     slices = [Slice(0, "valid", 0, 80)]
+    table = C.candidate_table(spark, [C.StrategySpec(C.LINEAR, {"weights": [1.0], "threshold": 0.1})])
+    one, many = (M.regimes(M.derived(M.with_volatility(P.panel(bars, slices, table, BacktestConfig(), CostConfig(), rows), rows).withColumn("regime", M.regime_label()).groupBy(*P.KEY).agg(*M.base_aggregates(), *M.regime_aggregates()))).select(*P.KEY, *M.ALL).first() for rows in (P.STRETCH_ROWS, 9))
+    facts = P.slice_facts(bars, slices)
+    assert P.some_own(facts) and facts[0].n_vol == 61
+    assert all(a == b or math.isclose(a, b, rel_tol=1e-9) for a, b in zip(one, many, strict=True))
     r = M.fold_metrics(P.panel(bars, slices, C.candidate_table(spark, [C.StrategySpec(C.LINEAR, {"weights": [1.0], "threshold": 0.1})]), BacktestConfig(), CostConfig())).first()
     assert r.regime_ref_used == 0 and r.regime_ref_coverage == 1 and r.regime_n_low + r.regime_n_mid + r.regime_n_high == 61 and r.regime_vol_q33 > 0
 
 
+def test_equity_that_turns_negative(spark):
+    """Losses of more than everything: equity changes its sign, within stretches and between them."""
+    bars = B.synthetic_bars(spark, DataConfig(n_rows=200, n_features=1), 5)
+    specs = [C.StrategySpec(C.LINEAR, {"weights": [1.0], "threshold": 0.1})]
+    got = P.panel(bars, [Slice(0, "valid", 10, 200)], C.candidate_table(spark, specs), BacktestConfig(leverage=150.0), CostConfig(), 16).orderBy("row_idx").collect()
+    eq = np.cumprod([1 + r.net for r in got])
+    assert min(eq) < 0 < max(eq) and len(got) == 190
+    assert np.allclose([r.eq for r in got], eq, rtol=1e-9) and np.allclose([r.peak for r in got], np.maximum.accumulate(eq), rtol=1e-9)
+    head = P.equity_head(P.panel(bars, [Slice(0, "valid", 10, 200)], C.candidate_table(spark, specs), BacktestConfig(), CostConfig(), 16)).first()
+    assert len(head.equity_head) == 50
+
+
+def test_no_window_holds_a_slice(spark):
+    """Every window over bars is partitioned by stretch; the scan of the stretches' carries has a row a stretch."""
+    bars = B.synthetic_bars(spark, DataConfig(n_rows=200, n_features=1), 5)
+    rows = P.panel(bars, [Slice(0, "valid", 10, 200)], C.candidate_table(spark, [C.StrategySpec(C.LINEAR, {"weights": [1.0], "threshold": 0.1})]), BacktestConfig(), CostConfig(), 16)
+    plan = M.fold_metrics(rows)._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window [" in line and "row_idx" in line]
+    assert windows and all("stretch" in line for line in windows)
+    assert "percentile" not in plan and P.carries(P.local_results(P.signals(P.market(bars, [Slice(0, "valid", 10, 200)], 1, 16), C.candidate_table(spark, [C.StrategySpec(C.LINEAR, {"weights": [1.0], "threshold": 0.1})])), BacktestConfig(), CostConfig())).count() == 13
+
+
+def test_exact_quantiles(spark):
+    from tickloom.functions.quantiles import exact_quantiles, from_order_bits, order_bits
+
+    rng = np.random.default_rng(1)
+    odd = [0.0, -0.0, 5e-324, -5e-324, 2.2250738585072014e-308, 1.7976931348623157e308, -1.7976931348623157e308, 1.0, np.nextafter(1, 2), np.nextafter(1, 0), 2.0, 4.0, 8.0, -3.5, 1e-310]
+    groups = {"odd": odd, "normal": rng.normal(size=500), "scales": 10.0 ** rng.uniform(-300, 300, 400) * rng.choice([-1, 1], 400), "close": 1 + rng.integers(0, 50, 300) * 2.0**-52, "same": [3.25] * 40, "one": [7.0], "two": [1.0, 2.0]}
+    df = spark.createDataFrame([(k, float(x)) for k, v in groups.items() for x in v] + [("normal", None), ("normal", float("nan")), ("normal", float("inf")), ("none", None)], "k string, x double")
+    bits = df.where("x is not null and not isnan(x) and x <> double('inf')").select("x", order_bits(F.col("x")).alias("b")).withColumn("y", from_order_bits(F.col("b"))).collect()
+    assert all(r.x == r.y for r in bits)
+    ordered = sorted(bits, key=lambda r: r.x)
+    assert all((a.b < b.b) == (a.x < b.x) for a, b in zip(ordered, ordered[1:], strict=False))
+    shares = [0.0, 0.33, 0.5, 0.66, 1.0]
+    got = {r.k: r for r in exact_quantiles(df, ["k"], F.col("x"), shares).collect()}
+    assert set(got) == set(groups)
+    for k, v in groups.items():
+        v = np.sort(np.array(v, float))
+        for i, q in enumerate(shares):
+            at = q * (len(v) - 1)
+            lo, hi = v[math.floor(at)], v[math.ceil(at)]
+            assert math.isclose(got[k][f"q{i}"], lo + (hi - lo) * (at - math.floor(at)), rel_tol=1e-12, abs_tol=0), (k, q)
+        assert got[k].n == len(v)
+
+
 def test_positions_know_nothing_of_later_rows(spark):
     bars = B.synthetic_bars(spark, DataConfig(n_rows=60, n_features=1), 2)
     changed = bars.withColumn("f000", F.when(F.col("row_idx") >= 40, -5.0).otherwise(F.col("f000")))

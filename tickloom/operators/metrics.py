@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.functions.quantiles import exact_quantiles
 from tickloom.functions.stats import finite, probabilistic_sharpe
-from tickloom.operators.panel import KEY, Q_HIGH, Q_LOW, WINDOW_ROWS, null_safe_join, rolling_deviation
+from tickloom.operators.panel import KEY, PLACE, Q_HIGH, Q_LOW, STRETCH_ROWS, WINDOW_ROWS, core, rolling_deviation, stretched
 
 #: The metric names, in the order of the columns.
 BASE = ("n_obs", "periods_per_year", "total_return", "cagr", "sharpe_net", "sharpe_net_per", "skew_net", "kurt_net", "psr_net", "max_drawdown", "avg_turnover", "gross_sum", "net_sum", "cost_sum", "exposure_abs_mean", "exposure_mean", "hit_rate")
@@ -63,17 +64,20 @@ def base_metrics(panel: DataFrame) -> DataFrame:
     return derived(panel.groupBy(*KEY).agg(*base_aggregates())).select(*KEY, *BASE)
 
 
-def with_volatility(panel: DataFrame) -> DataFrame:
+def with_volatility(panel: DataFrame, rows: int = STRETCH_ROWS, some_own: bool = True) -> DataFrame:
     """Adds v, q33, q66 and n_v: volatility of the asset where its returns can be used, else of the candidate's own results.
 
-    Only slices whose reference can't be used (a property of the slice alone) pay for the second kind.
+    Only slices whose reference can't be used (a property of the slice alone, part of PLACE and so pushed below every
+    window) pay for the second kind; some_own False says that there are none, and leaves it out of the plan.
     """
-    w = Window.partitionBy(*KEY).orderBy("row_idx")
-    asset = panel.where("ref_used = 1").withColumns({"v": F.col("vol"), "q33": F.col("vol_q33"), "q66": F.col("vol_q66"), "n_v": F.col("n_vol")})
-    own = panel.where("ref_used <> 1").withColumn("v", rolling_deviation(F.col("net"), w))
-    q = own.groupBy(*KEY).agg(F.percentile("v", F.array(F.lit(Q_LOW), F.lit(Q_HIGH))).alias("_q"), F.count("v").alias("n_v"))
-    q = q.select(*KEY, F.get("_q", F.lit(0)).alias("q33"), F.get("_q", F.lit(1)).alias("q66"), "n_v")
-    return asset.unionByName(null_safe_join(own, q, KEY).select(*asset.columns))
+    asset = panel.where("own = 0").withColumns({"v": F.col("vol"), "q33": F.col("vol_q33"), "q66": F.col("vol_q66"), "n_v": F.col("n_vol")})
+    if not some_own:
+        return asset
+    ids = ["slice_key", "cand_idx"]
+    own = stretched(panel.where("own = 1"), WINDOW_ROWS, rows)
+    own = core(own.withColumn("v", rolling_deviation(F.col("net"), Window.partitionBy(*PLACE, "cand_idx").orderBy("row_idx"))))
+    q = exact_quantiles(own, ids, F.col("v"), [Q_LOW, Q_HIGH]).select(*ids, F.col("q0").alias("q33"), F.col("q1").alias("q66"), F.col("n").alias("n_v"))
+    return asset.unionByName(own.join(q, ids, "left").withColumn("n_v", F.coalesce("n_v", F.lit(0))).select(*asset.columns))
 
 
 def regime_label() -> Column:
@@ -118,9 +122,9 @@ def regimes(df: DataFrame) -> DataFrame:
     return df
 
 
-def fold_metrics(panel: DataFrame) -> DataFrame:
-    """KEY and ALL for each candidate and slice, in one aggregation of the panel."""
-    labelled = with_volatility(panel).withColumn("regime", regime_label())
+def fold_metrics(panel: DataFrame, rows: int = STRETCH_ROWS, some_own: bool = True) -> DataFrame:
+    """KEY and ALL for each candidate and slice, in one aggregation of the panel; rows, some_own: see with_volatility."""
+    labelled = with_volatility(panel, rows, some_own).withColumn("regime", regime_label())
     one = labelled.groupBy(*KEY).agg(*base_aggregates(), *regime_aggregates())
     return regimes(derived(one)).select(*KEY, *ALL)
 

@@ -102,10 +102,10 @@ def slice_table(spark: SparkSession, slices: list[Slice]) -> DataFrame:
 
 
 def assign(bars: DataFrame, slices: list[Slice]) -> DataFrame:
-    """A row for each bar and slice that holds it. The slices are literals, so there is no join."""
+    """A row for each bar and slice that holds it, with slice_lo, the slice's first row. The slices are literals, so there is no join."""
     ranges = F.array(*[F.struct(F.lit(s.fold).cast("int").alias("fold"), F.lit(s.split).alias("split"), F.lit(s.lo).cast("long").alias("lo"), F.lit(s.hi).cast("long").alias("hi")) for s in slices])
     inside = F.filter(ranges, lambda s: (F.col("row_idx") >= s["lo"]) & (F.col("row_idx") < s["hi"]))
-    return bars.withColumn("_s", F.explode(inside)).select("_s.fold", "_s.split", *bars.columns)
+    return bars.withColumn("_s", F.explode(inside)).select("_s.fold", "_s.split", F.col("_s.lo").alias("slice_lo"), *bars.columns)
 
 
 def plan_meta(bars: DataFrame, plan: Plan) -> DataFrame:

@@ -23,11 +23,14 @@ SIDES = ("train", "valid")
 def evaluate(bars: DataFrame, plan: Plan, candidates: DataFrame, cfg: EngineConfig, splits: tuple[str, ...], only: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Metrics and equity heads of candidates on the slices of some splits; only: (strategy_hash, fold) to keep."""
     slices = [s for s in plan.slices if s.split in splits]
-    raw = P.signals(P.market(bars, slices), candidates)
+    if only is not None:
+        candidates = candidates.join(F.broadcast(only.select("strategy_hash").distinct()), "strategy_hash", "left_semi")  # before the market is copied
+    facts = P.slice_facts(bars, slices)
+    raw = P.signals(P.market(bars, slices, cfg.backtest.execution_lag, facts=facts), candidates)
     if only is not None:
         raw = raw.join(F.broadcast(only.select("strategy_hash", "fold")), ["strategy_hash", "fold"], "left_semi")  # candidates x folds
     rows = P.backtest(raw, cfg.backtest, cfg.costs)
-    return fold_metrics(rows), P.equity_head(rows)
+    return fold_metrics(rows, some_own=P.some_own(facts)), P.equity_head(rows)
 
 
 def as_json(df: DataFrame, ids: list[str], columns: list[str]) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickloom.config import BacktestConfig, CostConfig, CvConfig, DataConfig, ResearchConfig, SplitConfig
+from tickloom.functions.quantiles import exact_quantiles
 from tickloom.functions.stats import expected_best, normal_cdf_sql
 from tickloom.operators import candidates as C
 from tickloom.operators import metrics as M
@@ -50,6 +51,11 @@ def _panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.panel(_bars(spark, sf_dir), _plan(spark, sf_dir).slices, C.candidate_table(spark, SPECS), RUN, COSTS)
 
 
+def _whole_metrics(bars: DataFrame, plan: V.Plan) -> DataFrame:
+    facts = P.slice_facts(bars, plan.slices)
+    return M.fold_metrics(P.panel(bars, plan.slices, C.candidate_table(bars.sparkSession, SPECS), RUN, COSTS, facts=facts), some_own=P.some_own(facts))
+
+
 def _rounded(df: DataFrame, keep: list[str], names: list[str], digits: int = 6) -> DataFrame:
     return df.select(*keep, *[(F.round(F.col(c), digits) + 0.0).alias(c) for c in names])  # no negative zero
 
@@ -109,50 +115,50 @@ def plan_meta(spark, sf_dir):
 
 
 def periods_per_year(spark, sf_dir):
-    return _rounded(P.periods_per_year(V.assign(_bars(spark, sf_dir), _plan(spark, sf_dir).slices)), ["fold", "split"], ["ppy"])
+    return _rounded(P.periods_per_year(_bars(spark, sf_dir), _plan(spark, sf_dir).slices), ["fold", "split"], ["ppy"])
 
 
 # --- panel ------------------------------------------------------------------------------------------------------------
 def signal_positions(spark, sf_dir):
     market = P.market(_bars(spark, sf_dir), _plan(spark, sf_dir).slices)
-    return P.signals(market, C.candidate_table(spark, SPECS)).select(*ID, "ts", "raw")
+    return P.core(P.signals(market, C.candidate_table(spark, SPECS))).select(*ID, "ts", "raw")
 
 
 def exec_lag(spark, sf_dir):
-    market = P.market(_bars(spark, sf_dir), _plan(spark, sf_dir).of("valid"))
+    market = P.market(_bars(spark, sf_dir), _plan(spark, sf_dir).slices, lag=2)
     rows = P.backtest(P.signals(market, C.candidate_table(spark, SPECS)), BacktestConfig(execution_lag=2, leverage=0.1), COSTS)
     return _rounded(rows, [*ID, "ts"], ["pos", "tov"])
 
 
 def asset_returns(spark, sf_dir):
-    return _rounded(P.market(_bars(spark, sf_dir), _plan(spark, sf_dir).of("valid")), ["fold", "split", "ts"], ["ret"], 9)
+    return _rounded(P.core(P.moves(_bars(spark, sf_dir), _plan(spark, sf_dir).slices)), ["fold", "split", "ts"], ["ret"], 9)
 
 
 def turnover_costs(spark, sf_dir):
-    return _rounded(_panel(spark, sf_dir).where("split = 'valid'"), [*ID, "ts"], ["tov", "tc", "slip", "borrow"], 9)
+    return _rounded(_panel(spark, sf_dir), [*ID, "ts"], ["tov", "tc", "slip", "borrow"], 9)
 
 
 def equity_curve(spark, sf_dir):
-    return _rounded(_panel(spark, sf_dir).where("split = 'test'"), [*ID, "ts"], ["net", "eq"], 8)
+    return _rounded(_panel(spark, sf_dir), [*ID, "ts"], ["net", "eq"], 8)
 
 
 def drawdown(spark, sf_dir):
-    rows = _panel(spark, sf_dir).where("split = 'valid'")
+    rows = _panel(spark, sf_dir)
     return _rounded(rows.withColumn("dd", F.col("eq") / F.col("peak") - 1), [*ID, "ts"], ["peak", "dd"], 8)
 
 
 def equity_head(spark, sf_dir):
-    heads = P.equity_head(_panel(spark, sf_dir).where("split = 'valid'"))
+    heads = P.equity_head(_panel(spark, sf_dir))
     return heads.select(*ID, "t0", "t1", F.round("equity_end", 6).alias("equity_end"), F.size("equity_head").cast("long").alias("n"), F.round(F.element_at("equity_head", -1), 6).alias("last_of_head"))
 
 
 def rolling_vol(spark, sf_dir):
-    return _rounded(P.market(_bars(spark, sf_dir), _plan(spark, sf_dir).of("valid")), ["fold", "split", "ts"], ["vol"], 9)
+    return _rounded(P.core(P.moves(_bars(spark, sf_dir), _plan(spark, sf_dir).slices)), ["fold", "split", "ts"], ["vol"], 9)
 
 
 def regime_quantiles(spark, sf_dir):
     market = P.market(_bars(spark, sf_dir), _plan(spark, sf_dir).slices)
-    facts = market.groupBy("fold", "split").agg(*[F.first(c).alias(c) for c in ("vol_q33", "vol_q66", "n_vol", "ref_used", "ref_coverage")])
+    facts = P.core(market).groupBy("fold", "split").agg(*[F.first(c).alias(c) for c in ("vol_q33", "vol_q66", "n_vol", "ref_used", "ref_coverage")])
     return _rounded(facts, ["fold", "split", "n_vol", "ref_used", "ref_coverage"], ["vol_q33", "vol_q66"], 9)
 
 
@@ -162,7 +168,7 @@ def base_metrics(spark, sf_dir):
 
 
 def regime_metrics(spark, sf_dir):
-    return _rounded(M.fold_metrics(_panel(spark, sf_dir)), ID, list(M.REFERENCE + M.REGIME))
+    return _rounded(_whole_metrics(_bars(spark, sf_dir), _plan(spark, sf_dir)), ID, list(M.REFERENCE + M.REGIME))
 
 
 def psr(spark, sf_dir):
@@ -209,16 +215,43 @@ def cv_score_min(spark, sf_dir):
 
 def aligned_positions(spark, sf_dir):
     """Positions from elsewhere, some rows missing, put onto the panel's rows: what is missing is flat."""
-    rows = _panel(spark, sf_dir).where("split = 'valid'")
+    rows = _panel(spark, sf_dir)
     kept = rows.where("row_idx % 3 <> 0")
     return P.aligned(rows, kept.select(*P.KEY, "ts", "raw")).groupBy(*ID).agg(F.sum(F.abs("raw")).alias("days_held"))
 
 
 def reference_returns(spark, sf_dir):
     """Asset returns implied by gross results and the position before."""
-    rows = _panel(spark, sf_dir).where("split = 'valid' and cand_idx = 0")
-    w = Window.partitionBy(*P.KEY).orderBy("row_idx")
-    return _rounded(rows.withColumn("implied", P.reference_returns(F.col("gross"), F.col("pos"), w)), [*ID, "ts"], ["implied"], 8)
+    return _rounded(P.reference_returns(_panel(spark, sf_dir)), [*ID, "ts"], ["implied"], 8)
+
+
+def _event_bars(spark, sf_dir) -> DataFrame:
+    """A series that grows with the tables: a bar for each event."""
+    features = {"a": F.col("user_id") % 11 / 5.0 - 1, "b": F.col("user_id") % 7 / 3.0 - 1, "c": F.length("event_type") / 6.0 - 1, "d": F.col("event_id") % 5 / 2.0 - 1}
+    raw = _table(spark, sf_dir, "events").select("event_id", F.col("ts").alias("timestamp"), (F.col("value") + 1000).alias("price"), *[f.alias(n) for n, f in features.items()])
+    return B.normalise(raw, features=list(features), order=F.col("event_id"))
+
+
+def _event_plan(spark, sf_dir) -> V.Plan:
+    n = _table(spark, sf_dir, "events").where("value is not null").agg(F.count_distinct("ts")).first()[0]
+    return V.walk_forward_plan(n, CvConfig(method="walk_forward", n_folds=3, valid_window_rows=n // 10, step_rows=n // 10, min_train_rows=n // 2, purge_rows=5, holdout_test_rows=n // 10))
+
+
+def series_curve(spark, sf_dir):
+    """Equity and its peak at every bar of a series whose slices have many stretches."""
+    panel = P.panel(_event_bars(spark, sf_dir), _event_plan(spark, sf_dir).slices, C.candidate_table(spark, SPECS), RUN, COSTS)
+    return _rounded(panel, [*ID, "row_idx"], ["pos", "net", "eq", "peak"])
+
+
+def series_metrics(spark, sf_dir):
+    """All metrics but cagr, which 180,000 bars a year make too large to compare (base_metrics has it)."""
+    return _rounded(_whole_metrics(_event_bars(spark, sf_dir), _event_plan(spark, sf_dir)), ID, [c for c in M.ALL if c != "cagr"])
+
+
+def series_quantiles(spark, sf_dir):
+    """Exact quantiles of the events' values by type."""
+    rows = exact_quantiles(_table(spark, sf_dir, "events"), ["event_type"], F.col("value"), [0.0, 0.25, 0.5, 0.99, 1.0])
+    return _rounded(rows, ["event_type", "n"], [f"q{i}" for i in range(5)], 9)
 
 
 def overfit_diag(spark, sf_dir):
@@ -376,7 +409,7 @@ def leaderboard_filtered(spark, sf_dir):
 def experiment_flow(spark, sf_dir):
     """The flagship: bars to a ranking with holdout figures, regime metrics included."""
     plan, bars = _plan(spark, sf_dir), _bars(spark, sf_dir)
-    metrics = M.fold_metrics(P.panel(bars, plan.slices, C.candidate_table(spark, SPECS), RUN, COSTS))
+    metrics = _whole_metrics(bars, plan)
     research = ResearchConfig(selection_metric="regime_worst_sharpe_net")
     ranked = S.ranking(S.score(metrics, plan.n_folds, research, len(SPECS)), 3)
     test = metrics.where("split = 'test'").select("strategy_hash", "sharpe_net", "total_return", "max_drawdown", "regime_worst_sharpe_net")
@@ -454,6 +487,17 @@ regimes AS (SELECT *, 20.0::DOUBLE AS regime_window, 0.33::DOUBLE AS regime_q_lo
  CASE WHEN NOT early THEN q33 END AS regime_vol_q33, CASE WHEN NOT early THEN q66 END AS regime_vol_q66, coalesce(worst, sharpe_net) AS regime_worst_sharpe_net, coalesce(best, sharpe_net) AS regime_best_sharpe_net,
  CASE WHEN worst IS NULL THEN 0 ELSE best - worst END::DOUBLE AS regime_spread_sharpe_net, """ + ", ".join(f"regime_n_{x} / nullif(regime_n_low + regime_n_mid + regime_n_high, 0) AS regime_{x}_frac" for x in M.NAMES) + " FROM reg)"
 
+#: The same with a bar for each event.
+EVENT_SLICES = """bars AS (SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS row_idx, value + 1000 AS price, user_id % 11 / 5.0::DOUBLE - 1 AS f000, user_id % 7 / 3.0::DOUBLE - 1 AS f001, length(event_type) / 6.0::DOUBLE - 1 AS f002, event_id % 5 / 2.0::DOUBLE - 1 AS f003
+ FROM (SELECT *, row_number() OVER (PARTITION BY ts ORDER BY event_id) AS i FROM events) WHERE i = 1 AND value IS NOT NULL),
+n AS (SELECT count(*)::BIGINT AS n FROM bars),
+firsts AS (SELECT i::INT AS fold, n // 2 + 5 + i * (n // 10) AS v, n // 10 AS w FROM range(3) AS r(i), n),
+slices AS (SELECT fold, 'train' AS split, 0::BIGINT AS lo, (v - 5)::BIGINT AS hi FROM firsts UNION ALL SELECT fold, 'valid', v, v + w FROM firsts UNION ALL SELECT NULL, 'test', n - n // 10, n FROM n)"""
+
+
+def _on_events(ctes: str) -> str:
+    return ctes.replace(SLICES, EVENT_SLICES).replace("epoch(ts) - lag(epoch(ts)) OVER (PARTITION BY fold, split ORDER BY row_idx)", "(epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY fold, split ORDER BY row_idx)) / 1e6")
+
 
 def _pick(ctes: str, source: str, keep: list[str], names: list[str], digits: int = 6, where: str = "") -> str:
     return f"WITH {ctes}\nSELECT {', '.join([*keep, *[f'round({c}, {digits}) + 0.0::DOUBLE AS {c}' for c in names]])} FROM {source} {where}"
@@ -500,6 +544,7 @@ FROM f ORDER BY {order} DESC NULLS LAST, experiment_id DESC LIMIT 50"""
 
 
 ALL_REGIME = list(M.REFERENCE + M.REGIME)
+REGIME_AND_BASE = REGIMES + ", whole AS (SELECT b.*, r.* EXCLUDE (cand_idx, fold, split, n_obs, periods_per_year, sharpe_net) FROM base b JOIN regimes r ON r.cand_idx = b.cand_idx AND r.split = b.split AND r.fold IS NOT DISTINCT FROM b.fold)"
 KEYS = ["cand_idx", "fold", "split"]
 EVENTS = "SELECT event_id, date_trunc('minute', ts) AS ts, value, user_id, event_type, row_number() OVER (PARTITION BY date_trunc('minute', ts) ORDER BY event_id) AS i FROM events"
 ORACLES = {
@@ -515,13 +560,13 @@ ORACLES = {
     "plan_meta": f"WITH {MARKET} SELECT s.fold, s.split, s.lo, s.hi, s.hi - s.lo AS rows, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_ts, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_ts FROM slices s JOIN bars b ON b.row_idx >= s.lo AND b.row_idx < s.hi GROUP BY 1, 2, 3, 4",
     "periods_per_year": _pick(MARKET, "ppys", ["fold", "split"], ["ppy"]),
     "signal_positions": f"WITH {SIGNAL} SELECT cand_idx, fold, split, ts, raw FROM signal",
-    "exec_lag": _pick(_panel_sql(2), "panel", [*KEYS, "ts"], ["pos", "tov"], where="WHERE split = 'valid'"),
-    "asset_returns": _pick(MARKET, "market", ["fold", "split", "ts"], ["ret"], 9, "WHERE split = 'valid'"),
-    "turnover_costs": _pick(PANEL, "panel", [*KEYS, "ts"], ["tov", "tc", "slip", "borrow"], 9, "WHERE split = 'valid'"),
-    "equity_curve": _pick(PANEL, "panel", [*KEYS, "ts"], ["net", "eq"], 8, "WHERE split = 'test'"),
-    "drawdown": f"WITH {PANEL} SELECT cand_idx, fold, split, ts, round(peak, 8) AS peak, round(eq / peak - 1, 8) AS dd FROM panel WHERE split = 'valid'",
-    "equity_head": f"WITH {PANEL}, r AS (SELECT *, row_number() OVER (PARTITION BY cand_idx, fold, split ORDER BY row_idx) AS i FROM panel WHERE split = 'valid') SELECT cand_idx, fold, split, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS t0, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS t1, round(max_by(eq, row_idx), 6) AS equity_end, count(*) FILTER (i <= 50) AS n, round(max_by(eq, row_idx) FILTER (i <= 50), 6) AS last_of_head FROM r GROUP BY 1, 2, 3",
-    "rolling_vol": _pick(MARKET, "market", ["fold", "split", "ts"], ["vol"], 9, "WHERE split = 'valid'"),
+    "exec_lag": _pick(_panel_sql(2), "panel", [*KEYS, "ts"], ["pos", "tov"]),
+    "asset_returns": _pick(MARKET, "market", ["fold", "split", "ts"], ["ret"], 9),
+    "turnover_costs": _pick(PANEL, "panel", [*KEYS, "ts"], ["tov", "tc", "slip", "borrow"], 9),
+    "equity_curve": _pick(PANEL, "panel", [*KEYS, "ts"], ["net", "eq"], 8),
+    "drawdown": f"WITH {PANEL} SELECT cand_idx, fold, split, ts, round(peak, 8) AS peak, round(eq / peak - 1, 8) + 0.0::DOUBLE AS dd FROM panel",
+    "equity_head": f"WITH {PANEL}, r AS (SELECT *, row_number() OVER (PARTITION BY cand_idx, fold, split ORDER BY row_idx) AS i FROM panel) SELECT cand_idx, fold, split, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS t0, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS t1, round(max_by(eq, row_idx), 6) AS equity_end, count(*) FILTER (i <= 50) AS n, round(max_by(eq, row_idx) FILTER (i <= 50), 6) AS last_of_head FROM r GROUP BY 1, 2, 3",
+    "rolling_vol": _pick(MARKET, "market", ["fold", "split", "ts"], ["vol"], 9),
     "regime_quantiles": _pick(MARKET, "facts", ["fold", "split", "n_vol", "ref_used", "ref_coverage"], ["vol_q33", "vol_q66"], 9),
     "base_metrics": _pick(METRICS, "base", KEYS, list(M.BASE)),
     "custom_strategy_pandas": _pick(CUSTOM, "base", KEYS, ["n_obs", "sharpe_net", "total_return", "exposure_mean"]),
@@ -533,8 +578,11 @@ ORACLES = {
     "cv_score": _pick(PAIRS, "scores", ["cand_idx", "cv_complete", "cv_n_folds_ok", "cv_n_folds_total"], ["cv_score", "valid_agg", "valid_std", "valid_min"]),
     "cv_score_dsr": f"WITH {METRICS}, p AS (SELECT cand_idx, fold, max(dsr_net) FILTER (split = 'train') AS train, max(dsr_net) FILTER (split = 'valid') AS valid FROM base WHERE split <> 'test' GROUP BY 1, 2), g AS (SELECT cand_idx, count(valid) = 4 AS done, avg(valid) AS v, avg(train) AS t, stddev_samp(valid) AS s FROM p GROUP BY 1) SELECT cand_idx, done::INT::DOUBLE AS cv_complete, round(CASE WHEN done THEN v - s END, 6) + 0.0::DOUBLE AS cv_score, round(CASE WHEN done THEN v END, 6) + 0.0::DOUBLE AS valid_agg, round(CASE WHEN done THEN t END, 6) + 0.0::DOUBLE AS train_agg FROM g",
     "cv_score_min": f"WITH {METRICS} SELECT cand_idx, round(min(total_return) FILTER (split = 'valid'), 6) + 0.0::DOUBLE AS cv_score, round(min(total_return) FILTER (split = 'train') - min(total_return) FILTER (split = 'valid'), 6) + 0.0::DOUBLE AS train_valid_gap FROM base GROUP BY 1",
-    "aligned_positions": f"WITH {PANEL} SELECT cand_idx, fold, split, sum(CASE WHEN row_idx % 3 <> 0 THEN abs(raw) ELSE 0 END)::DOUBLE AS days_held FROM panel WHERE split = 'valid' GROUP BY 1, 2, 3",
-    "reference_returns": f"WITH {PANEL}, w AS (SELECT *, lag(pos) OVER (PARTITION BY cand_idx, fold, split ORDER BY row_idx) AS before FROM panel WHERE split = 'valid' AND cand_idx = 0) SELECT cand_idx, fold, split, ts, round(CASE WHEN abs(before) > 1e-12 THEN gross / before END, 8) + 0.0::DOUBLE AS implied FROM w",
+    "aligned_positions": f"WITH {PANEL} SELECT cand_idx, fold, split, sum(CASE WHEN row_idx % 3 <> 0 THEN abs(raw) ELSE 0 END)::DOUBLE AS days_held FROM panel GROUP BY 1, 2, 3",
+    "reference_returns": f"WITH {PANEL}, w AS (SELECT *, lag(pos) OVER (PARTITION BY cand_idx, fold, split ORDER BY row_idx) AS before FROM panel) SELECT cand_idx, fold, split, ts, round(CASE WHEN abs(before) > 1e-12 THEN gross / before END, 8) + 0.0::DOUBLE AS implied FROM w",
+    "series_curve": _pick(_on_events(PANEL), "panel", [*KEYS, "row_idx"], ["pos", "net", "eq", "peak"]),
+    "series_metrics": _pick(_on_events(REGIME_AND_BASE), "whole", KEYS, [c for c in M.ALL if c != "cagr"]),
+    "series_quantiles": "SELECT event_type, count(value) AS n, " + ", ".join(f"round(quantile_cont(value, {q}), 9) AS q{i}" for i, q in enumerate((0.0, 0.25, 0.5, 0.99, 1.0))) + " FROM events GROUP BY 1",
     "run_artifact": f"WITH {TRACKING} SELECT content FROM artifacts WHERE run_id = (SELECT min(run_id) FROM artifacts)",
     "leaderboard_filtered": f"WITH {TRACKING} SELECT e.experiment_id, b.strategy_hash, round(b.score_value, 6) AS score_value FROM experiments e JOIN best b ON b.experiment_id = e.experiment_id AND rank = 1 WHERE dataset_id = 'MACHINERY' QUALIFY row_number() OVER (ORDER BY e.experiment_id DESC) <= 500 ORDER BY score_value DESC, e.experiment_id DESC LIMIT 10",
     "overfit_diag": _pick(PAIRS, "scores", ["cand_idx", "train_valid_n_pairs"], ["train_agg", "train_std", "train_min", "train_valid_gap", "train_gt_valid_frac", "train_valid_corr"]),
@@ -578,9 +626,9 @@ def _whole_fold(query):
 QUERIES = {f.__name__: _whole_fold(f) for f in (
     bars_daily, bars_last_n, bars_dedup_first, bars_dropna, bars_normalised, time_axis, synthetic_bars, split_single, slices_walk_forward, slice_membership, plan_meta, periods_per_year,
     signal_positions, exec_lag, asset_returns, turnover_costs, equity_curve, drawdown, equity_head, rolling_vol, regime_quantiles, base_metrics, regime_metrics, psr, dsr, metrics_eav,
-    fold_pairs, cv_score, cv_score_dsr, cv_score_min, overfit_diag, aligned_positions, reference_returns, ranking_topk, holdout_eval, candidates_distinct, custom_strategy_pandas, latest_metric, latest_metric_unfolded, latest_artifact, metrics_pivot,
+    fold_pairs, cv_score, cv_score_dsr, cv_score_min, overfit_diag, series_curve, series_metrics, series_quantiles, aligned_positions, reference_returns, ranking_topk, holdout_eval, candidates_distinct, custom_strategy_pandas, latest_metric, latest_metric_unfolded, latest_artifact, metrics_pivot,
     run_metrics, run_artifact, leaderboard_filtered, best_candidates, cache_hits, cache_misses, cached_runs, union_results, cache_diag, experiments_list, experiment_flow,
 )} | {"leaderboard": _board("cv"), "leaderboard_by_test": _board("test"), "leaderboard_by_test_sharpe": _board("test_sharpe")}
 #: Queries whose rows have a fold.
-FOLDED = ("split_single", "slices_walk_forward", "slice_membership", "plan_meta", "periods_per_year", "signal_positions", "exec_lag", "asset_returns", "turnover_costs", "equity_curve", "drawdown", "equity_head", "rolling_vol", "regime_quantiles", "base_metrics", "custom_strategy_pandas", "regime_metrics", "psr", "dsr", "metrics_eav", "fold_pairs", "aligned_positions", "reference_returns", "cache_hits", "cache_misses", "cached_runs", "union_results")
+FOLDED = ("split_single", "slices_walk_forward", "slice_membership", "plan_meta", "periods_per_year", "signal_positions", "exec_lag", "asset_returns", "turnover_costs", "equity_curve", "drawdown", "equity_head", "rolling_vol", "regime_quantiles", "base_metrics", "custom_strategy_pandas", "regime_metrics", "psr", "dsr", "metrics_eav", "fold_pairs", "aligned_positions", "reference_returns", "series_curve", "series_metrics", "cache_hits", "cache_misses", "cached_runs", "union_results")
 ORACLES |= {name: f"SELECT * REPLACE (coalesce(fold, -1)::INT AS fold) FROM ({ORACLES[name]}) AS q" for name in FOLDED}
