@@ -15,7 +15,7 @@ from tickloom.operators.slices import Slice
 from tickloom.plans.experiment import run_experiment
 from tickloom.plans.reports import leaderboard, list_experiments, run_report
 from tickloom.sources import bars as B
-from tickloom.sources.store import Store, migrated
+from tickloom.sources.store import RUNS_OF_ONE, SCHEMAS, Store, cached_runs
 
 YEAR = 365.25
 
@@ -189,9 +189,108 @@ def test_experiment_store_and_cache(spark, tmp_path):
     assert [r.experiment_id for r in list_experiments(tables.experiments, with_config=True).collect()] == [two, one]
     lines = run_report(tables, two, 2)
     assert lines[0] == f"experiment_id={two}" and sum(x.startswith("#") for x in lines) == 2 and any("fold_skipped=18/18" in x for x in lines)
-    old = tables.experiments.withColumns({c: F.lit("").alias(c) for c in ("eval_code_hash", "dataset_id")})
-    new = migrated(old, tables.runs, tables.artifacts).orderBy("experiment_id").first()
-    assert new.dataset_id == "synthetic" and new.eval_code_hash == new.code_hash
+    assert runs.run_id.min() // RUNS_OF_ONE == one and set(runs.status) == {"ok"}
+
+
+def test_a_run_counts_as_a_whole_or_not_at_all(spark, tmp_path, monkeypatch):
+    """A failure between the tables of a write leaves no results and no cache hit; a killed run stays running, a failed one is an error."""
+    path, cfg = str(tmp_path / "store"), from_dict(BASE)
+    write = Store.write
+
+    def broken(self, name, df, experiment_id, seq):
+        if name == "artifacts":
+            raise KeyboardInterrupt("killed")
+        write(self, name, df, experiment_id, seq)
+
+    monkeypatch.setattr(Store, "write", broken)
+    with pytest.raises(KeyboardInterrupt):
+        run_experiment(spark, cfg, path)
+    monkeypatch.undo()
+    store = Store(spark, path)
+    tables = store.tables()
+    exp = tables.experiments.first()
+    assert {r.status for r in tables.runs.collect()} == {"running"} and tables.runs.count() == 2 + 36
+    assert tables.metrics.count() == 0 and store.log("metrics").count() > 0
+    assert cached_runs(tables, exp.evaluation_hash, exp.eval_code_hash).count() == 0
+    monkeypatch.setattr("tickloom.plans.experiment.fold_metrics", lambda *a, **k: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        run_experiment(spark, cfg, path)
+    monkeypatch.undo()
+    second = store.tables().runs.where("experiment_id = 2").collect()
+    assert {(r.status, r.error) for r in second} == {("error", "ZeroDivisionError: division by zero")} and len(second) == 38
+
+
+def test_the_log_of_a_store(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    assert store.tables().runs.count() == 0
+    one, two = store.create_experiment({"run_name": "a"}), Store(spark, str(tmp_path / "s")).create_experiment({"run_name": "b"})
+    assert (one, two) == (1, 2)
+    # two writers at once: both see id 3 as free, one of them gets it
+    assert store._create(f"{store.path}/claims/3") and not store._create(f"{store.path}/claims/3") and store.create_experiment({}) == 4
+    run = lambda status, i=7: spark.createDataFrame([(i, "valid", status)], "run_id long, split string, status string").withColumns({c: F.lit(None).cast(t) for c, t in (("created_at", "string"), ("fold", "int"), ("strategy_name", "string"), ("strategy_json", "string"), ("strategy_hash", "string"), ("error", "string"), ("elapsed_ms", "long"))})
+    values = lambda **v: spark.createDataFrame([(7, k, x) for k, x in v.items()], "run_id long, key string, value double")
+    state = lambda: ([(r.run_id, r.status) for r in store.read("runs").orderBy("run_id").collect()], {r.key: r.value for r in store.read("metrics").collect()})
+    store.start_runs(one, run("running"))
+    assert state() == ([(7, "running")], {})
+    store.finish_runs(one, run("ok"), metrics=values(a=1.0, b=2.0))
+    store.finish_runs(one, run("ok"), metrics=values(a=5.0))
+    assert state() == ([(7, "ok")], {"a": 5.0, "b": 2.0})
+    lost = store.next_seq(one)  # a writer that dies before its commit
+    store.write("metrics", values(a=9.0), one, lost)
+    store.start_runs(two, run("running", 8))
+    assert state() == ([(7, "ok"), (8, "running")], {"a": 5.0, "b": 2.0})
+    store.compact(one)
+    assert state() == ([(7, "ok"), (8, "running")], {"a": 5.0, "b": 2.0})
+    assert store.read("metrics").where("experiment_id = 1").count() == 2 and store.log("metrics").count() == 6
+    store.finish_runs(one, run("error"), metrics=values(b=0.0))
+    assert state() == ([(7, "error"), (8, "running")], {"a": 5.0, "b": 0.0})
+
+
+def test_lookups_read_few_files(spark, tmp_path):
+    """A lookup in one of forty experiments opens the files of that one."""
+    store = Store(spark, str(tmp_path / "s"))
+    ids = spark.range(1, 41).withColumnRenamed("id", "experiment_id").withColumn("seq", F.lit(1).cast("long"))
+    run = ids.selectExpr("experiment_id", "seq", "experiment_id * 4294967296 run_id", "'x' created_at", "'valid' split", "0 fold", "'n' strategy_name", "'{}' strategy_json", "'h' strategy_hash", "'ok' status", "cast(null as string) error", "1L elapsed_ms")
+    value = ids.selectExpr("experiment_id", "seq", "experiment_id * 4294967296 run_id", "'sharpe_net' key", "double(experiment_id) value")
+    store._write("runs", run, store.path)
+    store._write("metrics", value, store.path)
+    for i in range(1, 41):
+        store.commit(i, 1)
+    from tickloom.sources.store import latest_metrics
+
+    found = latest_metrics(store.read("runs").where("experiment_id = 7"), store.read("metrics"))
+    assert [r.value for r in found.collect()] == [7.0]
+    plan = found._jdf.queryExecution().executedPlan()
+
+    def scans(node):
+        children = [node.children().apply(i) for i in range(node.children().size())]
+        for name in ("executedPlan", "plan"):
+            if "Adaptive" in node.nodeName() or "QueryStage" in node.nodeName():
+                try:
+                    children.append(getattr(node, name)())
+                except Exception:
+                    continue
+        own = [node.metrics().apply("numFiles").value()] if "Scan parquet" in node.nodeName() else []
+        return own + [x for c in children for x in scans(c)]
+
+    files = scans(plan)
+    assert len(files) >= 2 and max(files) <= 4, files
+
+
+def test_a_store_of_the_layout_before_is_taken_over(spark, tmp_path):
+    """Opening it copies it once and fills in what older rows lack."""
+    path = str(tmp_path / "s")
+    one = run_experiment(spark, from_dict(BASE), str(tmp_path / "new"))
+    tables = Store(spark, str(tmp_path / "new")).tables()
+    old = tables.experiments.withColumns({c: F.lit("") for c in ("eval_code_hash", "dataset_id", "data_type")})
+    for name, df in zip(SCHEMAS, (old, *tables[1:]), strict=True):
+        df.write.partitionBy(*(["experiment_id"] if name != "experiments" else [])).parquet(f"{path}/{name}")
+    for _ in range(2):
+        store = Store(spark, path)
+        exp = store.tables().experiments.first()
+        assert (exp.experiment_id, exp.dataset_id, exp.data_type, exp.eval_code_hash) == (one, "synthetic", "synthetic", exp.code_hash)
+        assert all(getattr(store.tables(), t).count() == getattr(tables, t).count() > 0 for t in SCHEMAS)
+    assert store.create_experiment({}) == one + 1
 
 
 def test_a_faulty_candidate_fails_alone(spark, tmp_path, monkeypatch):

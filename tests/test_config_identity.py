@@ -31,30 +31,44 @@ def test_rules(raw):
         from_dict(raw)
 
 
-def test_cache_relations():
-    of = lambda **k: identity.evaluation_hash(from_dict(WALK | k))
+def test_cache_relations(spark):
+    def of(**k):
+        cfg = from_dict(WALK | k)
+        return identity.evaluation_hash(cfg, identity.source_of(spark, cfg.data, cfg.seed))
+
     assert of() == of(run_name="x", mode="full", execution={"n_jobs": 4}, research={"n_candidates": 60, "selection_metric": "psr_net"}, persistence={"db_path": "y"})
-    assert len({of(), of(seed=1), of(splits={}), of(cv={"method": "single"}), of(costs={"tc_bps": 3}), of(backtest={"leverage": 2})}) == 6
+    assert len({of(), of(seed=1), of(splits={}), of(cv={"method": "single"}), of(costs={"tc_bps": 3}), of(backtest={"leverage": 2}), of(data={"n_rows": 400, "freq": "h"})}) == 7
     cfg = from_dict(WALK)
-    assert identity.evaluation_hash(cfg) == identity.evaluation_hash(json.loads(identity.canonical_json(cfg)))
+    source = identity.source_of(spark, cfg.data, cfg.seed)
+    assert identity.evaluation_hash(cfg, source) == identity.evaluation_hash(json.loads(identity.canonical_json(cfg)), source)
     assert cfg.config_hash() != from_dict(WALK | {"run_name": "z"}).config_hash()
 
 
-def test_dataset_identity(tmp_path):
-    a, b = tmp_path / "a.csv", tmp_path / "sub"
-    b.mkdir()
-    (b / "a.csv").write_text("x" * 10)
-    a.write_text("x" * 10)
-    one, two = ({"type": "csv", "path": str(p)} for p in (a, b / "a.csv"))
-    assert identity.dataset_identity(one) == identity.dataset_identity(two) and identity.dataset_identity(one)[0] == "a.csv"
-    assert identity.evaluation_hash({"data": one}) == identity.evaluation_hash({"data": two})
-    a.write_text("y" * 10)
-    assert identity.dataset_identity(one)[1] != identity.dataset_identity(two)[1]
-    assert identity.dataset_identity({"type": "csv", "path": "/none"})[2] == "missing_file"
-    assert identity.dataset_identity({"type": "csv", "dataset_id": "d", "dataset_version": 3}) == ("d", "3", "provided")
-    assert identity.dataset_identity({}) == ("unknown", "unknown", "unknown")
-    assert identity.data_fingerprint(one)["strong_fingerprint"]["size"] == 10 and len(identity.evaluation_code_hash()) == 12
+def test_sources_are_known_by_their_content(spark, tmp_path):
+    """Equal rows are one version in one file or many, anywhere; a changed row in a folder is another."""
+    rows = spark.range(1000).selectExpr("timestamp'2020-01-01' + make_dt_interval(cast(id as int)) timestamp", "1.0 + id price", "cast(id % 7 as double) x")
+    rows.coalesce(1).write.parquet(str(tmp_path / "a" / "t"))
+    rows.repartition(5).write.parquet(str(tmp_path / "b" / "t"))
+    version = lambda path, kind="parquet": identity.source_of(spark, {"type": kind, "path": str(path)})
+    one = version(tmp_path / "a" / "t")
+    assert one == version(f"file://{tmp_path}/b/t") and (one.name, one.basis, one.rows) == ("t", "rows", 1000)
+    changed = rows.withColumn("price", F.when(F.col("x") == 3, F.col("price") + 1e-9).otherwise(F.col("price")))
+    changed.write.mode("overwrite").parquet(str(tmp_path / "b" / "t"))
+    assert version(tmp_path / "b" / "t").version != one.version
+    rows.union(rows.limit(1)).write.parquet(str(tmp_path / "c"))
+    rows.withColumnRenamed("x", "y").write.parquet(str(tmp_path / "d"))
+    assert len({version(tmp_path / x).version for x in ("a/t", "c", "d")}) == 3
+    text = tmp_path / "a.csv"
+    text.write_text("timestamp,price\n1,2\n")
+    first = version(text, "csv")
+    text.write_text("timestamp,price\n1,3\n")
+    assert version(text, "csv").version != first.version and first.rows == 2
+    assert identity.source_of(spark, {"type": "csv", "dataset_id": "d", "dataset_version": 3, "path": "/none"}) == ("csv", "d", "3", "given", None)
+    assert identity.source_of(spark, {}) == ("unknown", "unknown", "", "none", None)
+    assert set(one.record()) == {"kind", "name", "version", "basis", "rows", "digest"}
     assert identity.canonical_json({"b": 1e-5, "a": ["é", None]}) == '{"a":["é",null],"b":1e-05}'
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        version(tmp_path / "nothing")
 
 
 def test_normal_and_sharpe(spark):

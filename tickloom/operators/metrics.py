@@ -122,11 +122,12 @@ def regimes(df: DataFrame) -> DataFrame:
     return df
 
 
-def fold_metrics(panel: DataFrame, rows: int = STRETCH_ROWS, some_own: bool = True) -> DataFrame:
-    """KEY and ALL for each candidate and slice, in one aggregation of the panel; rows, some_own: see with_volatility."""
+def fold_metrics(panel: DataFrame, rows: int = STRETCH_ROWS, some_own: bool = True, also: dict[str, Column] | None = None) -> DataFrame:
+    """KEY, ALL and the aggregates of also for each candidate and slice, in one aggregation of the panel; rows, some_own: see with_volatility."""
     labelled = with_volatility(panel, rows, some_own).withColumn("regime", regime_label())
-    one = labelled.groupBy(*KEY).agg(*base_aggregates(), *regime_aggregates())
-    return regimes(derived(one)).select(*KEY, *ALL)
+    more = also or {}
+    one = labelled.groupBy(*KEY).agg(*base_aggregates(), *regime_aggregates(), *[c.alias(name) for name, c in more.items()])
+    return regimes(derived(one)).select(*KEY, *ALL, *more)
 
 
 def to_long(metrics: DataFrame, ids: list[str], names: tuple[str, ...] = ALL) -> DataFrame:

@@ -181,11 +181,16 @@ def aligned(panel_rows: DataFrame, positions: DataFrame) -> DataFrame:
     return null_safe_join(panel_rows.drop("raw"), other, [*KEY, "ts"], "left").withColumn("raw", F.coalesce("_raw", F.lit(0.0))).drop("_raw")
 
 
-def equity_head(panel_rows: DataFrame, n: int = 50) -> DataFrame:
-    """KEY, first and last time, the final equity, and the equity of the slice's first n rows."""
+def head_aggregates(n: int = 50) -> dict[str, Column]:
+    """First and last time, the final equity, and the equity of the slice's first n rows, as aggregates by KEY."""
     head = F.sort_array(F.collect_list(F.when(F.col("row_idx") < F.col("slice_lo") + n, F.struct("row_idx", "eq"))))
     stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
-    return panel_rows.groupBy(*KEY).agg(stamp(F.min("ts")).alias("t0"), stamp(F.max("ts")).alias("t1"), F.max_by("eq", "row_idx").alias("equity_end"), F.transform(head, lambda s: s["eq"]).alias("equity_head"))
+    return {"t0": stamp(F.min("ts")), "t1": stamp(F.max("ts")), "equity_end": F.max_by("eq", "row_idx"), "equity_head": F.transform(head, lambda s: s["eq"])}
+
+
+def equity_head(panel_rows: DataFrame, n: int = 50) -> DataFrame:
+    """KEY and head_aggregates()."""
+    return panel_rows.groupBy(*KEY).agg(*[c.alias(name) for name, c in head_aggregates(n).items()])
 
 
 def reference_returns(panel_rows: DataFrame, eps: float = 1e-12, rows: int = STRETCH_ROWS) -> DataFrame:

@@ -15,13 +15,13 @@ from tickloom.operators import selection as S
 from tickloom.operators.metrics import ALL, fold_metrics, to_long
 from tickloom.operators.slices import Plan, build_plan, plan_meta
 from tickloom.sources.bars import check_bars, load_bars
-from tickloom.sources.store import EXPERIMENT, Store, Tables, cached_runs, split_by_cache
+from tickloom.sources.store import EXPERIMENT, RUNS_OF_ONE, Store, Tables, cached_runs, split_by_cache
 
 SIDES = ("train", "valid")
 
 
-def evaluate(bars: DataFrame, plan: Plan, candidates: DataFrame, cfg: EngineConfig, splits: tuple[str, ...], only: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Metrics and equity heads of candidates on the slices of some splits; only: (strategy_hash, fold) to keep."""
+def evaluate(bars: DataFrame, plan: Plan, candidates: DataFrame, cfg: EngineConfig, splits: tuple[str, ...], only: DataFrame | None = None) -> DataFrame:
+    """KEY, ALL and content (the equity's head as JSON) of candidates on the slices of some splits; only: (strategy_hash, fold) to keep."""
     slices = [s for s in plan.slices if s.split in splits]
     if only is not None:
         candidates = candidates.join(F.broadcast(only.select("strategy_hash").distinct()), "strategy_hash", "left_semi")  # before the market is copied
@@ -29,35 +29,49 @@ def evaluate(bars: DataFrame, plan: Plan, candidates: DataFrame, cfg: EngineConf
     raw = P.signals(P.market(bars, slices, cfg.backtest.execution_lag, facts=facts), candidates)
     if only is not None:
         raw = raw.join(F.broadcast(only.select("strategy_hash", "fold")), ["strategy_hash", "fold"], "left_semi")  # candidates x folds
-    rows = P.backtest(raw, cfg.backtest, cfg.costs)
-    return fold_metrics(rows, some_own=P.some_own(facts)), P.equity_head(rows)
+    head = P.head_aggregates()
+    values = fold_metrics(P.backtest(raw, cfg.backtest, cfg.costs), some_own=P.some_own(facts), also=head)
+    return values.withColumn("content", F.to_json(F.struct(*head))).drop(*head)
 
 
-def as_json(df: DataFrame, ids: list[str], columns: list[str]) -> DataFrame:
-    return df.select(*ids, F.to_json(F.struct(*columns)).alias("content"))
-
-
-def from_cache(tables: Tables, cached: DataFrame, keep: DataFrame, on: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Metrics (wide) and equity heads of cached runs whose on columns are in keep, with cache_info."""
+def from_cache(tables: Tables, cached: DataFrame, keep: DataFrame, on: list[str]) -> DataFrame:
+    """Metrics (wide), content and cache_info of cached runs whose on columns are in keep."""
     runs = cached.join(keep, on, "left_semi")
     info = F.to_json(F.struct(F.lit(True).alias("cached"), "run_id", "experiment_id"))
     known = runs.withColumn("cache_info", info).withColumnRenamed("experiment_id", "_of")
-    values = known.join(tables.metrics.select("run_id", "key", "value"), "run_id")
-    wide = values.groupBy("strategy_hash", "fold", "split", "cache_info").pivot("key", list(ALL)).agg(F.first("value"))
-    heads = known.join(tables.artifacts.where(F.col("name") == "equity_curve_head").select("run_id", "content"), "run_id")
-    return wide, heads.select("strategy_hash", "fold", "split", "content")
+    own = ["_of", "run_id"]
+    values = known.join(tables.metrics.select(F.col("experiment_id").alias("_of"), "run_id", "key", "value"), own)
+    wide = values.groupBy(*own, "strategy_hash", "fold", "split", "cache_info").pivot("key", list(ALL)).agg(F.first("value"))
+    heads = tables.artifacts.where(F.col("name") == "equity_curve_head").select(F.col("experiment_id").alias("_of"), "run_id", "content")
+    return wide.join(heads, own, "left").drop(*own)
 
 
 def run_experiment(spark: SparkSession, cfg: EngineConfig, path: str | None = None) -> int:
-    """Runs and stores an experiment; returns its id. Results go to each table in one write."""
-    began = time.perf_counter()
+    """Runs and stores an experiment; returns its id.
+
+    Runs are stored as running when it is known which will be computed. Results of all tables count from one commit on;
+    where the work fails its runs become errors, and where it is killed they stay running.
+    """
     store = Store(spark, path or cfg.persistence.db_path)
-    raw, research = identity.plain(cfg), cfg.research
-    hashes = {"evaluation_hash": identity.evaluation_hash(raw), "eval_code_hash": identity.evaluation_code_hash(), "config_hash": cfg.config_hash(), "code_hash": identity.code_hash()}
-    prints = identity.data_fingerprint(cfg.data, cfg.seed)
-    row = {"created_at": identity.now_utc(), "run_name": cfg.run_name, "mode": cfg.mode, "config_json": identity.canonical_json(raw), "data_type": prints["type"], "dataset_id": prints["dataset_id"], "dataset_version": prints["dataset_version"], "data_fp_hash": prints["fingerprint_hash"]}
+    source = identity.source_of(spark, cfg.data, cfg.seed)
+    raw = identity.plain(cfg)
+    hashes = {"evaluation_hash": identity.evaluation_hash(raw, source), "eval_code_hash": identity.evaluation_code_hash(), "config_hash": cfg.config_hash(), "code_hash": identity.code_hash()}
+    prints = source.record()
+    row = {"created_at": identity.now_utc(), "run_name": cfg.run_name, "mode": cfg.mode, "config_json": identity.canonical_json(raw), "data_type": source.kind, "dataset_id": source.name, "dataset_version": source.version, "data_fp_hash": prints["digest"]}
     exp = store.create_experiment(row | hashes | identity.environment())
-    tables = store.tables()
+    try:
+        _run(store, exp, cfg, hashes, prints)
+    except Exception as failure:
+        store.fail_running(exp, f"{type(failure).__name__}: {failure}"[:1000])
+        raise
+    return exp
+
+
+def _run(store: Store, exp: int, cfg: EngineConfig, hashes: dict, prints: dict) -> None:
+    began = time.perf_counter()
+    spark, research, tables = store.spark, cfg.research, store.tables()
+    base = exp * RUNS_OF_ONE
+    store.start_runs(exp, experiment_runs(spark, base))
 
     bars = load_bars(spark, cfg.data, cfg.seed).persist()
     check_bars(bars)
@@ -74,13 +88,16 @@ def run_experiment(spark: SparkSession, cfg: EngineConfig, path: str | None = No
     tasks = candidates.select("strategy_hash", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))).alias("fold"))
     hits, misses = (x.persist() for x in split_by_cache(tasks, cached))
     n_hits, n_misses = hits.count(), misses.count()
-    metrics, heads = gathered(bars, plan, candidates, cfg, tables, cached.where(F.col("split").isin(*SIDES)), hits, misses if n_misses else None, bool(n_hits), SIDES)
-    metrics = metrics.persist()
+    first_cv = base + 2 + 2 * n * folds
+    numbered = Numbers(base, folds, first_cv, first_cv + n)
+    open_ = misses.join(candidates, "strategy_hash").select("cand_idx", "strategy_hash", "strategy_name", "strategy_json", "fold", F.explode(F.array(*map(F.lit, SIDES))).alias("split"))
+    store.start_runs(exp, open_.withColumns({"run_id": numbered.fold(), "created_at": F.lit(identity.now_utc())}))
+    metrics = store.settled(gathered(bars, plan, candidates, cfg, tables, cached.where(F.col("split").isin(*SIDES)), hits, misses if n_misses else None, bool(n_hits), SIDES), f"{exp}/folds")
 
     scores = S.score(metrics, folds, research, trials).persist()
     ranked = S.ranking(scores, research.top_k).persist()
     best = ranked.count()
-    tested = test_heads = None
+    tested = None
     test_hits = 0
     if plan.has_holdout and best:
         chosen = candidates.join(F.broadcast(ranked.select("strategy_hash")), "strategy_hash", "left_semi")
@@ -88,11 +105,8 @@ def run_experiment(spark: SparkSession, cfg: EngineConfig, path: str | None = No
         test_hit = chosen.join(old, "strategy_hash", "left_semi").persist()
         test_hits = test_hit.count()
         left = chosen.join(old.select("strategy_hash"), "strategy_hash", "left_anti")
-        tested, test_heads = gathered(bars, plan, left, cfg, tables, old, test_hit.select("strategy_hash"), None, bool(test_hits), ("test",), test_hits < best, candidates)
+        tested = store.settled(gathered(bars, plan, left, cfg, tables, old, test_hit.select("strategy_hash"), None, bool(test_hits), ("test",), test_hits < best, candidates), f"{exp}/holdout")
 
-    base = store.next_id("runs", "run_id")
-    first_cv = base + 2 + 2 * n * folds
-    numbered = Numbers(base, folds, first_cv, first_cv + n)
     stats = {
         "mode": "cache" if n_misses == 0 and n_hits else "spark", "requested_n_jobs": cfg.execution.n_jobs, "prefer_processes": cfg.execution.prefer_processes,
         "n_jobs_used": spark.sparkContext.defaultParallelism if n_misses else 0, "n_tasks_executed": n_misses, "had_fallback": False, "fallback_reason": None,
@@ -101,34 +115,33 @@ def run_experiment(spark: SparkSession, cfg: EngineConfig, path: str | None = No
     }
     meta = [r.asDict() for r in plan_meta(bars, plan).orderBy("lo", "hi").collect()]  # a row for each slice
     fixed = fixed_rows(plan, stats, prints, {"method": plan.method, "n_rows": plan.n_rows, "slices": meta})
-    write_results(store, exp, numbered, candidates, metrics, heads, scores, ranked, tested, test_heads, fixed, cfg, folds, trials, int((time.perf_counter() - began) * 1000), faults)
-    for df in (bars, candidates, cached, hits, misses, metrics, scores, ranked):
+    write_results(store, exp, numbered, candidates, metrics, scores, ranked, tested, fixed, cfg, folds, trials, int((time.perf_counter() - began) * 1000), faults)
+    for df in (bars, candidates, cached, hits, misses, scores, ranked):
         df.unpersist()
-    return exp
+    store.drop_settled(str(exp))
+
+
+RUN = "run_id long, split string, fold int, strategy_name string, strategy_json string, strategy_hash string, status string, error string, elapsed_ms long"
 
 
-def gathered(bars, plan, candidates, cfg, tables, cached, hits, only, any_hit, splits, any_miss=None, every=None):
-    """Computed and cached metrics (KEY, ALL, cached, cache_info) and equity heads (strategy_hash, fold, split, content) together."""
-    ids = ["strategy_hash", "fold", "split"]
+def experiment_runs(spark: SparkSession, base: int) -> DataFrame:
+    """The two runs of an experiment that belong to no candidate, while they go on."""
+    rows = [(base + i, split, None, EXPERIMENT, "{}", EXPERIMENT, "running", None, None) for i, split in enumerate(("meta", "exec"))]
+    return spark.createDataFrame(rows, RUN).withColumn("created_at", F.lit(identity.now_utc()))
+
+
+def gathered(bars, plan, candidates, cfg, tables, cached, hits, only, any_hit, splits, any_miss=None, every=None) -> DataFrame:
+    """Computed and cached results together: KEY, ALL, content, cached and cache_info."""
     any_miss = only is not None if any_miss is None else any_miss
-    parts, heads = [], []
+    columns, parts = [*P.KEY, *ALL, "content", "cached", "cache_info"], []
     if any_miss:
-        values, curves = evaluate(bars, plan, candidates, cfg, splits, only)
-        parts.append(values.withColumns({"cached": F.lit(0.0), "cache_info": F.lit(None).cast("string")}))
-        heads.append(as_json(curves, ids, ["t0", "t1", "equity_end", "equity_head"]))
+        values = evaluate(bars, plan, candidates, cfg, splits, only)
+        parts.append(values.withColumns({"cached": F.lit(0.0), "cache_info": F.lit(None).cast("string")}).select(*columns))
     if any_hit:
-        values, curves = from_cache(tables, cached, hits, [c for c in hits.columns if c in ("strategy_hash", "fold")])
+        values = from_cache(tables, cached, hits, [c for c in hits.columns if c in ("strategy_hash", "fold")])
         names = (every if every is not None else candidates).select("cand_block", "cand_idx", "strategy_hash", "strategy_name")
-        parts.append(values.join(F.broadcast(names), "strategy_hash").withColumn("cached", F.lit(1.0)))
-        heads.append(curves)
-    columns = [*P.KEY, *ALL, "cached", "cache_info"]
-    metrics = parts[0].select(*columns)
-    for p in parts[1:]:
-        metrics = metrics.unionByName(p.select(*columns))
-    curves = heads[0]
-    for h in heads[1:]:
-        curves = curves.unionByName(h)
-    return metrics, curves
+        parts.append(values.join(F.broadcast(names), "strategy_hash").withColumn("cached", F.lit(1.0)).select(*columns))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
 class Numbers:
@@ -155,7 +168,7 @@ def fixed_rows(plan: Plan, stats: dict, prints: dict, plan_record: dict) -> dict
     return {"meta": (meta, {"cv_plan_meta": plan_record, "data_fingerprint": prints}), "exec": (counters, {"exec_stats": stats})}
 
 
-def write_results(store, exp, ids, candidates, metrics, heads, scores, ranked, tested, test_heads, fixed, cfg, folds, trials, elapsed, faults=()):
+def write_results(store, exp, ids, candidates, metrics, scores, ranked, tested, fixed, cfg, folds, trials, elapsed, faults=()):
     spark, now, research = store.spark, identity.now_utc(), cfg.research
     spec = candidates.select("strategy_hash", "strategy_json")
     runs, values, artifacts = [], [], []
@@ -168,14 +181,14 @@ def write_results(store, exp, ids, candidates, metrics, heads, scores, ranked, t
     for i, (split, (own, contents)) in enumerate(fixed.items()):
         number = ids.base + i
         add(
-            spark.createDataFrame([(number, split, None, EXPERIMENT, "{}", EXPERIMENT, "ok", None, 0)], "run_id long, split string, fold int, strategy_name string, strategy_json string, strategy_hash string, status string, error string, elapsed_ms long"),
+            spark.createDataFrame([(number, split, None, EXPERIMENT, "{}", EXPERIMENT, "ok", None, 0)], RUN),
             [spark.createDataFrame([(number, k, identity.canonical_json(v)) for k, v in contents.items()], "run_id long, name string, content string")],
             spark.createDataFrame([(number, k, float(v)) for k, v in own.items()], "run_id long, key string, value double"),
         )
 
-    def add_slices(rows: DataFrame, curves: DataFrame, split_of_curves: str) -> None:
+    def add_slices(rows: DataFrame, split_of_curves: str) -> None:
         named = rows.join(F.broadcast(spec), "strategy_hash")
-        curve = P.null_safe_join(curves.where(F.col("split") == split_of_curves), rows.select("run_id", "strategy_hash", "fold", "split"), ["strategy_hash", "fold", "split"])
+        curve = rows.where((F.col("split") == split_of_curves) & F.col("content").isNotNull())
         info = rows.where(F.col("cache_info").isNotNull()).select("run_id", F.lit("cache_info").alias("name"), F.col("cache_info").alias("content"))
         add(
             named.select("run_id", "split", "fold", "strategy_name", "strategy_json", "strategy_hash", F.lit("ok").alias("status"), F.lit(None).cast("string").alias("error"), F.lit(elapsed).alias("elapsed_ms")),
@@ -183,15 +196,15 @@ def write_results(store, exp, ids, candidates, metrics, heads, scores, ranked, t
             to_long(rows, ["run_id"], (*ALL, "cached")),
         )
 
-    add_slices(metrics.withColumn("run_id", ids.fold()), heads, "valid")
+    add_slices(metrics.withColumn("run_id", ids.fold()), "valid")
     if tested is not None:
-        add_slices(tested.join(F.broadcast(ranked.select("strategy_hash", "rank")), "strategy_hash").withColumn("run_id", ids.test()), test_heads, "test")
+        add_slices(tested.join(F.broadcast(ranked.select("strategy_hash", "rank")), "strategy_hash").withColumn("run_id", ids.test()), "test")
 
     failed = [(s, why, fold, split) for s, why in faults for fold in range(folds) for split in SIDES]
     if failed:  # candidates that can't be evaluated: a run of its own for each task, and the others go on
         at = ids.first_test + research.top_k
         rows = [(at + i, split, fold, s.name, identity.canonical_json(s), s.spec_hash(), "error", why, 0) for i, (s, why, fold, split) in enumerate(failed)]
-        runs.append(spark.createDataFrame(rows, "run_id long, split string, fold int, strategy_name string, strategy_json string, strategy_hash string, status string, error string, elapsed_ms long"))
+        runs.append(spark.createDataFrame(rows, RUN))
 
     names = S.metric_names(research.selection_metric, research.cv_agg)
     cv = scores.withColumn("run_id", ids.cv()).withColumnsRenamed(names)
@@ -214,9 +227,12 @@ def write_results(store, exp, ids, candidates, metrics, heads, scores, ranked, t
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
-        return out.withColumn("experiment_id", F.lit(exp))
-
-    store.write("runs", whole(runs).withColumn("created_at", F.lit(now)))
-    store.write("metrics", whole(values))
-    store.write("artifacts", whole(artifacts).withColumns({"content_type": F.lit("application/json"), "compression": F.lit("parquet")}))
-    store.store_best(exp, ranked.join(F.broadcast(spec), "strategy_hash").withColumns({"created_at": F.lit(now), "score_key": F.lit("cv_score")}))
+        return out
+
+    store.finish_runs(
+        exp,
+        whole(runs).withColumn("created_at", F.lit(now)),
+        metrics=whole(values),
+        artifacts=whole(artifacts).withColumns({"content_type": F.lit("application/json"), "compression": F.lit("parquet")}),
+        best_candidates=ranked.join(F.broadcast(spec), "strategy_hash").withColumns({"created_at": F.lit(now), "score_key": F.lit("cv_score")}),
+    )

@@ -79,6 +79,7 @@ def leaderboard(tables: Tables, dataset_id: str | None = None, limit: int = 20,
 
 def run_report(tables: Tables, experiment_id: int, show_top: int = 5) -> list[str]:
     """The lines that a run ends with: data, executor, cache, and its best candidates."""
+    # The labels of the lines.
     import json
 
     experiment = tables.experiments.where(F.col("experiment_id") == experiment_id).first()
@@ -87,7 +88,7 @@ def run_report(tables: Tables, experiment_id: int, show_top: int = 5) -> list[st
     lines = [f"experiment_id={experiment_id}"]
     stored = lambda split, name: next((json.loads(r.content) for r in latest_artifact(runs, artifacts, split, name, EXPERIMENT).collect()), None)
     if data := stored("meta", "data_fingerprint"):
-        lines.append(f"Data: type={data['type']} id={data['dataset_id']} version={data['dataset_version']} method={data['version_method']}")
+        lines.append(f"Data: type={data['kind']} id={data['name']} version={data['version']} method={data['basis']}")
     stats = stored("exec", "exec_stats")
     if stats:
         lines.append(f"Executor: mode={stats['mode']} requested_n_jobs={stats['requested_n_jobs']} used_n_jobs={stats['n_jobs_used']} executed_tasks={stats['n_tasks_executed']} had_fallback={stats['had_fallback']}")
@@ -115,11 +116,11 @@ def run_report(tables: Tables, experiment_id: int, show_top: int = 5) -> list[st
 
 def cache_hint(same_eval: int, same_code: int, same_all: int) -> list[str]:
     if same_eval and not same_code:
-        return ["CacheHint: the same evaluation exists with other evaluation code; recomputing is expected."]
+        return ["CacheHint: earlier runs of this evaluation used other evaluation code, so nothing of them is taken over."]
     if not same_code:
-        return ["CacheHint: nothing is cached for this evaluation yet; another run will hit the cache."]
+        return ["CacheHint: this evaluation is stored for the first time; the next run of it can take it over."]
     if not same_all:
-        return ["CacheHint: evaluation code is the same and other code differs; the cache still serves."]
+        return ["CacheHint: only code that no evaluation depends on has changed; stored runs still serve."]
     return []
 
 

@@ -318,12 +318,46 @@ def _tracking(spark: SparkSession, sf_dir: str) -> T.Tables:
     key = F.element_at(keys, F.col("l_linenumber"))
     value = F.when(key == "n_obs", F.col("l_quantity") + 30).when(key == "dsr_trials", F.col("l_quantity")).when(key == "kurt_net", 3 + F.col("l_discount")).otherwise(F.col("l_discount") - 0.05)
     values = lineitem.where("l_linenumber <= 7").groupBy(F.col("l_orderkey").alias("run_id"), key.alias("key")).agg(F.max(F.when(F.col("l_quantity") <= 45, value)).alias("value"))
-    artifacts = orders.select(F.col("o_orderkey").alias("run_id"), F.lit("exec_stats").alias("name"), F.concat(F.lit('{"candidates_unique":'), F.col("o_orderkey") % 50, F.lit("}")).alias("content"))
+    values = values.join(runs.select("run_id", "experiment_id"), "run_id")
+    artifacts = orders.select(F.col("o_custkey").alias("experiment_id"), F.col("o_orderkey").alias("run_id"), F.lit("exec_stats").alias("name"), F.concat(F.lit('{"candidates_unique":'), F.col("o_orderkey") % 50, F.lit("}")).alias("content"))
     rank = F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey"))
     best = orders.select(F.col("o_custkey").alias("experiment_id"), rank.alias("rank"), F.lit("cv_score").alias("score_key"), (F.col("o_totalprice") / 1000).alias("score_value"), F.concat(F.lit("h"), F.col("o_custkey") % 4).alias("strategy_hash"), F.lit(C.LINEAR).alias("strategy_name"))
     return T.Tables(experiments, runs, values, artifacts, best.where("rank <= 3"))
 
 
+def _log(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A store's log of runs and metrics, and its commits: line items as writes of the runs that their orders are."""
+    own = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("run_id"), F.col("o_custkey").alias("experiment_id"))
+    lines = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("run_id"), F.col("l_linenumber").cast("long").alias("seq"), "l_returnflag", "l_partkey", "l_quantity")
+    log = lines.join(own, "run_id").groupBy("experiment_id", "run_id", "seq").agg(F.max("l_returnflag").alias("flag"), F.max("l_partkey").alias("part"), F.max("l_quantity").alias("value"))
+    status = F.when(F.col("seq") == 1, "running").when(F.col("flag") == "R", "error").otherwise("ok")
+    runs = log.select("experiment_id", "run_id", status.alias("status"), "seq")
+    values = log.where("seq > 1").select("experiment_id", "run_id", F.concat(F.lit("k"), F.col("part") % 3).alias("key"), "value", "seq")
+    n = F.col("experiment_id") + F.col("seq")
+    commits = log.select("experiment_id", "seq").distinct().where(n % 7 != 0).withColumn("base", (n % 5 == 0) & (F.col("seq") == 3))
+    return runs, values, commits
+
+
+def merged_runs(spark, sf_dir):
+    """Runs as they stand: of committed writes, none before a base, the newest of each run."""
+    runs, _, commits = _log(spark, sf_dir)
+    return T.merged(runs, commits, T.KEYS["runs"])
+
+
+def merged_metrics(spark, sf_dir):
+    _, values, commits = _log(spark, sf_dir)
+    return T.merged(values, commits, T.KEYS["metrics"])
+
+
+def source_digest(spark, sf_dir):
+    """The number of rows and the summed hash of a table's rows: what a source's version is made of."""
+    from tickloom.identity import content_digest
+
+    parts = [(t, *content_digest(_table(spark, sf_dir, t).repartition(3))) for t in ("nation", "events", "orders")]
+    same = {t: content_digest(_table(spark, sf_dir, t)) for t, _, _ in parts}
+    return spark.createDataFrame([(t, n, d == same[t][1]) for t, n, d in parts], "name string, n long, same boolean")
+
+
 def latest_metric(spark, sf_dir):
     t = _tracking(spark, sf_dir)
     return T.latest_metrics(t.runs, t.metrics).select("experiment_id", "strategy_hash", "split", "key", F.round("value", 6).alias("value"))
@@ -543,6 +577,10 @@ SELECT experiment_id, dataset_id, strategy_hash, selection_metric, cv_agg, cv_se
 FROM f ORDER BY {order} DESC NULLS LAST, experiment_id DESC LIMIT 50"""
 
 
+LOG = """lines AS (SELECT o_custkey AS experiment_id, l_orderkey AS run_id, l_linenumber::BIGINT AS seq, max(l_returnflag) AS flag, max(l_partkey) AS part, max(l_quantity) AS value FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1, 2, 3),
+commits AS (SELECT DISTINCT experiment_id, seq, (experiment_id + seq) % 5 = 0 AND seq = 3 AS base FROM lines WHERE (experiment_id + seq) % 7 <> 0),
+valid AS (SELECT l.*, row_number() OVER (PARTITION BY l.experiment_id, run_id ORDER BY l.seq DESC) AS i, row_number() OVER (PARTITION BY l.experiment_id, run_id, l.seq > 1, part % 3 ORDER BY l.seq DESC) AS j FROM lines l JOIN commits c ON c.experiment_id = l.experiment_id AND c.seq = l.seq
+ LEFT JOIN (SELECT experiment_id, max(seq) AS last FROM commits WHERE base GROUP BY 1) b ON b.experiment_id = l.experiment_id WHERE last IS NULL OR l.seq >= last)"""
 ALL_REGIME = list(M.REFERENCE + M.REGIME)
 REGIME_AND_BASE = REGIMES + ", whole AS (SELECT b.*, r.* EXCLUDE (cand_idx, fold, split, n_obs, periods_per_year, sharpe_net) FROM base b JOIN regimes r ON r.cand_idx = b.cand_idx AND r.split = b.split AND r.fold IS NOT DISTINCT FROM b.fold)"
 KEYS = ["cand_idx", "fold", "split"]
@@ -580,6 +618,9 @@ ORACLES = {
     "cv_score_min": f"WITH {METRICS} SELECT cand_idx, round(min(total_return) FILTER (split = 'valid'), 6) + 0.0::DOUBLE AS cv_score, round(min(total_return) FILTER (split = 'train') - min(total_return) FILTER (split = 'valid'), 6) + 0.0::DOUBLE AS train_valid_gap FROM base GROUP BY 1",
     "aligned_positions": f"WITH {PANEL} SELECT cand_idx, fold, split, sum(CASE WHEN row_idx % 3 <> 0 THEN abs(raw) ELSE 0 END)::DOUBLE AS days_held FROM panel GROUP BY 1, 2, 3",
     "reference_returns": f"WITH {PANEL}, w AS (SELECT *, lag(pos) OVER (PARTITION BY cand_idx, fold, split ORDER BY row_idx) AS before FROM panel) SELECT cand_idx, fold, split, ts, round(CASE WHEN abs(before) > 1e-12 THEN gross / before END, 8) + 0.0::DOUBLE AS implied FROM w",
+    "merged_runs": f"WITH {LOG} SELECT experiment_id, run_id, CASE WHEN seq = 1 THEN 'running' WHEN flag = 'R' THEN 'error' ELSE 'ok' END AS status, seq FROM valid WHERE i = 1",
+    "merged_metrics": f"WITH {LOG} SELECT experiment_id, run_id, 'k' || part % 3 AS key, value, seq FROM valid WHERE seq > 1 AND j = 1",
+    "source_digest": " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n, true AS same FROM {t}" for t in ("nation", "events", "orders")),
     "series_curve": _pick(_on_events(PANEL), "panel", [*KEYS, "row_idx"], ["pos", "net", "eq", "peak"]),
     "series_metrics": _pick(_on_events(REGIME_AND_BASE), "whole", KEYS, [c for c in M.ALL if c != "cagr"]),
     "series_quantiles": "SELECT event_type, count(value) AS n, " + ", ".join(f"round(quantile_cont(value, {q}), 9) AS q{i}" for i, q in enumerate((0.0, 0.25, 0.5, 0.99, 1.0))) + " FROM events GROUP BY 1",
@@ -626,7 +667,7 @@ def _whole_fold(query):
 QUERIES = {f.__name__: _whole_fold(f) for f in (
     bars_daily, bars_last_n, bars_dedup_first, bars_dropna, bars_normalised, time_axis, synthetic_bars, split_single, slices_walk_forward, slice_membership, plan_meta, periods_per_year,
     signal_positions, exec_lag, asset_returns, turnover_costs, equity_curve, drawdown, equity_head, rolling_vol, regime_quantiles, base_metrics, regime_metrics, psr, dsr, metrics_eav,
-    fold_pairs, cv_score, cv_score_dsr, cv_score_min, overfit_diag, series_curve, series_metrics, series_quantiles, aligned_positions, reference_returns, ranking_topk, holdout_eval, candidates_distinct, custom_strategy_pandas, latest_metric, latest_metric_unfolded, latest_artifact, metrics_pivot,
+    fold_pairs, cv_score, cv_score_dsr, cv_score_min, overfit_diag, series_curve, series_metrics, series_quantiles, aligned_positions, reference_returns, ranking_topk, holdout_eval, candidates_distinct, custom_strategy_pandas, merged_runs, merged_metrics, source_digest, latest_metric, latest_metric_unfolded, latest_artifact, metrics_pivot,
     run_metrics, run_artifact, leaderboard_filtered, best_candidates, cache_hits, cache_misses, cached_runs, union_results, cache_diag, experiments_list, experiment_flow,
 )} | {"leaderboard": _board("cv"), "leaderboard_by_test": _board("test"), "leaderboard_by_test_sharpe": _board("test_sharpe")}
 #: Queries whose rows have a fold.
