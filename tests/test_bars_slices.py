@@ -39,10 +39,48 @@ def test_duplicates_gaps_and_times(spark):
 
 
 def test_bars_at_scale(spark):
-    df = B.synthetic_bars_at_scale(spark, DataConfig(n_rows=500, n_features=2, freq="h"), 3)
-    assert df.count() == 500 and df.where("price <= 0").count() == 0
-    first, last = df.agg(F.min("ts"), F.max("ts")).first()
-    assert last - first == dt.timedelta(hours=499)
+    """Against the model in numpy with the same hashes, in one stretch or many, and by any parallelism."""
+    import numpy as np
+    from xxhash import xxh64_intdigest
+
+    cfg = DataConfig(n_rows=300, n_features=2, freq="h")
+    df = B.synthetic_bars_at_scale(spark, cfg, 3, rows=64)
+    got = df.orderBy("row_idx").toPandas()
+
+    def normal(row, column):
+        u = []
+        for half in (0, 1):
+            h = 42
+            for v in (3, row, 2 * column + half):
+                h = xxh64_intdigest(int(v).to_bytes(8, "little"), h)
+            u.append(((h >> 11) + 0.5) / 2.0**53)
+        return np.sqrt(-2 * np.log(u[0])) * np.cos(2 * np.pi * u[1])
+
+    x = np.array([[0.7 * normal(r, 1 + i) + 0.3 * normal(r, 0) for i in range(2)] for r in range(300)])
+    mix = np.random.default_rng(3).normal(size=2)
+    mix /= np.linalg.norm(mix) + 1e-12
+    ret = np.array([0.0008 * (x[r - 1] @ mix if r else 0.0) + 0.01 * normal(r, 3) for r in range(300)])
+    assert np.allclose(got[["f000", "f001"]], x, rtol=1e-9) and np.allclose(got.price, 100 * np.cumprod(1 + ret), rtol=1e-9)
+    other = B.synthetic_bars_at_scale(spark, cfg, 3).repartition(7).orderBy("row_idx").toPandas()
+    assert np.allclose(other.price, got.price, rtol=1e-12) and (other.ts.diff().dropna() == pd.Timedelta("1h")).all()
+    big = B.synthetic_bars_at_scale(spark, DataConfig(n_rows=20000, n_features=1), 5).select("f000").toPandas().f000
+    assert abs(big.mean()) < 0.03 and abs(big.std() - (0.49 + 0.09) ** 0.5) < 0.03
+
+
+def test_numbering_spreads_however_times_are(spark):
+    """A series within a minute but for one row years away: numbered in order, in many stretches."""
+    base = 1_577_836_800_000_000
+    micros = [base + 7 * i for i in range(5000)] + [base + 10**15]
+    df = spark.createDataFrame([(m,) for m in reversed(micros)], "m long").select(F.timestamp_micros("m").cast("timestamp_ntz").alias("ts"), "m")
+    got = [(r.m, r.row_idx) for r in B.indexed(df).collect()]
+    assert sorted(got) == [(m, i) for i, m in enumerate(micros)]
+    bounds = [2, 3, 5, 8]
+    places = spark.range(10).select("id", B.stretch_of(F.col("id"), bounds).alias("s")).collect()
+    assert all(r.s == sum(b <= r.id for b in bounds) for r in places)
+    assert B.indexed(df.limit(0)).count() == 0 and B.indexed(df.limit(1)).first().row_idx == 0
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    edges = sorted(set(df.agg(F.approx_percentile(at, [i / B.STRETCHES for i in range(1, B.STRETCHES)], B.ACCURACY)).first()[0]))
+    assert df.groupBy(B.stretch_of(at, edges).alias("s")).count().agg(F.max("count")).first()[0] <= 20
 
 
 def ranges(plan, split):

@@ -76,6 +76,9 @@ def test_normal_and_sharpe(spark):
     got = spark.createDataFrame([(z,) for z in zs], "z double").select("z", stats.normal_cdf(F.col("z")).alias("p")).collect()
     for r in got:
         assert r.p is None if r.z is None else abs(r.p - NormalDist().cdf(r.z)) < 1e-15
+    trials = [1, 2, 3, 5, 17, 60, 2000, 2001, 10**6, 10**9, 10**11, 10**14]
+    best = spark.createDataFrame([(m,) for m in trials], "m long").select("m", stats.expected_best_column(F.col("m")).alias("x")).collect()
+    assert all(math.isclose(r.x, stats.expected_best(r.m), rel_tol=1e-5 if r.m > 10**9 else 1e-8) for r in best)
     assert math.isclose(stats.expected_best(60), 2.3125591810669337) and stats.expected_best(1) == 0
     cols = [F.col(c) for c in ("sr", "n", "skew", "kurt")]
     rows = spark.createDataFrame([(0.1, 250.0, -0.3, 4.0), (0.1, 1.0, 0.0, 3.0), (None, 9.0, 0.0, 3.0), (0.1, 250.0, None, None), (5.0, 9.0, 30.0, 3.0)], "sr double, n double, skew double, kurt double")

@@ -7,7 +7,7 @@ ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
 def test_the_rest_works_without_the_training_data_operators(tmp_path):
-    for name in ("__spark_entry__.py", "bench.py"):
+    for name in ("__spark_entry__.py", "bench.py", "corpus_pipeline.py"):
         shutil.copy(os.path.join(ROOT, name), tmp_path)
     shutil.copytree(os.path.join(ROOT, "tickloom"), tmp_path / "tickloom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     code = "import __spark_entry__ as e; q = e.queries(); assert 'base_metrics' in q and not any(n.startswith('op') or n == 'pipeline' for n in q); assert set(e.oracle_sql()) <= set(q)"

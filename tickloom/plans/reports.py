@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.functions.stats import deflated_from_metrics, expected_best, normal_ppf
+from tickloom.functions.stats import deflated_from_metrics, expected_best_column, normal_ppf
 from tickloom.sources.store import EXPERIMENT, Tables, best_of, cache_diagnostics, latest_artifact, latest_metrics
 
 #: Newest rows that the leaderboard looks at before it sorts.
@@ -29,15 +29,6 @@ def list_experiments(experiments: DataFrame, dataset_id: str | None = None, limi
     return df.orderBy(F.desc("experiment_id")).limit(limit).select(*columns)
 
 
-def expected_best_column(trials: Column) -> Column:
-    """expected_best for a column of trials, read from a table of its first values; beyond it, by the asymptotic series of the quantile."""
-    most = 2000
-    table = F.array(*[F.lit(expected_best(m)) for m in range(1, most + 1)])
-    tail = F.sqrt(-2.0 * F.log(0.625 / (trials + 0.25)))
-    rough = tail - (2.30753 + 0.27061 * tail) / (1.0 + 0.99229 * tail + 0.04481 * tail * tail)
-    return F.when(trials <= most, F.get(table, (F.least(trials, F.lit(most)) - 1).cast("int"))).otherwise(rough)
-
-
 def leaderboard(tables: Tables, dataset_id: str | None = None, limit: int = 20, sort_by: str = "cv", score_key: str | None = None) -> DataFrame:
     """The best candidate of each experiment with its cross-validated and test figures.
 
