@@ -31,12 +31,18 @@ def _horner(coefficients: tuple[float, ...], x: Column) -> Column:
     return out
 
 
+def bound(x: Column, of) -> Column:
+    """of(x) with x computed once, however often of uses it."""
+    return F.get(F.transform(F.array(x), of), F.lit(0))
+
+
 def normal_cdf(z: Column) -> Column:
-    a = F.abs(z)
-    e = F.exp(-a * a / 2.0)
-    fraction = a + 1.0 / (a + 2.0 / (a + 3.0 / (a + 4.0 / (a + 0.65))))
-    tail = F.when(a > 37.0, 0.0).when(a < 7.07106781186547, e * _horner(NUMERATOR, a) / _horner(DENOMINATOR, a)).otherwise(e / fraction / 2.506628274631)
-    return F.when(z > 0, 1.0 - tail).when(z.isNotNull(), tail)
+    def tail(a: Column) -> Column:
+        e = F.exp(-a * a / 2.0)
+        fraction = a + 1.0 / (a + 2.0 / (a + 3.0 / (a + 4.0 / (a + 0.65))))
+        return F.when(a > 37.0, 0.0).when(a < 7.07106781186547, e * _horner(NUMERATOR, a) / _horner(DENOMINATOR, a)).otherwise(e / fraction / 2.506628274631)
+
+    return bound(z, lambda x: F.when(x > 0, 1.0 - tail(F.abs(x))).when(x.isNotNull(), tail(F.abs(x))))
 
 
 def normal_cdf_sql(z: str) -> str:
@@ -61,11 +67,14 @@ def normal_ppf(p: float) -> float:
 
 def normal_quantile_above(tail: Column) -> Column:
     """The value that a normal variable exceeds with probability tail, at most a half."""
-    q = F.lit(0.5) - tail
-    near, r = 0.180625 - q * q, F.sqrt(-F.log(tail))
-    middle = q * _horner(MIDDLE, near) / _horner(MIDDLE_BELOW, near)
-    outer = F.when(r <= 5.0, _horner(TAIL, r - 1.6) / _horner(TAIL_BELOW, r - 1.6)).otherwise(_horner(FAR, r - 5.0) / _horner(FAR_BELOW, r - 5.0))
-    return F.when(q <= 0.425, middle).otherwise(outer)
+    ratio = lambda above, below: lambda r: _horner(above, r) / _horner(below, r)
+
+    def of(t: Column) -> Column:
+        q = F.lit(0.5) - t
+        outer = lambda r: F.when(r <= 5.0, bound(r - 1.6, ratio(TAIL, TAIL_BELOW))).otherwise(bound(r - 5.0, ratio(FAR, FAR_BELOW)))
+        return F.when(q <= 0.425, q * bound(0.180625 - q * q, ratio(MIDDLE, MIDDLE_BELOW))).otherwise(bound(F.sqrt(-F.log(t)), outer))
+
+    return bound(tail, of)
 
 
 def finite(c: Column) -> Column:

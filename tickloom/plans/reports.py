@@ -61,7 +61,7 @@ def leaderboard(tables: Tables, dataset_id: str | None = None, limit: int = 20,
 
     named = lambda split, key: F.try_element_at("_values", F.concat_ws("|", F.lit(split), F.col(key)))
     rows = rows.withColumn("dsr_trials", F.greatest(F.lit(1), F.coalesce(F.col("_trials").cast("int"), F.col("_tried"), F.lit(1))))
-    rows = rows.withColumns({"cv_sel_value": named("cv", "cv_sel_key"), "_plain": named("test", "selection_metric"), "_dsr": deflated_from_metrics(expected_best_column(F.col("dsr_trials")))})
+    rows = rows.withColumns({"cv_sel_value": named("cv", "cv_sel_key"), "_plain": named("test", "selection_metric"), "_shift": expected_best_column(F.col("dsr_trials"))}).withColumn("_dsr", deflated_from_metrics(F.col("_shift")))
     rows = rows.withColumns({"test_sharpe_net": F.col("sharpe_net"), "test_sel_value": F.when(F.col("selection_metric") == "dsr_net", F.col("_dsr")).otherwise(F.col("_plain"))})
     order = {"cv": "score_value", "test": "test_sel_value", "test_sharpe": "test_sharpe_net"}[sort_by]
     rows = rows.withColumn("_by", F.when(~F.isnan(order), F.col(order))).orderBy(F.desc_nulls_last("_by"), F.desc("experiment_id")).limit(limit)
