@@ -308,6 +308,50 @@ def test_a_faulty_candidate_fails_alone(spark, tmp_path, monkeypatch):
     assert set(failed.split) == {"train", "valid"} and len(runs[(runs.split == "valid") & (runs.status == "ok")]) == 2 * cfg.cv.n_folds
 
 
+def middle_rule(params):
+    """Long where the first feature exceeds a quantile of its train rows; told to fail, it raises in one fold."""
+
+    class Rule(C.Strategy):
+        def fit(self, train):
+            self.rows, self.middle = len(train), train["f000"].quantile(params["share"])
+            return self
+
+        def positions(self, frame):
+            if params.get("fails_at") == self.rows and frame["split"].iloc[0] == "valid":
+                raise RuntimeError("no positions")
+            return np.where(frame["f000"] > self.middle, 1.0, -1.0)
+
+    return Rule()
+
+
+def test_any_strategy_in_a_run(spark, tmp_path, monkeypatch):
+    """Native and pandas candidates in one run; one that raises is an error for its fold, the others finish and are tested."""
+    k = DataConfig().n_features
+    specs = [next(iter(C.linear_random(1, k, np.random.default_rng(1)))), C.StrategySpec("middle", {"share": 0.5}), C.StrategySpec("middle", {"share": 0.7, "fails_at": 170})]
+    monkeypatch.setitem(C.GENERATORS, "given", lambda n, k, rng: specs)
+    monkeypatch.setitem(C.PANDAS, "middle", middle_rule)
+    cfg = from_dict(BASE | {"research": {"generator": "given", "n_candidates": 3, "top_k": 3}})
+    path = str(tmp_path / "store")
+    number = run_experiment(spark, cfg, path)
+    tables = Store(spark, path).tables()
+    runs = tables.runs.toPandas()
+    failed = runs[(runs.status == "error") & (runs.split != "cv")]
+    assert sorted(zip(failed.split, failed.fold, failed.error, failed.strategy_hash, strict=True)) == [(s, 1.0, "RuntimeError: no positions", specs[2].spec_hash()) for s in ("train", "valid")]
+    assert set(runs[runs.split == "test"].strategy_hash) == {s.spec_hash() for s in specs[:2]} and (runs[runs.split == "cv"].status == "error").sum() == 1
+    assert len(runs[(runs.split == "valid") & (runs.status == "ok")]) == 8 and "running" not in set(runs.status)
+    # the holdout's positions by numpy: fitted on the rows before the gap
+    frame = B.synthetic_bars(spark, cfg.data, cfg.seed).toPandas().sort_values("row_idx")
+    middle = frame.f000[:318].quantile(0.5)
+    raw = np.where(frame.f000[320:] > middle, 1.0, -1.0)
+    pos = np.r_[0.0, raw[:-1]]
+    ret = np.r_[0.0, frame.price[320:].to_numpy()[1:] / frame.price[320:].to_numpy()[:-1] - 1]
+    net = pos * ret - np.abs(np.diff(np.r_[0.0, pos])) * 3e-4
+    run = runs[(runs.split == "test") & (runs.strategy_hash == specs[1].spec_hash())].run_id.iloc[0]
+    got = {r.key: r.value for r in tables.metrics.where(f"run_id = {run}").collect()}
+    assert math.isclose(got["net_sum"], net.sum(), rel_tol=1e-9) and math.isclose(got["total_return"], np.prod(1 + net) - 1, rel_tol=1e-9)
+    assert number == 1
+
+
 def test_custom_strategy(spark):
     from tickloom.queries import custom_strategy_pandas
 

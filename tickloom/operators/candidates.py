@@ -94,7 +94,7 @@ def signal_for(name: str, features: list[str]) -> Column:
 
 def fault(spec: StrategySpec, n_features: int) -> str | None:
     """Why a candidate can't be evaluated, if so."""
-    if spec.name not in STRATEGIES:
+    if spec.name not in STRATEGIES and spec.name not in PANDAS:
         return f"no strategy {spec.name}"
     if spec.name == LINEAR and len(spec.params.get("weights", [])) != n_features:
         return f"{len(spec.params.get('weights', []))} weights for {n_features} features"
@@ -111,6 +111,49 @@ class Strategy:
         raise NotImplementedError
 
 
+#: Strategies in pandas: from a spec's params to a Strategy. A run evaluates them beside the native ones.
+PANDAS: dict[str, Callable[[dict], Strategy]] = {}
+OUTCOME = "cand_block int, cand_idx int, strategy_hash string, strategy_name string, fold int, split string, ts timestamp_ntz, raw double, error string, elapsed_ms long"
+
+
+def pandas_outcomes(sliced: DataFrame, candidates: DataFrame, factories: dict[str, Callable[[dict], Strategy]], only: DataFrame | None = None) -> DataFrame:
+    """OUTCOME: the positions of candidates in pandas on each slice, or for a (candidate, fold) that fails one row with its error.
+
+    A candidate's fold goes to a task: fit on its train rows (for the holdout, whose fold is null, those before it), then
+    positions on each other slice, in time order. What raises, or gives another number of positions than rows, fails
+    that candidate and fold alone. elapsed_ms is that of the fold. only: (strategy_hash, fold) to evaluate.
+    """
+    names = ["cand_block", "cand_idx", "strategy_hash", "strategy_name", "strategy_json"]
+    wide = sliced.crossJoin(F.broadcast(candidates.select(*names)))  # candidates are checked to be few
+    if only is not None:
+        wide = wide.join(F.broadcast(only.select("strategy_hash", "fold")), ["strategy_hash", "fold"], "left_semi")
+
+    def run(key, frame):
+        import json
+        import time
+
+        import pandas as pd
+
+        began = time.perf_counter()
+        frame = frame.sort_values("row_idx")
+        first = frame.iloc[0]
+        try:
+            model = factories[first["strategy_name"]](json.loads(first["strategy_json"])["params"])
+            fitted = model.fit(frame[frame["split"].isin(["train", "holdout_train"])])
+            parts = []
+            for _, part in frame[frame["split"] != "holdout_train"].groupby("split", sort=False):
+                raw = np.asarray(fitted.positions(part), dtype=float)
+                if raw.shape != (len(part),):
+                    raise ValueError(f"{raw.shape} positions for {len(part)} rows")
+                parts.append(part[["cand_block", "cand_idx", "strategy_hash", "strategy_name", "fold", "split", "ts"]].assign(raw=np.nan_to_num(raw), error=None))
+            out = pd.concat(parts)
+        except Exception as e:
+            out = frame[["cand_block", "cand_idx", "strategy_hash", "strategy_name", "fold"]].head(1).assign(split=None, ts=pd.NaT, raw=np.nan, error=f"{type(e).__name__}: {e}"[:1000])
+        return out.assign(elapsed_ms=int((time.perf_counter() - began) * 1000))
+
+    return wide.groupBy("strategy_hash", "fold").applyInPandas(run, OUTCOME)
+
+
 def pandas_positions(sliced: DataFrame, strategies: dict[str, Strategy]) -> DataFrame:
     """Rows of sliced (from slices.assign) for each strategy, with strategy_hash, strategy_name, cand_idx and raw.
 

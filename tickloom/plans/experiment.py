@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,25 +14,50 @@ from tickloom.operators import candidates as C
 from tickloom.operators import panel as P
 from tickloom.operators import selection as S
 from tickloom.operators.metrics import ALL, fold_metrics, to_long
-from tickloom.operators.slices import Plan, build_plan, plan_meta
-from tickloom.sources.bars import check_bars, load_bars
+from tickloom.operators.slices import Plan, assign, build_plan, plan_meta
+from tickloom.sources.bars import check_bars, features_of, load_bars
 from tickloom.sources.store import EXPERIMENT, RUNS_OF_ONE, Store, Tables, cached_runs, split_by_cache
+from tickloom.workers import send_package
 
 SIDES = ("train", "valid")
 
 
-def evaluate(bars: DataFrame, plan: Plan, candidates: DataFrame, cfg: EngineConfig, splits: tuple[str, ...], only: DataFrame | None = None) -> DataFrame:
-    """KEY, ALL and content (the equity's head as JSON) of candidates on the slices of some splits; only: (strategy_hash, fold) to keep."""
+#: What evaluating gives for each candidate and slice; error is null but for a task that failed, and then the rest is.
+RESULT = [*P.KEY, *ALL, "content", "error", "elapsed_ms"]
+
+
+def evaluate(bars: DataFrame, plan: Plan, candidates: DataFrame, cfg: EngineConfig, splits: tuple[str, ...], settle: Callable[[DataFrame, str], DataFrame], only: DataFrame | None = None, in_pandas: Sequence[str] = ()) -> DataFrame:
+    """RESULT of candidates on the slices of some splits; only: (strategy_hash, fold) to keep; in_pandas: names of theirs that aren't native."""
     slices = [s for s in plan.slices if s.split in splits]
     if only is not None:
         candidates = candidates.join(F.broadcast(only.select("strategy_hash").distinct()), "strategy_hash", "left_semi")  # before the market is copied
     facts = P.slice_facts(bars, slices)
-    raw = P.signals(P.market(bars, slices, cfg.backtest.execution_lag, facts=facts), candidates)
+    market = P.market(bars, slices, cfg.backtest.execution_lag, facts=facts)
+    head = P.head_aggregates()
+
+    def results(raw: DataFrame, elapsed: Column) -> DataFrame:
+        also = head | {"elapsed_ms": elapsed}
+        values = fold_metrics(P.backtest(raw, cfg.backtest, cfg.costs), some_own=P.some_own(facts), also=also)
+        return values.withColumns({"content": F.to_json(F.struct(*head)), "error": F.lit(None).cast("string")}).select(*RESULT)
+
+    raw = P.signals(market, candidates)
     if only is not None:
         raw = raw.join(F.broadcast(only.select("strategy_hash", "fold")), ["strategy_hash", "fold"], "left_semi")  # candidates x folds
-    head = P.head_aggregates()
-    values = fold_metrics(P.backtest(raw, cfg.backtest, cfg.costs), some_own=P.some_own(facts), also=head)
-    return values.withColumn("content", F.to_json(F.struct(*head))).drop(*head)
+    out = results(raw, F.max(F.lit(None).cast("long")))
+    own = [n for n in in_pandas if n in C.PANDAS]
+    if not own:
+        return out
+    chosen = candidates.where(F.col("strategy_name").isin(own))
+    fitting = plan.holdout_train if "test" in splits else []
+    send_package(bars.sparkSession)
+    found = settle(C.pandas_outcomes(assign(bars, [*slices, *fitting]).drop("slice_lo"), chosen, {n: C.PANDAS[n] for n in own}, only), f"positions-{'-'.join(splits)}")
+    failed = found.where(F.col("error").isNotNull())
+    done = found.where(F.col("error").isNull()).groupBy(*P.KEY[:4], "fold").agg(F.max("elapsed_ms").alias("_elapsed"))
+    rows = P.null_safe_join(market.drop(*features_of(market)), done, ["fold"])  # the candidates that have positions in the slice's fold
+    raw = P.aligned(rows, found.where(F.col("error").isNull())).repartition(*P.PLACE)
+    wrong = failed.drop("split").withColumn("split", F.explode(F.array(*map(F.lit, splits))))
+    nothing = {c: F.lit(None).cast("double") for c in ALL} | {"content": F.lit(None).cast("string")}
+    return out.unionByName(results(raw, F.max("_elapsed"))).unionByName(wrong.withColumns(nothing).select(*RESULT))
 
 
 def from_cache(tables: Tables, cached: DataFrame, keep: DataFrame, on: list[str]) -> DataFrame:
@@ -55,7 +81,7 @@ def run_experiment(spark: SparkSession, cfg: EngineConfig, path: str | None = No
     store = Store(spark, path or cfg.persistence.db_path)
     source = identity.source_of(spark, cfg.data, cfg.seed)
     raw = identity.plain(cfg)
-    hashes = {"evaluation_hash": identity.evaluation_hash(raw, source), "eval_code_hash": identity.evaluation_code_hash(), "config_hash": cfg.config_hash(), "code_hash": identity.code_hash()}
+    hashes = {"evaluation_hash": identity.evaluation_hash(raw, source), "eval_code_hash": identity.evaluation_code_hash(C.PANDAS), "config_hash": cfg.config_hash(), "code_hash": identity.code_hash()}
     prints = source.record()
     row = {"created_at": identity.now_utc(), "run_name": cfg.run_name, "mode": cfg.mode, "config_json": identity.canonical_json(raw), "data_type": source.kind, "dataset_id": source.name, "dataset_version": source.version, "data_fp_hash": prints["digest"]}
     exp = store.create_experiment(row | hashes | identity.environment())
@@ -92,7 +118,10 @@ def _run(store: Store, exp: int, cfg: EngineConfig, hashes: dict, prints: dict)
     numbered = Numbers(base, folds, first_cv, first_cv + n)
     open_ = misses.join(candidates, "strategy_hash").select("cand_idx", "strategy_hash", "strategy_name", "strategy_json", "fold", F.explode(F.array(*map(F.lit, SIDES))).alias("split"))
     store.start_runs(exp, open_.withColumns({"run_id": numbered.fold(), "created_at": F.lit(identity.now_utc())}))
-    metrics = store.settled(gathered(bars, plan, candidates, cfg, tables, cached.where(F.col("split").isin(*SIDES)), hits, misses if n_misses else None, bool(n_hits), SIDES), f"{exp}/folds")
+    settle = lambda df, name: store.settled(df, f"{exp}/{name}")
+    in_pandas = sorted({s.name for s in specs} & set(C.PANDAS))
+    compute = lambda of, splits, only=None: evaluate(bars, plan, of, cfg, splits, settle, only, in_pandas)
+    metrics = settle(gathered(compute, candidates, tables, cached.where(F.col("split").isin(*SIDES)), hits, misses if n_misses else None, bool(n_hits), SIDES), "folds")
 
     scores = S.score(metrics, folds, research, trials).persist()
     ranked = S.ranking(scores, research.top_k).persist()
@@ -105,7 +134,7 @@ def _run(store: Store, exp: int, cfg: EngineConfig, hashes: dict, prints: dict)
         test_hit = chosen.join(old, "strategy_hash", "left_semi").persist()
         test_hits = test_hit.count()
         left = chosen.join(old.select("strategy_hash"), "strategy_hash", "left_anti")
-        tested = store.settled(gathered(bars, plan, left, cfg, tables, old, test_hit.select("strategy_hash"), None, bool(test_hits), ("test",), test_hits < best, candidates), f"{exp}/holdout")
+        tested = settle(gathered(compute, left, tables, old, test_hit.select("strategy_hash"), None, bool(test_hits), ("test",), test_hits < best, candidates), "holdout")
 
     stats = {
         "mode": "cache" if n_misses == 0 and n_hits else "spark", "requested_n_jobs": cfg.execution.n_jobs, "prefer_processes": cfg.execution.prefer_processes,
@@ -130,17 +159,17 @@ def experiment_runs(spark: SparkSession, base: int) -> DataFrame:
     return spark.createDataFrame(rows, RUN).withColumn("created_at", F.lit(identity.now_utc()))
 
 
-def gathered(bars, plan, candidates, cfg, tables, cached, hits, only, any_hit, splits, any_miss=None, every=None) -> DataFrame:
-    """Computed and cached results together: KEY, ALL, content, cached and cache_info."""
+def gathered(compute, candidates, tables, cached, hits, only, any_hit, splits, any_miss=None, every=None) -> DataFrame:
+    """Computed and cached results together: RESULT, cached and cache_info."""
     any_miss = only is not None if any_miss is None else any_miss
-    columns, parts = [*P.KEY, *ALL, "content", "cached", "cache_info"], []
+    columns, parts = [*RESULT, "cached", "cache_info"], []
     if any_miss:
-        values = evaluate(bars, plan, candidates, cfg, splits, only)
-        parts.append(values.withColumns({"cached": F.lit(0.0), "cache_info": F.lit(None).cast("string")}).select(*columns))
+        parts.append(compute(candidates, splits, only).withColumns({"cached": F.lit(0.0), "cache_info": F.lit(None).cast("string")}).select(*columns))
     if any_hit:
         values = from_cache(tables, cached, hits, [c for c in hits.columns if c in ("strategy_hash", "fold")])
         names = (every if every is not None else candidates).select("cand_block", "cand_idx", "strategy_hash", "strategy_name")
-        parts.append(values.join(F.broadcast(names), "strategy_hash").withColumn("cached", F.lit(1.0)).select(*columns))
+        values = values.withColumns({"cached": F.lit(1.0), "error": F.lit(None).cast("string"), "elapsed_ms": F.lit(0).cast("long")})
+        parts.append(values.join(F.broadcast(names), "strategy_hash").select(*columns))
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
@@ -191,9 +220,9 @@ def write_results(store, exp, ids, candidates, metrics, scores, ranked, tested,
         curve = rows.where((F.col("split") == split_of_curves) & F.col("content").isNotNull())
         info = rows.where(F.col("cache_info").isNotNull()).select("run_id", F.lit("cache_info").alias("name"), F.col("cache_info").alias("content"))
         add(
-            named.select("run_id", "split", "fold", "strategy_name", "strategy_json", "strategy_hash", F.lit("ok").alias("status"), F.lit(None).cast("string").alias("error"), F.lit(elapsed).alias("elapsed_ms")),
+            named.select("run_id", "split", "fold", "strategy_name", "strategy_json", "strategy_hash", F.when(F.col("error").isNull(), "ok").otherwise("error").alias("status"), "error", F.coalesce("elapsed_ms", F.lit(elapsed)).alias("elapsed_ms")),
             [curve.select("run_id", F.lit("equity_curve_head").alias("name"), "content"), info],
-            to_long(rows, ["run_id"], (*ALL, "cached")),
+            to_long(rows.where(F.col("error").isNull()), ["run_id"], (*ALL, "cached")),
         )
 
     add_slices(metrics.withColumn("run_id", ids.fold()), "valid")

@@ -298,6 +298,30 @@ def _median_rule() -> C.Strategy:
     return MedianRule()
 
 
+def _broken_rule(params: dict) -> C.Strategy:
+    rule = _median_rule()
+    fit, rule.rows = rule.fit, 0
+
+    def counted(train):
+        if len(train) == CV.min_train_rows + 2 * CV.step_rows:
+            raise RuntimeError("no positions")
+        return fit(train)
+
+    rule.fit = counted
+    return rule
+
+
+def strategy_outcomes(spark, sf_dir):
+    """Two strategies in pandas on every fold, of which one raises in the third: its error stands in place of that fold's positions."""
+    send_package(spark)
+    plan = _plan(spark, sf_dir)
+    sliced = V.assign(_bars(spark, sf_dir), [*plan.slices, *plan.holdout_train]).select("fold", "split", "ts", "row_idx", "f000")
+    table = C.candidate_table(spark, [C.StrategySpec("median", {}), C.StrategySpec("broken", {})])
+    rows = C.pandas_outcomes(sliced, table, {"median": lambda params: _median_rule(), "broken": _broken_rule})
+    out = rows.groupBy("cand_idx", "fold", F.coalesce("split", F.lit("")).alias("split"), F.coalesce("error", F.lit("")).alias("error"))
+    return out.agg(F.count("raw").alias("n"), F.coalesce(F.sum("raw"), F.lit(0.0)).alias("raw_sum"))
+
+
 # --- tracking ---------------------------------------------------------------------------------------------------------
 def _tracking(spark: SparkSession, sf_dir: str) -> T.Tables:
     customer, orders, lineitem = (_table(spark, sf_dir, t) for t in ("customer", "orders", "lineitem"))
@@ -618,6 +642,8 @@ ORACLES = {
     "cv_score_min": f"WITH {METRICS} SELECT cand_idx, round(min(total_return) FILTER (split = 'valid'), 6) + 0.0::DOUBLE AS cv_score, round(min(total_return) FILTER (split = 'train') - min(total_return) FILTER (split = 'valid'), 6) + 0.0::DOUBLE AS train_valid_gap FROM base GROUP BY 1",
     "aligned_positions": f"WITH {PANEL} SELECT cand_idx, fold, split, sum(CASE WHEN row_idx % 3 <> 0 THEN abs(raw) ELSE 0 END)::DOUBLE AS days_held FROM panel GROUP BY 1, 2, 3",
     "reference_returns": f"WITH {PANEL}, w AS (SELECT *, lag(pos) OVER (PARTITION BY cand_idx, fold, split ORDER BY row_idx) AS before FROM panel) SELECT cand_idx, fold, split, ts, round(CASE WHEN abs(before) > 1e-12 THEN gross / before END, 8) + 0.0::DOUBLE AS implied FROM w",
+    "strategy_outcomes": "WITH " + CUSTOM + """, one AS (SELECT fold, split, count(*) AS n, sum(raw)::DOUBLE AS raw_sum FROM signal GROUP BY 1, 2)
+SELECT i::INT AS cand_idx, fold, split, '' AS error, n, raw_sum FROM one, range(2) AS r(i) WHERE i = 0 OR fold IS DISTINCT FROM 2 UNION ALL SELECT 1, 2, '', 'RuntimeError: no positions', 0, 0""",
     "merged_runs": f"WITH {LOG} SELECT experiment_id, run_id, CASE WHEN seq = 1 THEN 'running' WHEN flag = 'R' THEN 'error' ELSE 'ok' END AS status, seq FROM valid WHERE i = 1",
     "merged_metrics": f"WITH {LOG} SELECT experiment_id, run_id, 'k' || part % 3 AS key, value, seq FROM valid WHERE seq > 1 AND j = 1",
     "source_digest": " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n, true AS same FROM {t}" for t in ("nation", "events", "orders")),
@@ -667,9 +693,9 @@ def _whole_fold(query):
 QUERIES = {f.__name__: _whole_fold(f) for f in (
     bars_daily, bars_last_n, bars_dedup_first, bars_dropna, bars_normalised, time_axis, synthetic_bars, split_single, slices_walk_forward, slice_membership, plan_meta, periods_per_year,
     signal_positions, exec_lag, asset_returns, turnover_costs, equity_curve, drawdown, equity_head, rolling_vol, regime_quantiles, base_metrics, regime_metrics, psr, dsr, metrics_eav,
-    fold_pairs, cv_score, cv_score_dsr, cv_score_min, overfit_diag, series_curve, series_metrics, series_quantiles, aligned_positions, reference_returns, ranking_topk, holdout_eval, candidates_distinct, custom_strategy_pandas, merged_runs, merged_metrics, source_digest, latest_metric, latest_metric_unfolded, latest_artifact, metrics_pivot,
+    fold_pairs, cv_score, cv_score_dsr, cv_score_min, overfit_diag, series_curve, series_metrics, series_quantiles, aligned_positions, reference_returns, ranking_topk, holdout_eval, candidates_distinct, custom_strategy_pandas, strategy_outcomes, merged_runs, merged_metrics, source_digest, latest_metric, latest_metric_unfolded, latest_artifact, metrics_pivot,
     run_metrics, run_artifact, leaderboard_filtered, best_candidates, cache_hits, cache_misses, cached_runs, union_results, cache_diag, experiments_list, experiment_flow,
 )} | {"leaderboard": _board("cv"), "leaderboard_by_test": _board("test"), "leaderboard_by_test_sharpe": _board("test_sharpe")}
 #: Queries whose rows have a fold.
-FOLDED = ("split_single", "slices_walk_forward", "slice_membership", "plan_meta", "periods_per_year", "signal_positions", "exec_lag", "asset_returns", "turnover_costs", "equity_curve", "drawdown", "equity_head", "rolling_vol", "regime_quantiles", "base_metrics", "custom_strategy_pandas", "regime_metrics", "psr", "dsr", "metrics_eav", "fold_pairs", "aligned_positions", "reference_returns", "series_curve", "series_metrics", "cache_hits", "cache_misses", "cached_runs", "union_results")
+FOLDED = ("split_single", "slices_walk_forward", "slice_membership", "plan_meta", "periods_per_year", "signal_positions", "exec_lag", "asset_returns", "turnover_costs", "equity_curve", "drawdown", "equity_head", "rolling_vol", "regime_quantiles", "base_metrics", "custom_strategy_pandas", "regime_metrics", "psr", "dsr", "metrics_eav", "fold_pairs", "aligned_positions", "reference_returns", "series_curve", "series_metrics", "strategy_outcomes", "cache_hits", "cache_misses", "cached_runs", "union_results")
 ORACLES |= {name: f"SELECT * REPLACE (coalesce(fold, -1)::INT AS fold) FROM ({ORACLES[name]}) AS q" for name in FOLDED}
