@@ -41,6 +41,95 @@ def test_scores_of_odd_rows(spark):
     assert nbsvm.keep_good(docs, labels).columns == docs.columns
 
 
+MASK = (1 << 64) - 1
+
+
+def plain_mixed(h):
+    h = (h ^ h >> 31) * 0x9E3779B97F4A7C15 & MASK
+    return h ^ h >> 29
+
+
+def plain_kind(b):
+    return 6 if b >= 128 else 1 if 65 <= b <= 90 else 2 if 97 <= b <= 122 else 3 if 48 <= b <= 57 else 4 if chr(b) in ".,;:'\"()?-" else 5
+
+
+def plain_buckets(text):
+    """The buckets of a text's n-grams, word by word."""
+    words, shapes = [], []
+    for w in text.encode().split():
+        word = plain_mixed(sum((b + (32 if 65 <= b <= 90 else 0) + 1) * pow(0x100000001B3, k & 63, 1 << 64) for k, b in enumerate(w)) & MASK)
+        has = 0
+        for b in w:
+            has |= 1 << plain_kind(b)
+        same = bool(words) and words[-1] == word
+        shapes.append(plain_mixed(has | plain_kind(w[0]) << 8 | min(len(w), 4) << 12 | same << 16 | 1 << 40))
+        words.append(word)
+    out = set()
+    for units, longest, salt in ((words, 2, 1), (shapes, 4, 5)):
+        for n in range(1, longest + 1):
+            for i in range(len(units) - n + 1):
+                gram = units[i]
+                for u in units[i + 1 : i + n]:
+                    gram = plain_mixed((gram * 0x100000001B3 + u) & MASK)
+                out.add(((gram + salt + n) * 0x9E3779B97F4A7C15 & MASK) >> 64 - nbsvm.BITS)
+    return out
+
+
+def test_scores_against_a_plain_version(spark):
+    """Log-count ratios of colliding indicators, dual coordinate descent and the final score, in dicts and loops."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(4)
+    vocabulary = [["good", "words", "Here", "fine,", "x1", "déjà"], ["###", "BAD", "$$$", "9 9", "words", "x1"]]
+    train = [(i, " ".join(rng.choice(vocabulary[(i % 3 == 0) ^ (rng.random() < 0.2)]) for _ in range(rng.randint(0, 25))), int(i % 3 != 0)) for i in range(90)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in train], "doc_id long, text string")
+    model = nbsvm.fit(docs, spark.createDataFrame([(i, y) for i, _, y in train], "doc_id long, label int"))
+    place = {r.doc_id: r.h for r in docs.select("doc_id", F.xxhash64("doc_id", F.lit(7)).alias("h")).collect()}
+    rows = [(plain_buckets(t), 1.0 if y else -1.0) for i, t, y in sorted(train, key=lambda r: (r[2], place[r[0]], r[1]))]
+    count = {y: {} for y in (1.0, -1.0)}
+    for own, y in rows:
+        for b in own:
+            count[y][b] = count[y].get(b, 0) + 1
+    total = {y: sum(c.values()) + nbsvm.BUCKETS for y, c in count.items()}
+    seen = set(count[1.0]) | set(count[-1.0])
+    ratio = {b: math.log((count[1.0].get(b, 0) + 1) / total[1.0]) - math.log((count[-1.0].get(b, 0) + 1) / total[-1.0]) for b in seen}
+    assert all(math.isclose(model.weights[1][b], r, rel_tol=1e-5, abs_tol=1e-6) for b, r in ratio.items()) and np.count_nonzero(model.weights[1]) <= len(seen)
+
+    def unit(own):
+        size = max(math.sqrt(sum(ratio.get(b, 0.0) ** 2 for b in own)), 1e-12)
+        return {b: ratio.get(b, 0.0) / size for b in own}
+
+    n, sizes = len(rows), {y: sum(r[1] == y for r in rows) for y in (1.0, -1.0)}
+    x = [unit(own) for own, _ in rows]
+    w, bias, alpha, order = {}, 0.0, [0.0] * n, np.random.default_rng(7)
+    for _ in range(30):
+        most = 0.0
+        for i in order.permutation(n):
+            y = rows[i][1]
+            slack = y * (sum(w.get(b, 0.0) * v for b, v in x[i].items()) + bias) - 1
+            new = min(max(alpha[i] - slack / (sum(v * v for v in x[i].values()) + 1), 0.0), n / (2 * sizes[y]))
+            step = (new - alpha[i]) * y
+            for b, v in x[i].items():
+                w[b] = w.get(b, 0.0) + step * v
+            bias, alpha[i], most = bias + step, new, max(most, abs(step))
+        if most < 1e-3:
+            break
+    margin = lambda own: sum(w.get(b, 0.0) * v for b, v in unit(own).items()) + bias
+    odd = [(1000, "good new words"), (1001, "### $$$"), (1002, ""), (1003, "unknown"), *[(i, t) for i, t, _ in train[:40]]]
+    got = {r.doc_id: r.score for r in nbsvm.score(spark.createDataFrame(odd, "doc_id long, text string"), model).collect()}
+    assert all(abs(got[i] - 1 / (1 + math.exp(-(model.slope * margin(plain_buckets(t)) + model.offset)))) < 2e-3 for i, t in odd)
+    slope, offset = nbsvm.curve(np.array([margin(own) for own, _ in rows]), np.array([y for _, y in rows]))
+    assert math.isclose(slope, model.slope, rel_tol=1e-2) and abs(offset - model.offset) < 2e-2
+
+
+def test_rows_that_repeat_a_doc_id(spark):
+    """Repeated rows count as often as they occur; labels that disagree don't count; every row is scored."""
+    docs = spark.createDataFrame([(i % 20, "fine words" if i % 2 else "$$ ##") for i in range(40)] + [(99, "fine")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)] + [(3, 1), (4, 1)], "doc_id long, label int")
+    got = nbsvm.score(docs, nbsvm.fit(docs, labels)).collect()
+    assert len(got) == 41 and all((r.score > 0.5) == ("fine" in r.text) for r in got)
+
+
 def brute(rows, k):
     ok = {}
     for i, v in rows:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 import uuid
 from pathlib import Path
 
@@ -34,13 +35,13 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where that is unset one of this machine's own in local mode, as in tests, and an error on a cluster."""
+    """The folder named in spark.checkpoint.dir; where that is unset a fresh one of this machine in local mode, as in tests, and an error on a cluster."""
     sc = spark.sparkContext
     at = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not at:
         if sc.master != "local" and not sc.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        at = "/tmp/checkpoints"
+        at = tempfile.mkdtemp(prefix="checkpoints-")
         sc.setCheckpointDir(at)
     return at
 
