@@ -182,6 +182,46 @@ def test_rows_that_repeat_an_id(spark):
     assert far == [(1, 7), (2, 0), (3, 0)]
 
 
+def shares(rows, queries, k=5):
+    """The learned radius, the shares of rows that the index names and that lie within the radius, and the recall, over some queries."""
+    x = mih.unit(np.array(rows, float))
+    mean, projection = mih.learn(x, 256)
+    packed = mih.codes(x, mean, projection)
+    radius = mih.learned_radius(x, packed, 0.985, k, len(x))
+    tables, named, within, hit = mih.indexed(packed), [], [], []
+    for i in queries:
+        found = mih.touched(tables, packed[i], len(x), radius)
+        inside = mih.probe(tables, packed[i], packed, radius)
+        near = np.bitwise_count(packed ^ packed[i]).sum(1, dtype=int) <= radius
+        assert set(np.flatnonzero(near)) == set(inside) and found[inside].all()  # the pigeonhole loses nothing
+        cos = x @ x[i]
+        cos[i] = -2
+        hit.append(np.isin(np.argsort(-cos)[:k], inside).mean())
+        named.append(found.mean())
+        within.append(len(inside) / len(x))
+    return radius, float(np.mean(named)), float(np.mean(within)), float(np.mean(hit))
+
+
+def test_the_index_prunes_vectors_with_structure(spark):
+    """Vectors in 400 tight groups: the index names few rows. The given vectors have none, and it names nearly all; the
+    whole code's distance prunes there."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(400, 64))
+    rows = centres[rng.integers(0, 400, 8000)] + 0.05 * rng.normal(size=(8000, 64))
+    radius, named, within, recall = shares(rows, range(0, 8000, 160))
+    assert radius < 40 and named < 0.3 and within < 0.01 and recall >= 0.95
+    given = [list(r.embedding) for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()]
+    flat = shares(given, range(0, len(given), 40))
+    assert flat[1] > 0.9 and flat[2] < 0.1 and flat[3] >= 0.9
+
+
+def test_reaches():
+    """Codes within the radius have a substring within its table's reach, for every way to share the radius out."""
+    for radius in range(0, 12):
+        out = mih.reaches(radius, 4)
+        assert sum(r + 1 for r in out) == radius + 1  # one bit more than the radius is needed to miss every table
+
+
 def test_codes_prune(spark):
     """On the given vectors under a tenth of the rows lie within the radius; recall is held above."""
     rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")

@@ -134,12 +134,20 @@ def probe_order(width: int = SUBSTRING) -> np.ndarray:
     return masks[np.argsort(np.bitwise_count(masks), kind="stable")].astype(np.uint8)
 
 
-def probe(tables: list[tuple[np.ndarray, np.ndarray]], code: np.ndarray, packed: np.ndarray, radius: int) -> np.ndarray:
-    """Rows whose code lies within radius of code, in order."""
-    reach = radius // len(tables)
-    masks = PROBES[: np.searchsorted(np.bitwise_count(PROBES), reach, side="right")]
-    found = np.zeros(len(packed), bool)
-    for (order, first), value in zip(tables, code, strict=True):
+def reaches(radius: int, tables: int) -> list[int]:
+    """How far each table must be probed: if all substrings differed by more, the codes would by more than the radius.
+
+    With radius = tables * q + r that is q for the first r + 1 tables and q - 1 (none for q = 0) for the others.
+    """
+    q, r = divmod(radius, tables)
+    return [q if j <= r else q - 1 for j in range(tables)]
+
+
+def touched(tables: list[tuple[np.ndarray, np.ndarray]], code: np.ndarray, rows: int, radius: int) -> np.ndarray:
+    """Which rows the index names: those with some substring within its table's reach. All rows within radius are among them."""
+    found = np.zeros(rows, bool)
+    for (order, first), value, reach in zip(tables, code, reaches(radius, len(tables)), strict=True):
+        masks = PROBES[: np.searchsorted(np.bitwise_count(PROBES), reach, side="right")] if reach >= 0 else PROBES[:0]
         at = (masks ^ value).astype(np.int64)
         lo, n = first[at], first[at + 1] - first[at]
         keep = n > 0
@@ -148,7 +156,21 @@ def probe(tables: list[tuple[np.ndarray, np.ndarray]], code: np.ndarray, packed:
             found[order[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())]] = True
         if found.all():  # no other table can add a row
             break
-    rows = np.flatnonzero(found)
+    return found
+
+
+def indexed(packed: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each substring the rows by its value, and where each value's rows begin."""
+    tables = []
+    for j in range(packed.shape[1]):
+        order = np.argsort(packed[:, j], kind="stable")
+        tables.append((order, np.searchsorted(packed[order, j], np.arange(257))))
+    return tables
+
+
+def probe(tables: list[tuple[np.ndarray, np.ndarray]], code: np.ndarray, packed: np.ndarray, radius: int) -> np.ndarray:
+    """Rows whose code lies within radius of code, in order."""
+    rows = np.flatnonzero(touched(tables, code, len(packed), radius))
     if not packed.shape[1] % 8:
         packed, code = packed.view(np.uint64), code.view(np.uint64)
     return rows[np.bitwise_count((packed if len(rows) == len(packed) else packed[rows]) ^ code).sum(1, dtype=np.int64) <= radius]
@@ -188,11 +210,7 @@ def search(index: Index, queries: DataFrame | str, k: int = 5) -> DataFrame:
         x, q = scaled(stack(left.embedding.tolist(), len(mean))), scaled(stack(right.embedding.tolist(), len(mean)))
         length = np.sqrt((x * x).sum(1))
         packed = np.frombuffer(b"".join(left.code), np.uint8).reshape(len(left), -1)
-        tables = []
-        for j in range(packed.shape[1]):
-            order = np.argsort(packed[:, j], kind="stable")
-            tables.append((order, np.searchsorted(packed[order, j], np.arange(257))))
-        out = []
+        tables, out = indexed(packed), []
         for number, key, vector, code in zip(right.row.tolist(), right.vec_id.tolist(), q, codes(unit(q), mean, projection), strict=True):
             reach = radius
             rows = probe(tables, code, packed, reach)
