@@ -89,11 +89,16 @@ def bars_normalised(spark, sf_dir):
 
 
 def time_axis(spark, sf_dir):
-    return B.time_axis(spark, "2018-01-01", 400, "D")
+    """A regular axis of hours over the events' time, and how many events each hour has; hours without any are there too."""
+    hours = _table(spark, sf_dir, "events").groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("ts")).agg(F.count("*").alias("n"))
+    first, last = hours.agg(F.min("ts"), F.max("ts")).first()
+    axis = B.time_axis(spark, str(first), int((last - first).total_seconds() // 3600) + 1, "h")
+    return axis.join(hours, "ts", "left").select("ts", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def synthetic_bars(spark, sf_dir):
-    return B.synthetic_bars(spark, DataConfig(), 42)
+    """A drawn series as long as the events', by hashes (SQL has none of these; a test holds it against numpy)."""
+    return B.synthetic_bars_at_scale(spark, DataConfig(n_rows=_table(spark, sf_dir, "events").count()), 42)
 
 
 # --- slices -----------------------------------------------------------------------------------------------------------
@@ -615,7 +620,7 @@ ORACLES = {
     "bars_dedup_first": f"SELECT ts, event_id, value FROM ({EVENTS}) WHERE i = 1",
     "bars_dropna": "SELECT c_custkey, c_acctbal AS price, c_nationkey::DOUBLE AS f000 FROM customer WHERE c_acctbal >= 0 AND c_nationkey % 3 <> 0",
     "bars_normalised": f"WITH last AS (SELECT * FROM ({EVENTS}) WHERE i = 1 ORDER BY ts DESC LIMIT 500) SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS row_idx, value + 1000 AS price, user_id::DOUBLE AS f000, length(event_type)::DOUBLE AS f001 FROM last WHERE user_id % 7 <> 0 AND value IS NOT NULL",
-    "time_axis": "SELECT timestamp '2018-01-01' + interval 1 day * i AS ts FROM range(400) AS r(i)",
+    "time_axis": "WITH h AS (SELECT date_trunc('hour', ts)::TIMESTAMP AS ts, count(*) AS n FROM events GROUP BY 1) SELECT a.ts, coalesce(h.n, 0) AS n FROM (SELECT unnest(generate_series((SELECT min(ts) FROM h), (SELECT max(ts) FROM h), interval 1 hour)) AS ts) a LEFT JOIN h ON h.ts = a.ts",
     "split_single": f"WITH {BARS}, c AS (SELECT n, floor(n * 0.6::DOUBLE)::BIGINT AS a, floor(n * (0.6::DOUBLE + 0.2::DOUBLE))::BIGINT AS b FROM n) SELECT 0::INT AS fold, 'train' AS split, 0::BIGINT AS lo, a - 5 AS hi FROM c UNION ALL SELECT 0, 'valid', a + 5, b - 5 FROM c UNION ALL SELECT NULL, 'test', b + 5, n FROM c",
     "slices_walk_forward": f"WITH {SLICES} SELECT fold, split, lo, hi FROM slices",
     "slice_membership": f"WITH {MARKET} SELECT fold, split, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts, sum(row_idx)::BIGINT AS idx_sum FROM sliced GROUP BY 1, 2",
