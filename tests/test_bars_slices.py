@@ -38,6 +38,13 @@ def test_duplicates_gaps_and_times(spark):
         B.normalise(raw.union(spark.createDataFrame([("soon", 1.0, 1.0, 9)], raw.schema)), features=["x"])
 
 
+def test_parquet_source_keeps_the_first_row_in_file_order(spark, tmp_path):
+    rows = [("2020-01-0%d 00:00:00" % (1 + i % 3), float(i + 1), 1.0) for i in range(9)]
+    spark.createDataFrame(rows, "timestamp string, price double, x double").coalesce(1).write.parquet(str(tmp_path / "t"))
+    got = B.load_bars(spark, DataConfig(type="parquet", path=str(tmp_path / "t"), n_features=1), 1).orderBy("row_idx").collect()
+    assert [(r.ts.day, r.price, r.row_idx) for r in got] == [(1, 1.0, 0), (2, 2.0, 1), (3, 3.0, 2)]
+
+
 def test_bars_at_scale(spark):
     """Against the model in numpy with the same hashes, in one stretch or many, and by any parallelism."""
     import numpy as np

@@ -7,6 +7,8 @@ import types
 from dataclasses import dataclass, field, fields
 from typing import Any, get_args, get_type_hints
 
+# The sections, their fields and defaults are the format of stored configurations.
+
 
 @dataclass(frozen=True)
 class DataConfig:
