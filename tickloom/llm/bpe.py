@@ -27,10 +27,19 @@ MOST_WORDS, CHUNK = 300_000, 2 << 20
 #: Words of ASCII up to this size hardly ever have a place to be cut.
 PLAIN_BYTES = 24
 HOT_WORDS, HOT_LENGTH, HOT_DOCUMENTS = 400_000, 24, 48_000
+#: Words of more bytes merge all pairs of the least rank in one step.
+LONG_WORD = 256
+#: Stands for the rank of a pair that doesn't merge.
+NO_RANK = 1 << 17
 #: Factors of the rank map's slot for a pair of ids.
 LEFT, RIGHT = 40503, 2654435
 
 
+def bind(x: Column, f) -> Column:
+    """f(x), with x made once."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
 class Vocabulary(NamedTuple):
     ranks: dict[bytes, int]
     pattern: str
@@ -70,6 +79,19 @@ def rank_tables(pairs: dict[tuple[int, int], int]) -> list[np.ndarray]:
     return tables
 
 
+def careful_ranks(pairs: dict[tuple[int, int], int]) -> np.ndarray:
+    """By rank: 1 if the token can be part of a merge of lesser rank, 2 if two of its own merges can overlap (as in a
+    run of one letter), 3 if both, 0 if its occurrences never bear on each other."""
+    out = np.zeros(max(pairs.values(), default=0) + 1, np.int64)
+    lefts, rights = set(), set()
+    for (a, b), rank in pairs.items():
+        out[[t for t in (a, b) if rank < t < len(out)]] |= 1
+        lefts.add((rank, a))
+        rights.add((rank, b))
+    out[[rank for rank, _ in lefts & rights]] |= 2
+    return out
+
+
 def literal_longs(spark: SparkSession, values: np.ndarray) -> Column:
     """An array literal in Spark's compact form, which plans don't spell out when they are printed."""
     jvm = spark.sparkContext._jvm
@@ -82,10 +104,16 @@ def literal_longs(spark: SparkSession, values: np.ndarray) -> Column:
 
 def fold(spark: SparkSession, vocabulary: Vocabulary):
     """A function from a word's bytes (array of 0 to 255) to its ids: the pair of least rank merges, the leftmost of
-    equals, until none is left. Each step of the fold makes one merge."""
+    equals, until none is left.
+
+    Each step of the fold makes one merge; in a word of more than LONG_WORD bytes it makes, from the left, those of all
+    pairs of the least rank, up to the first one after which a pair of lesser rank is there. That is the same sequence
+    of merges, so a long word takes about as many steps as it has merges of different ranks.
+    """
     if max(vocabulary.ranks.values()) >= 1 << 16:
         raise ValueError("ranks must be below 65536")
-    tables = rank_tables(merges(vocabulary.ranks))
+    pairs = merges(vocabulary.ranks)
+    tables, careful = rank_tables(pairs), literal_longs(spark, careful_ranks(pairs))
     literals = [literal_longs(spark, t) for t in tables]
     single = literal_longs(spark, np.array([vocabulary.ranks[bytes([i])] for i in range(256)]))
 
@@ -108,7 +136,55 @@ def fold(spark: SparkSession, vocabulary: Vocabulary):
 
         return F.element_at(F.transform(F.array(pairs), put), 1)
 
+    def state(a: Column, b: Column) -> Column:
+        """An id with, in the bits above, the rank of its merge with the next."""
+        return F.shiftleft(F.coalesce(rank(a, b), F.lit(NO_RANK)), 16).bitwiseOR(a)
+
+    def merged_all(s: Column) -> Column:
+        """One step of a long word's fold over states."""
+        n, id_at = F.size(s), lambda i: F.get(s, i).bitwiseAND(F.lit(65535))
+
+        def put(least: Column) -> Column:
+            equal = lambda x: F.shiftright(x, 16) == least
+            care = F.get(careful, least.cast("int"))
+            row = F.array_join(F.transform(s, lambda x: F.when(equal(x), "1").otherwise("0")), "")
+            # of a run of merges that overlap every second one is made, from the left
+            turns = F.when(care >= 2, F.split(F.regexp_replace(row, "11", "10"), ""))
+            return bind(turns, lambda t: put_at(least, care, lambda x, i: equal(x) & (t.isNull() | (F.get(t, i) == "1"))))
+
+        def put_at(least: Column, care: Column, at) -> Column:
+            before = lambda i: F.when(at(F.get(s, i - 2), i - 2), least).otherwise(id_at(i - 1))
+            less = lambda a, b: F.coalesce(rank(a, b) < least, F.lit(False))
+            lesser = lambda x, i: at(x, i) & (less(before(i), least) | less(least, id_at(i + 2)))
+            stop = F.when(care.bitwiseAND(F.lit(1)) == 1, F.array_position(F.transform(s, lesser), True)).otherwise(0).cast("int")
+            return bind(F.when(stop > 0, stop - 1).otherwise(n), lambda last: joined(least, lambda x, i: at(x, i) & (i <= last)))
+
+        def joined(least: Column, at) -> Column:
+            """A merged id stands as its negative less one until its ranks are known; the second of the pair goes."""
+            halves = F.transform(s, lambda x, i: F.when(at(x, i), -1 - least).when(at(F.get(s, i - 1), i - 1), None).otherwise(x))
+            return bind(F.filter(halves, lambda x: x.isNotNull()), lambda h: F.transform(h, lambda x, i: ranked(x, F.get(h, i + 1))))
+
+        def ranked(x: Column, y: Column) -> Column:
+            own = lambda v: F.when(v < 0, -1 - v).otherwise(v.bitwiseAND(F.lit(65535)))
+            return F.when((x < 0) | (y < 0), state(own(x), own(y))).otherwise(x)
+
+        done = F.concat(s, F.array(F.lit(-1).cast("long")))  # -1 at the end, as above
+        return bind(F.shiftright(F.array_min(s), 16), lambda least: F.when(least >= NO_RANK, done).otherwise(put(least)))
+
+    def long_ids(word: Column) -> Column:
+        start = bind(F.transform(word, lambda b: F.get(single, b.cast("int"))), lambda x: F.transform(x, lambda a, i: state(a, F.get(x, i + 1))))
+        root = F.ceil(F.sqrt(F.size(word))).cast("int")
+        none = F.array().cast("array<int>")
+        # root times root steps; once it is done, what is left of them is root at most, as each copies the array
+        some = lambda s: F.when(F.element_at(s, -1) < 0, none).otherwise(F.sequence(F.lit(1), root))
+        step = lambda s, _: F.when(F.element_at(s, -1) < 0, s).otherwise(merged_all(s))
+        steps = F.aggregate(F.sequence(F.lit(1), root), start, lambda s, _: F.aggregate(some(s), s, step))
+        return F.transform(F.filter(steps, lambda x: x >= 0), lambda x: x.bitwiseAND(F.lit(65535)))
+
     def ids(word: Column) -> Column:
+        return F.when(F.size(word) > LONG_WORD, long_ids(word)).otherwise(short_ids(word))
+
+    def short_ids(word: Column) -> Column:
         start = F.transform(word, lambda b: F.get(single, b.cast("int")))
         steps = F.aggregate(F.sequence(F.lit(1), F.size(word)), start, lambda s, _: F.when((F.size(s) < 2) | (F.element_at(s, -1) < 0), s).otherwise(merged(s)))
         return F.when(F.size(word) == 0, start).otherwise(F.filter(steps, lambda i: i >= 0))
@@ -356,7 +432,8 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, digest: bool = False) -> Dat
     ids joined by one space) and decoded_sha256 instead.
 
     Texts are whole; a null text is empty and has no ids. Repeated rows and null doc_ids give rows of their own; other
-    columns don't matter; an empty table gives an empty result. A word of n bytes that no cut divides takes up to n steps over n ids.
+    columns don't matter; an empty table gives an empty result. A long word of n bytes that no cut divides takes a step
+    over its ids for each rank that its merges have.
     """
     spark = docs.sparkSession
     texts = docs.select("doc_id", text_of().alias("text"))
