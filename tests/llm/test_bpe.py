@@ -3,7 +3,6 @@ import random
 
 import public_tokenizers
 import pyarrow as pa
-import regex
 import tiktoken
 
 from tickloom.llm import bpe
@@ -42,28 +41,3 @@ def test_words_known_start_anew(spark, monkeypatch):
     hot = spark.sparkContext.broadcast(bpe.packed(pa.table({"piece": ["word1"]})))
     run = list(bpe.collect_words(VOCABULARY.pattern, VOCABULARY.ranks, hot)(iter(spark.createDataFrame([(i, f"word{i} and more of it") for i in range(5)], "doc_id long, text string").toArrow().to_batches())))
     assert [b.column("fresh")[0].as_py() for b in run] == [True] * 5
-
-
-def test_long_words_against_the_library(spark, monkeypatch):
-    """Merges of all pairs of a rank at once give the library's ids, overlapping and interfering merges included."""
-    rng = random.Random(5)
-    tokens = [t for t in VOCABULARY.ranks if t.isalpha() and t.isascii()]
-    words = [b"".join(rng.choices(tokens, k=rng.randrange(1, 12))) for _ in range(300)]
-    words += [bytes(rng.choices(b"etaoinshrdluETAO", k=rng.randrange(1, 200))) for _ in range(200)]
-    words += [bytes([c]) * k for c in b"a=- " for k in (1, 2, 3, 5, 31, 64, 65, 300)] + [bytes(rng.choices(b"ab", k=120)) for _ in range(60)]
-    words += [b"", b"abab" * 50, b"aab" * 41, b"--==-" * 30]
-    monkeypatch.setattr(bpe, "LONG_WORD", 0)
-    ids = bpe.fold(spark, VOCABULARY)
-    rows = spark.createDataFrame([(i, list(w)) for i, w in enumerate(words)], "i int, w array<int>").repartition(4)
-    got = {r.i: list(r.ids) for r in rows.select("i", ids(rows["w"]).alias("ids")).collect()}
-    assert [got[i] for i in range(len(words))] == [OWN._encode_single_piece(w) if w else [] for w in words]
-
-
-def test_very_long_words_in_texts(spark):
-    rng = random.Random(6)
-    texts = ["=" * 100_000, "a" * 50_001, "a word " + "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=8000)) + " and more", "漢" * 3000]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
-    got = {r.doc_id: (list(r.ids), bytes(r.decoded)) for r in bpe.encode(docs, VOCABULARY).collect()}
-    for i, t in enumerate(texts):
-        assert got[i][0] == [x for w in regex.findall(VOCABULARY.pattern, t) for x in OWN._encode_single_piece(w.encode())]
-        assert got[i][1] == t.encode()
