@@ -328,6 +328,16 @@ def strategy_outcomes(spark, sf_dir):
 
 
 # --- tracking ---------------------------------------------------------------------------------------------------------
+#: Line items that a task groups at a time. A task's memory follows this number, not the table.
+TASK_LINES = 400_000
+
+
+def _by_run(lineitem: DataFrame, rows: int | None = None) -> DataFrame:
+    """lineitem dealt by l_orderkey to tasks of some rows (TASK_LINES) each, which all later groups and joins by run keep to. Costs a count, which Parquet's footers answer."""
+    tasks = -(-lineitem.count() // (rows or TASK_LINES))
+    return lineitem.repartition(max(tasks, lineitem.sparkSession.sparkContext.defaultParallelism), "l_orderkey")
+
+
 def _tracking(spark: SparkSession, sf_dir: str) -> T.Tables:
     customer, orders, lineitem = (_table(spark, sf_dir, t) for t in ("customer", "orders", "lineitem"))
     config = F.concat(F.lit('{"research":{"selection_metric":"'), F.when(F.col("c_custkey") % 3 == 0, "dsr_net").otherwise("sharpe_net"), F.lit('","cv_agg":"'), F.when(F.col("c_custkey") % 4 == 0, "").otherwise("mean"), F.lit('"}}'))
@@ -346,7 +356,8 @@ def _tracking(spark: SparkSession, sf_dir: str) -> T.Tables:
     keys = F.array(*map(F.lit, ("sharpe_net", "sharpe_net_per", "n_obs", "skew_net", "dsr_trials", "sharpe_net_valid_mean", "kurt_net")))
     key = F.element_at(keys, F.col("l_linenumber"))
     value = F.when(key == "n_obs", F.col("l_quantity") + 30).when(key == "dsr_trials", F.col("l_quantity")).when(key == "kurt_net", 3 + F.col("l_discount")).otherwise(F.col("l_discount") - 0.05)
-    values = lineitem.where("l_linenumber <= 7").groupBy(F.col("l_orderkey").alias("run_id"), key.alias("key")).agg(F.max(F.when(F.col("l_quantity") <= 45, value)).alias("value"))
+    lines = _by_run(lineitem).where("l_linenumber <= 7").withColumn("run_id", F.col("l_orderkey"))
+    values = lines.groupBy("run_id", key.alias("key")).agg(F.max(F.when(F.col("l_quantity") <= 45, value)).alias("value"))
     values = values.join(runs.select("run_id", "experiment_id"), "run_id")
     artifacts = orders.select(F.col("o_custkey").alias("experiment_id"), F.col("o_orderkey").alias("run_id"), F.lit("exec_stats").alias("name"), F.concat(F.lit('{"candidates_unique":'), F.col("o_orderkey") % 50, F.lit("}")).alias("content"))
     rank = F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey"))
