@@ -135,6 +135,21 @@ def test_exact_quantiles(spark):
         assert got[k].n == len(v)
 
 
+def test_quantiles_of_few_keys_leave_the_rows_in_place(spark):
+    from tickloom.functions.quantiles import exact_quantiles
+
+    df = spark.range(2000).select((F.col("id") % 3).alias("k"), (F.col("id") * 0.37 % 1).alias("x"))
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as if the tables were large
+    try:
+        rows = exact_quantiles(df, ["k"], F.col("x"), [0.2, 0.5], few=True)
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+        assert sorted(rows.collect()) == sorted(exact_quantiles(df, ["k"], F.col("x"), [0.2, 0.5]).collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
 def test_positions_know_nothing_of_later_rows(spark):
     bars = B.synthetic_bars(spark, DataConfig(n_rows=60, n_features=1), 2)
     changed = bars.withColumn("f000", F.when(F.col("row_idx") >= 40, -5.0).otherwise(F.col("f000")))

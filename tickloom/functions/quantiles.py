@@ -40,15 +40,26 @@ def from_order_bits(bits: Column) -> Column:
     return F.when(bits < 0, -value).otherwise(value)
 
 
-def exact_quantiles(df: DataFrame, keys: Sequence[str], value: Column, shares: Sequence[float]) -> DataFrame:
+def is_finite(v: Column) -> Column:
+    return v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))
+
+
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: Column, shares: Sequence[float], few: bool = False) -> DataFrame:
     """keys, n (its finite values) and q0, q1... (interpolated between ranks) for each key that has values.
 
-    keys must not be null. Missing, NaN and infinite values don't count.
+    keys must not be null. Missing, NaN and infinite values don't count. few: see quantiles_of_bits.
     """
-    keys = list(keys)
     v = value.cast("double")
-    finite = v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))
-    rows = df.where(finite).select(*keys, order_bits(v).alias("_bits"))
+    return quantiles_of_bits(df.where(is_finite(v)).select(*keys, order_bits(v).alias("_bits")), keys, shares, few)
+
+
+def quantiles_of_bits(rows: DataFrame, keys: Sequence[str], shares: Sequence[float], few: bool = False) -> DataFrame:
+    """exact_quantiles of rows of keys and _bits, the order_bits of finite values.
+
+    few says that there are few keys: what a level found (at most two rows a share and key) is then sent to all tasks, and
+    the rows stay where they are; else both may be shuffled by key and bits.
+    """
+    keys = list(keys)
     found: DataFrame | None = None
     for i, shift in enumerate(SHIFTS):
         prefix = F.shiftright("_bits", shift).alias("_p")
@@ -57,7 +68,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: Column, shares: S
             total = F.sum("_m").over(Window.partitionBy(*keys))
         else:
             own = [*keys, "n", "_t", "_rank"]
-            met = rows.withColumn("_q", F.shiftright("_bits", SHIFTS[i - 1])).join(found, [*keys, "_q"])
+            met = rows.withColumn("_q", F.shiftright("_bits", SHIFTS[i - 1])).join(F.broadcast(found) if few else found, [*keys, "_q"])
             counted = met.groupBy(*own, prefix).agg(F.count("*").alias("_m"))
             total = F.col("n")
         upto = F.sum("_m").over(Window.partitionBy(*own).orderBy("_p").rowsBetween(Window.unboundedPreceding, 0))

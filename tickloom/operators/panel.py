@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from tickloom.config import BacktestConfig, CostConfig
-from tickloom.functions.quantiles import exact_quantiles
+from tickloom.functions.quantiles import exact_quantiles, is_finite, order_bits, quantiles_of_bits
 from tickloom.functions.stats import SECONDS_PER_YEAR
 from tickloom.operators.candidates import LINEAR, blocks, signal_for
 from tickloom.operators.slices import Slice, assign
@@ -70,7 +70,7 @@ def periods_per_year(bars: DataFrame, slices: list[Slice], rows: int = STRETCH_R
     """fold, split and ppy."""
     moved = core(moves(bars, slices, rows=rows))
     counts = moved.groupBy("fold", "split", "slice_key").agg(F.count("*").alias("rows"))
-    steps = exact_quantiles(moved, ["slice_key"], F.col("step"), [0.5])
+    steps = exact_quantiles(moved, ["slice_key"], F.col("step"), [0.5], few=True)
     return counts.join(steps, "slice_key", "left").select("fold", "split", periods(F.col("q0"), F.col("rows")).alias("ppy"))
 
 
@@ -83,11 +83,12 @@ def slice_facts(bars: DataFrame, slices: list[Slice], rows: int = STRETCH_ROWS)
     ref_used says whether the asset's returns serve for regimes (own is its opposite); vol_q33, vol_q66 and n_vol are
     quantiles and number of its volatilities. Plans that use these rows needn't hold the selection of quantiles.
     """
-    inner = core(moves(bars, slices, rows=rows)).select("slice_key", "ret", "vol", "step").persist()
+    bits = lambda c: F.when(is_finite(F.col(c)), order_bits(F.col(c)))
+    inner = core(moves(bars, slices, rows=rows)).select("slice_key", "ret", bits("vol").alias("vol"), bits("step").alias("step")).persist()
     ok = F.col("ret").isNotNull() & ~F.isnan("ret")
     facts = inner.groupBy("slice_key").agg(F.avg(ok.cast("double")).alias("ref_coverage"), F.stddev_pop("ret").alias("_spread"), F.count("*").alias("_rows"))
-    each = inner.select("slice_key", F.explode(F.array(F.struct(F.lit("vol").alias("what"), F.col("vol").alias("x")), F.struct(F.lit("step").alias("what"), F.col("step").alias("x")))).alias("_e")).select("slice_key", "_e.what", "_e.x")
-    q = exact_quantiles(each, ["slice_key", "what"], F.col("x"), [Q_LOW, Q_HIGH, 0.5])
+    each = inner.select("slice_key", F.explode(F.array(F.struct(F.lit("vol").alias("what"), F.col("vol").alias("_bits")), F.struct(F.lit("step").alias("what"), F.col("step").alias("_bits")))).alias("_e")).select("slice_key", "_e.what", "_e._bits")
+    q = quantiles_of_bits(each.where("_bits is not null"), ["slice_key", "what"], [Q_LOW, Q_HIGH, 0.5], few=True)
     pick = lambda what, c: F.max(F.when(F.col("what") == what, F.col(c)))
     q = q.groupBy("slice_key").agg(pick("vol", "q0").alias("vol_q33"), pick("vol", "q1").alias("vol_q66"), pick("vol", "n").alias("n_vol"), pick("step", "q2").alias("_median"))
     used = (F.col("ref_coverage") >= 0.99) & (F.col("_spread") > 1e-12)

@@ -255,7 +255,7 @@ def series_metrics(spark, sf_dir):
 
 def series_quantiles(spark, sf_dir):
     """Exact quantiles of the events' values by type."""
-    rows = exact_quantiles(_table(spark, sf_dir, "events"), ["event_type"], F.col("value"), [0.0, 0.25, 0.5, 0.99, 1.0])
+    rows = exact_quantiles(_table(spark, sf_dir, "events"), ["event_type"], F.col("value"), [0.0, 0.25, 0.5, 0.99, 1.0], few=True)
     return _rounded(rows, ["event_type", "n"], [f"q{i}" for i in range(5)], 9)
 
 
