@@ -29,6 +29,15 @@ def test_pieces_encode_as_whole_texts():
         assert np.frombuffer(got, own.dtype).tolist() == whole.encode(t, add_special_tokens=False).ids
 
 
+def test_pieces_that_leave_the_cache_encode_the_same(monkeypatch):
+    from tickloom.llm import fast_encode
+
+    monkeypatch.setattr(fast_encode, "MOST_CACHED", 3)
+    own, whole = fast_encode.PieceEncoder(PATH), Tokenizer.from_file(PATH)
+    for batch in (["a b c d"], ["e f a b"], [], ["", "g a"], ["b c " + "z" * 99]):
+        assert [np.frombuffer(x, own.dtype).tolist() for x in own.encode(batch)] == [whole.encode(t, add_special_tokens=False).ids for t in batch]
+
+
 def test_store_round_trip(spark):
     docs = rows(spark, [(3, "a b", "y"), (None, "n", None)])
     path = token_store.write_store(docs, PATH, end_id=2)
